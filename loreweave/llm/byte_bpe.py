@@ -35,16 +35,6 @@ def classes() -> np.ndarray:
     return out
 
 
-def shifted(a: np.ndarray, k: int, fill) -> np.ndarray:
-    """a[i + k] at i, ``fill`` beyond the ends."""
-    out = np.full_like(a, fill)
-    if k >= 0:
-        out[: max(len(a) - k, 0)] = a[k:]
-    else:
-        out[-k:] = a[:k]
-    return out
-
-
 def pretoken_starts(cp: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin: booleans over code points. doc_start: booleans, true at each text's first."""
     n = len(cp)

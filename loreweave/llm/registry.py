@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .encoding import p8_ids
 from .mixing import p9_selection, p9_shares
+from .shared_spans import p10_found, p10_shares
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p9_selection, p9_shares)}
+    return {f.__name__: f for f in (p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
