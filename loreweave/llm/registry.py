@@ -5,11 +5,16 @@ from __future__ import annotations
 from .encoding import p8_ids
 from .mixing import p9_selection, p9_shares
 from .shared_spans import p10_found, p10_shares
+from .splitting import p7_found, p7_pieces
+from .visual import p1_forms, p1_found, p1_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_found": "SELECT DISTINCT 'entities' AS table_name, entity_path AS record_key FROM entities WHERE length(content) > 2000 "
+        "UNION ALL SELECT DISTINCT 'chunks', chunk_id FROM chunks WHERE length(text) > 2000",
+    }
