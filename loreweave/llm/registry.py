@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .encoding import p8_ids
 from .mixing import p9_selection, p9_shares
+from .neighbors import p5_found, p5_nearest
 from .shared_spans import p10_found, p10_shares
 from .splitting import p7_found, p7_pieces
 from .visual import p1_forms, p1_found, p1_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p5_found, p5_nearest, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
