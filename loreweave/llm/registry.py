@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from .distinctive import p6_found, p6_scores
 from .encoding import p8_ids
 from .mixing import p9_selection, p9_shares
 from .neighbors import p5_found, p5_nearest
+from .rank_fusion import p2_quality, p2_ranking
 from .shared_spans import p10_found, p10_shares
 from .splitting import p7_found, p7_pieces
 from .visual import p1_forms, p1_found, p1_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p5_found, p5_nearest, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p2_ranking, p2_quality, p5_found, p5_nearest, p6_found, p6_scores, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": """
+            WITH held AS (SELECT DISTINCT f.record_id, g.gram FROM lexical_ngrams g JOIN lexical_fields f ON f.field_id = g.field_id WHERE g.gram <> ''),
+            rare AS (SELECT gram FROM held GROUP BY gram HAVING count(*) BETWEEN 2 AND 3)
+            SELECT DISTINCT a.record_id AS record_id_a, b.record_id AS record_id_b
+            FROM held a JOIN held b ON a.gram = b.gram AND a.record_id < b.record_id JOIN rare ON rare.gram = a.gram""",
         "p7_found": "SELECT DISTINCT 'entities' AS table_name, entity_path AS record_key FROM entities WHERE length(content) > 2000 "
         "UNION ALL SELECT DISTINCT 'chunks', chunk_id FROM chunks WHERE length(text) > 2000",
     }
