@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` read back from a reliable checkpoint, so that what follows doesn't compute it again."""
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, so that what follows doesn't compute it again.
+
+    The table outlives lost executors. It is compressed and columnar, unlike an RDD checkpoint; it lies below
+    ``loreweave/`` in the shared folder, which whoever owns that folder clears.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = shared_dir(spark)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    path = f"{shared_dir(spark).rstrip('/')}/loreweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: str, most: int = 200_000) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``keys`` (a table that was cut, as it is counted first).
+
+    Up to ``most`` keys are broadcast; more of them take a shuffled join. The rows are the same either way.
+    """
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_semi")
