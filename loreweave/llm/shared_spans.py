@@ -5,8 +5,9 @@ the least length must hold has one smallest hash; all windows that share it form
 right). Compact windows are the upper part of the Cartesian tree over the hashes: those nodes whose subtree is at least
 a window wide. Nodes that wide are exactly the minima of some window, so sliding minima find them first and the tree
 is built over them alone. Two texts with a common span have a compact window in common: the same hash at the
-centre, and enough room on both sides of the two centres. That interval join gives candidate pairs; each is then verified
-on the texts themselves, which also yields the spans.
+centre, enough room on both sides of the two centres, and, as a span reaches farther than one gram, the same bytes
+either before or behind it. That interval join gives candidate pairs; each is then verified on the texts themselves,
+which also yields the spans.
 
 Copies of a text are one class: fingerprints carry the hash of the text, so that copies collapse before the join, and
 pairs are made between classes. Pairs of records follow from the members of both classes.
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, semi_join
 from ..sources.tables import table
 from .arrow import text_bytes
 
 #: Least length of a span in code points, and bytes of a gram.
-SPAN, GRAM = 120, 32
+SPAN, GRAM = 120, 56
 #: Bytes worked on at a time.
 BLOCK = 1 << 19
 #: Fixed base of the rolling hashes (odd).
@@ -90,18 +91,21 @@ def tree_extents(h: list, first: int, last: int, at: list) -> tuple[list, list]:
 
 
 def compact_windows(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, hash, room on the left, room on the right) of the compact windows of texts end to end.
+    """(text, hash, rooms, before, behind) of the compact windows of texts end to end.
 
-    Room is in tokens and stops a window's width away, farther than any span of the least length reaches.
+    rooms: 256 times the tokens on the left, at most a window's width less one, and the same on the right. before and
+    behind: hashes of the bytes that are next to the gram, as many as a span must reach into on one of the sides.
     """
-    window = span - gram + 1
+    window, side = span - gram + 1, (span - gram) // 2
+    if not 1 <= side or window > 255:
+        raise ValueError("a gram has to be shorter than a span by 2 to 254")
     letters = LETTERS[data]
     h = gram_hashes(letters, gram)
     smallest = sliding(h, window, np.minimum) if len(h) >= window else np.zeros(0, np.uint64)
     lengths = np.diff(bounds)
     usable = np.flatnonzero(lengths >= span)
     if not len(smallest) or not len(usable):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int32, np.int32))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int32, np.int32, np.int32))
     # Windows that cross the border of a text count as nothing.
     within = np.zeros(len(data) + 1, np.int32)
     np.add.at(within, bounds[usable], 1)
@@ -122,29 +126,47 @@ def compact_windows(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, gram
             lefts += low
             rights += high
     room = lambda x: np.minimum(x, window - 1).astype(np.int32)
-    return text, h[node], room(node - np.array(lefts, np.int64)), room(np.array(rights, np.int64) - node)
+    rooms = room(node - np.array(lefts, np.int64)) * 256 + room(np.array(rights, np.int64) - node)
+    beside = (gram_hashes(letters, side) >> np.uint64(33)).astype(np.int32)
+    contexts = []
+    for at in (node - side, node + gram):  # beyond the ends of a text there is nothing, -1
+        within = (at >= bounds[text]) & (at + side <= bounds[text + 1])
+        contexts.append(np.where(within, beside[np.where(within, at, 0)], -1).astype(np.int32))
+    return text, h[node], rooms, *contexts
 
 
 LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+_COLUMNS = ["c1", "c2", "hash", "rooms", "before", "behind"]
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple] = set()
     for batch in batches:
-        data, bounds = text_bytes(batch.column(1))
+        # Copies that a task meets again add nothing; which of them it remembers bounds its memory only.
+        if len(seen) > 500_000:
+            seen.clear()
+        fresh = []
+        for k, c in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if c not in seen:
+                seen.add(c)
+                fresh.append(k)
+        batch = batch.take(pa.array(fresh, pa.int64()))
+        data, bounds = text_bytes(batch.column(2))
         i = 0
         while i < len(bounds) - 1:
             j = max(int(np.searchsorted(bounds, bounds[i] + BLOCK, side="right")) - 1, i + 1)
-            text, h, left, right = compact_windows(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], span, gram)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text + i)), pa.array(h.view(np.int64)), pa.array(left), pa.array(right)], names=["class", "hash", "room_left", "room_right"]
-            )
+            text, h, *rest = compact_windows(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], span, gram)
+            rows = pa.array(text + i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h.view(np.int64)), *map(pa.array, rest)], names=_COLUMNS)
             i = j
 
 
 def fingerprints(classes: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(class, hash, room_left, room_right), each once, of texts given as (class, text)."""
-    out = classes.mapInArrow(partial(_fingerprints, span=span, gram=gram), "class binary, hash bigint, room_left int, room_right int")
-    return out.distinct()
+    """The compact windows of texts given as (c1, c2, text), by hash; (c1, c2) is the class of a text."""
+    out = classes.mapInArrow(partial(_fingerprints, span=span, gram=gram), "c1 bigint, c2 bigint, hash bigint, rooms int, before int, behind int")
+    return out.repartition("hash")
 
 
 def _points(text: str) -> np.ndarray:
@@ -184,28 +206,40 @@ def _verify(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordB
         )
 
 
+def text_class(text) -> tuple:
+    """The class of a text: 128 bits of hashes, as two columns."""
+    return F.xxhash64(text).alias("c1"), F.xxhash64(F.lit(1), text).alias("c2")
+
+
 def with_class(docs: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
-    """(key, class, text) of texts that can hold a span; class is the MD5 of the text."""
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= span).withColumn("class", F.unhex(F.md5("text")))
+    """(key, class, text) of texts that can hold a span."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= span)
+    return rows.select("key", F.struct(*text_class(F.col("text"))).alias("class"), "text")
 
 
 def shared_classes(classed: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(class_a, class_b, ranges_a, ranges_b): pairs of different texts with a common span, class_a < class_b."""
-    prints = cut(fingerprints(classed.select("class", "text"), span, gram))
-    window = span - gram + 1
-    repeated = prints.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("hash")
-    rows = cut(prints.join(repeated, "hash", "left_semi"))
-    a = rows.select("hash", F.col("class").alias("class_a"), F.col("room_left").alias("la"), F.col("room_right").alias("ra"))
-    b = rows.select("hash", F.col("class").alias("class_b"), F.col("room_left").alias("lb"), F.col("room_right").alias("rb"))
-    room = F.least("la", "lb") + F.least("ra", "rb") + 1
-    pairs = cut(a.join(b, "hash").filter((F.col("class_a") < F.col("class_b")) & (room >= window)).select("class_a", "class_b").distinct())
-    needed = pairs.select(F.col("class_a").alias("class")).union(pairs.select(F.col("class_b"))).distinct()
-    texts = cut(classed.join(needed, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")))
+    prints = fingerprints(classed.select("class.c1", "class.c2", "text"), span, gram)
+    # All columns are asked for, so that both readers of the fingerprints share one exchange.
+    ends = [f(c).alias(f"{c}_{n}") for c in ("c1", "c2") for n, f in (("low", F.min), ("high", F.max))]
+    repeated = prints.groupBy("hash").agg(*ends, F.coalesce(F.max("rooms"), F.max("before"), F.max("behind")).alias("x"))
+    repeated = repeated.filter("(c1_low < c1_high OR c2_low < c2_high) AND x IS NOT NULL").select("hash")
+    rows = cut(prints.join(repeated, "hash", "left_semi").select("hash", F.struct("c1", "c2").alias("class"), "rooms", "before", "behind").distinct())
+    room = lambda s: (F.floor(F.col(f"rooms_{s}") / 256), F.col(f"rooms_{s}") % 256)
+    (la, ra), (lb, rb) = room("a"), room("b")
+    enough = (F.col("class_a") < F.col("class_b")) & (F.least(la, lb) + F.least(ra, rb) + 1 >= span - gram + 1)
+    found = []
+    for side in ("before", "behind"):
+        a, b = (rows.filter(f"{side} <> -1").select("hash", side, F.col("class").alias(f"class_{s}"), F.col("rooms").alias(f"rooms_{s}")) for s in "ab")
+        found.append(a.join(b, ["hash", side]).filter(enough).select("class_a", "class_b"))
+    pairs = cut(found[0].union(found[1]).distinct())
+    needed = cut(pairs.select(F.col("class_a").alias("class")).union(pairs.select(F.col("class_b"))).distinct())
+    texts = cut(semi_join(classed.select("class", "text"), needed, "class").groupBy("class").agg(F.first("text").alias("text")))
     joined = pairs.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a").join(
         texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b")), "class_b"
     )
-    kind = "array<struct<start: int, end: int>>"
-    return joined.select("class_a", "class_b", "text_a", "text_b").mapInArrow(partial(_verify, span=span), f"class_a binary, class_b binary, ranges_a {kind}, ranges_b {kind}")
+    kind, pair = "array<struct<start: int, end: int>>", "struct<c1: bigint, c2: bigint>"
+    return joined.select("class_a", "class_b", "text_a", "text_b").mapInArrow(partial(_verify, span=span), f"class_a {pair}, class_b {pair}, ranges_a {kind}, ranges_b {kind}")
 
 
 def shared_pairs(docs: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -240,7 +274,7 @@ def shared_report(docs: DataFrame, key: str, text: str, span: int = SPAN, gram:
             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, r.end))))
             ELSE concat(acc, array(r)) END)""").alias("ranges"),
     )
-    every = docs.select(F.col(key).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), F.unhex(F.md5(text)).alias("class"))
+    every = docs.select(F.col(key).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), F.struct(*text_class(F.col(text))).alias("class"))
     chars = F.coalesce(F.expr("aggregate(ranges, 0, (acc, r) -> acc + r.end - r.start)"), F.lit(0))
     return every.join(merged, "class", "left").select(
         "key", "n_chars", F.coalesce("ranges", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("ranges"),
