@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, retrieval
 
-MODULES = (problems,)
+MODULES = (problems, retrieval)
 
 
 def queries() -> dict:
