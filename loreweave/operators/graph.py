@@ -136,19 +136,19 @@ def expand(seeds: DataFrame, admitted: DataFrame, config: GraphExpansionConfig =
     return first.withColumn("score", F.col("seed_score") * config.decay * F.col("factor"))
 
 
-def diverse(direct: DataFrame, expanded: DataFrame, top_k: int, config: GraphExpansionConfig = GraphExpansionConfig()) -> DataFrame:
+def diverse(direct: DataFrame, expanded: DataFrame, top_k: int, config: GraphExpansionConfig = GraphExpansionConfig(), keep: tuple = ()) -> DataFrame:
     """(query_id, entity_path, retriever, claim_path, score, rank): direct hits and some from the graph.
 
     ``direct`` has query_id, entity_path, retriever, score and rank; ``expanded`` is as from `expand` with
     ``same_type``. Of the graph's share, one place is a relation's if there is one (same type first), the others go to different claims, and
-    what is left to further relations.
+    what is left to further relations. ``keep`` names more columns of ``expanded``, null for direct hits.
     """
     budget = min(config.expanded_result_limit or max(1, (top_k + 1) // 2), top_k)
     hits = expanded.select(
         "query_id", F.col("neighbor").alias("entity_path"), F.lit("graph.one-hop").alias("retriever"), "claim_path", "score", "same_type",
-        F.concat_ws(":", "direction", "predicate", F.coalesce("claim_ref", F.lit("")), F.to_json("source_ids"), F.coalesce("confidence", F.lit(""))).alias("tag"),
+        F.concat_ws(":", "direction", "predicate", F.coalesce("claim_ref", F.lit("")), F.to_json("source_ids"), F.coalesce("confidence", F.lit(""))).alias("tag"), *keep,
     )
-    rows = hits.unionByName(direct.select("query_id", "entity_path", "retriever", F.lit(None).cast("string").alias("claim_path"), "score", F.lit(None).cast("boolean").alias("same_type"), F.lit("").alias("tag")))
+    rows = hits.unionByName(direct.select("query_id", "entity_path", "retriever", F.lit(None).cast("string").alias("claim_path"), "score", F.lit(None).cast("boolean").alias("same_type"), F.lit("").alias("tag")), allowMissingColumns=True)
     by_query = Window.partitionBy("query_id")
     score = F.round("score", 9)
     graph = F.col("retriever") == "graph.one-hop"
@@ -164,4 +164,4 @@ def diverse(direct: DataFrame, expanded: DataFrame, top_k: int, config: GraphExp
     relations = first + F.greatest(F.lit(0), F.least(F.col("n_r") - first, budget - first - claims))
     room = F.when(F.col("kind") == "claim", claims).when(F.col("kind") == "relation", relations).otherwise(top_k - relations - claims)
     chosen = rows.filter(F.col("nth") <= room)
-    return chosen.select("query_id", "entity_path", "retriever", "claim_path", "score", F.row_number().over(by_query.orderBy(F.desc(score), "entity_path", "retriever", "place")).alias("rank"))
+    return chosen.select("query_id", "entity_path", "retriever", "claim_path", "score", *keep, F.row_number().over(by_query.orderBy(F.desc(score), "entity_path", "retriever", "place")).alias("rank"))
