@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import bare_source_id, json_strings
 from ..functions.text import character_ngrams, fallback_text, normalize_text
-from ..operators import chunking, context, current, evaluation, fusion, graph, integrity, lexical, vectors
+from ..operators import chunking, context, current, embedding, evaluation, fusion, graph, hybrid, integrity, lexical, vectors
 from ..sources.tables import table
+from .lineage import cut
 
 RETRIEVERS = ("lexical.chunk", "lexical.entity", "vector.chunk", "graph.one-hop")
 BACKENDS = RETRIEVERS[:3]
@@ -127,14 +128,9 @@ def lexical_entity_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_chunk_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical_chunk_hits(spark, d, TOP).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
-
-
-def lexical_chunk_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     rows = chunks(spark, d).withColumn("tags", json_strings(F.col("tags_json")))
-    fields = lexical.field_values(rows, "chunk_id", "chunk", lexical.CHUNK_WEIGHTS)
-    top = lexical.top_k(lexical.lexical_scores(_queries(spark, d), fields, lexical.postings(fields), lexical.CHUNK_WEIGHTS), k)
-    return top.withColumnRenamed("record_id", "chunk_id")
+    asked = cases(spark, d).select("query_id", "query_text")
+    return lexical.scan_top_k(asked, rows, "chunk_id", lexical.CHUNK_WEIGHTS, TOP).select("query_id", "rank", F.col("record_id").alias("chunk_id"), F.round("score", 9).alias("score"))
 
 
 # Chunks
@@ -305,6 +301,32 @@ def eval_compare(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.compare(_results(spark, d, ("lexical.chunk",)), _results(spark, d))
 
 
+# All backends together
+
+
+def _index(spark, d):
+    """An index over the present rows, not stored."""
+    from ..sources.store import Index
+
+    e, c = entities(spark, d), chunks(spark, d)
+    arrays = {x.removesuffix("_json"): json_strings(F.col(x)) for x in ("tags_json", "aliases_json")}
+    fields = lexical.field_values(e.withColumns(arrays), "entity_path", "entity", lexical.ENTITY_WEIGHTS).unionByName(lexical.field_values(c.withColumn("tags", arrays["tags"]), "chunk_id", "chunk", lexical.CHUNK_WEIGHTS))
+    tables = {"entities": e, "chunks": c, "relations": relations(spark, d), "claims": claims(spark, d), "kb_references": references(spark, d), "lexical_fields": fields}
+    tables = {n: cut(t) for n, t in tables.items()}
+    tables["lexical_ngrams"] = cut(lexical.postings(tables["lexical_fields"]))
+    return Index(tables, {"ngram_size": 2})
+
+
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation queries through passages, entities and vectors, fused and expanded by one hop."""
+    index = _index(spark, d)
+    embedder = embedding.HashEmbedder(embedding.EmbeddingConfig("hash-embedder", "sha256", 8))
+    stored = cut(embedding.embed_column(index.tables["chunks"], ["chunk_id", "content_hash"], "text", embedder, "document"))
+    config = hybrid.RetrievalConfig("hybrid", TOP, graph=graph.GraphExpansionConfig(enabled=True))
+    hits = hybrid.search(cases(spark, d).select("query_id", "query_text"), index, config, stored, embedder)
+    return hits.select("query_id", "rank", "entity_path", "retriever", "chunk_id", "claim_path", F.round("score", 9).alias("score"))
+
+
 # Integrity and manifests
 
 
@@ -337,7 +359,7 @@ NAMES = (
     "postings_candidates lexical_field_scores lexical_entity_topk lexical_chunk_topk chunk_entities chunk_ordinals vector_cosine_topk vector_dot_topk "
     "vector_compatibility vector_unusable rrf_fuse rrf_weighted_cutoff rrf_passage_choice fallback_passages relation_merge graph_edges claim_policy claim_opt_in "
     "graph_predicate_filter seed_dedup graph_expand_one_hop value_claim_assertion diverse_select context_references context_unresolved context_dedup "
-    "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity"
+    "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search"
 ).split()
 
 

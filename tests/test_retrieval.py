@@ -36,7 +36,7 @@ def brute_score(q, values, weights, n=2):
     return total
 
 
-def test_lexical_scores_lose_nothing(spark):
+def test_lexical_scores_lose_nothing(spark, monkeypatch):
     r = random.Random(7)
     word = lambda k: "".join(r.choice("abcd 日") for _ in range(k))
     records = [(f"/r{i}", word(8), [word(5) for _ in range(r.randint(0, 3))], word(60), "T" if i % 2 else None) for i in range(60)]
@@ -53,6 +53,12 @@ def test_lexical_scores_lose_nothing(spark):
             if q and (s := brute_score(q, {f: [normalize_value(v) for v in vs] for f, vs in values.items()}, lexical.ENTITY_WEIGHTS)):
                 want[k, p] = s
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    texts = spark.createDataFrame(queries, "query_id string, query_text string")
+    best = sorted((x.query_id, x["rank"], x.record_id, round(x.score, 9)) for x in lexical.top_k(lexical.lexical_scores(asked, fields, lexical.postings(fields), lexical.ENTITY_WEIGHTS), 7).collect())
+    for most in (2048, 3):
+        monkeypatch.setattr(lexical, "SCAN_QUERIES", most)
+        scanned = lexical.scan_top_k(texts, df, "p", lexical.ENTITY_WEIGHTS, 7)
+        assert sorted((x.query_id, x["rank"], x.record_id, round(x.score, 9)) for x in scanned.collect()) == best
     top = lexical.top_k(spark.createDataFrame([("q", "b", 1.0), ("q", "a", 1.0), ("q", "c", 2.0)], "query_id string, record_id string, score double"), 2).collect()
     assert [(x.record_id, x["rank"]) for x in top] == [("c", 1), ("a", 2)]
 
