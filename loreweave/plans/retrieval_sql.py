@@ -1,5 +1,7 @@
 """SQL of the retrieval queries, for comparison."""
 
+#: White space as a character class.
+_WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _IDS = r"""list_filter(list_transform(from_json({0}, '["VARCHAR"]'), lambda e: regexp_replace(regexp_replace(e, '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', '')), lambda e: e <> '')"""
 
 
@@ -102,6 +104,22 @@ _VECTOR = """SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id,
 _KEYS = {"entities": "entity_path", "chunks": "chunk_id", "claims": "claim_key", "relations": "relation_id", "kb_references": "reference_id"}
 
 SQL: dict[str, str] = {
+    "entity_fallback_text": _BASE + f""" SELECT entity_path, sha256(t) AS text_hash, length(t) AS n_chars FROM (
+        SELECT entity_path, coalesce(nullif(regexp_replace(content, '^{_WS}+|{_WS}+$', '', 'g'), ''), nullif(description, ''), title) AS t FROM ents)""",
+    "diverse_select": _GROWN + """, both_hits AS (
+          SELECT g.query_id, g.neighbor AS entity_path, 'graph.one-hop' AS retriever, g.claim_path, g.score, coalesce(a.entity_type = b.entity_type, a.entity_type IS NULL AND b.entity_type IS NULL) AS same_type,
+            concat_ws(':', direction, predicate, coalesce(claim_ref, ''), '[' || CASE WHEN source_ids = '' THEN '' ELSE '"' || replace(source_ids, '|', '","') || '"' END || ']', coalesce(confidence, '')) AS tag
+          FROM grown g JOIN ents a ON a.entity_path = g.seed JOIN ents b ON b.entity_path = g.neighbor
+          UNION ALL SELECT f.query_id, f.entity_path, 'rrf.entity', NULL, f.score, NULL, '' FROM fused f JOIN ents e ON e.entity_path = f.entity_path WHERE f.rank <= 20),
+        placed AS (SELECT *, CASE WHEN retriever = 'rrf.entity' THEN 'direct' WHEN claim_path IS NULL THEN 'relation' ELSE 'claim' END AS kind,
+          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_path, retriever, tag) AS place FROM both_hits),
+        lone AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind, claim_path ORDER BY place) AS _l FROM placed) WHERE kind <> 'claim' OR _l = 1),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY CASE WHEN kind = 'relation' THEN NOT same_type ELSE false END, place) AS nth,
+          count(*) FILTER (kind = 'relation') OVER (PARTITION BY query_id) AS n_r, count(*) FILTER (kind = 'claim') OVER (PARTITION BY query_id) AS n_c FROM lone),
+        room AS (SELECT *, least(1, n_r) AS one, least(n_c, 3 - least(1, n_r)) AS c FROM nth),
+        share AS (SELECT *, one + greatest(0, least(n_r - one, 3 - one - c)) AS r FROM room)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_path, retriever, place) AS rank, entity_path, retriever, claim_path, round(score, 9) AS score
+        FROM share WHERE nth <= CASE kind WHEN 'claim' THEN c WHEN 'relation' THEN r ELSE 5 - r - c END""",
     "char_ngrams": """SELECT DISTINCT field_id, CASE WHEN length(v) <= 2 THEN v ELSE substr(v, i, 2) END AS gram
         FROM (SELECT DISTINCT field_id, normalized_value AS v FROM lexical_fields WHERE field_id IS NOT NULL AND normalized_value <> ''), range(1, 10000) t(i) WHERE i < greatest(length(v), 2)""",
     "gram_document_frequency": """SELECT gram, count(DISTINCT record_id) AS n_records FROM lexical_ngrams g JOIN lexical_fields f ON f.field_id = g.field_id GROUP BY gram HAVING count(DISTINCT record_id) > 0""",
