@@ -84,13 +84,14 @@ def enrichment(counts: DataFrame) -> DataFrame:
     """(kind, record_id, term, k, n_records, p_value, q_value, score) of every term of every record."""
     counts = cut(counts)
     terms = cut(counts.groupBy("kind", "term").agg(F.sum("k").alias("big_k"), F.count("*").alias("n_records")))
-    records = counts.groupBy("kind", "record_id").agg(F.sum("k").alias("n"))
+    records = cut(counts.groupBy("kind", "record_id").agg(F.sum("k").alias("n")))
     totals = {r[0]: int(r[1]) for r in terms.groupBy("kind").agg(F.sum("big_k")).collect()}  # two rows
     size = F.lit(None).cast("bigint")
     for kind, total in totals.items():
         size = F.when(F.col("kind") == kind, F.lit(total).cast("bigint")).otherwise(size)
     keys = ["kind", "term"]
-    full = hot_lookup_join(counts.join(records, ["kind", "record_id"]), terms, keys, terms.select(*keys, F.col("n_records").alias("n"))).withColumn("big_n", size)
+    owned = hot_lookup_join(counts, records, ["kind", "record_id"], records)
+    full = hot_lookup_join(owned, terms, keys, terms.select(*keys, F.col("n_records").alias("n"))).withColumn("big_n", size)
     full = cut(full)
     cells = full.groupBy("kind", "k", "n", "big_k", "big_n").agg(F.count("*").alias("tests"))
     schema = "kind string, k bigint, n bigint, big_k bigint, big_n bigint, tests bigint, ln_p double"
@@ -134,4 +135,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every gram and value of every record."""
-    return enrichment(_counts(spark, d)).withColumns({c: F.round(c, 9) for c in ("p_value", "q_value", "score")})
+    return enrichment(_counts(spark, d)).withColumns({c: F.round(c, 6) for c in ("p_value", "q_value", "score")})

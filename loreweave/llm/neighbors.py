@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.skew import hot_lookup_join
 from ..sources.tables import table
 
 #: Neighbours; vectors a list has on average; lists at most; vectors the centroids are fitted on at most; lists searched.
@@ -229,14 +230,14 @@ def nearest(units: DataFrame, dim: int, k: int = K, probes: int = PROBES, list_s
     # Classes of several keys: each stands for its first k + 1 keys as a hit, and all its keys get hits.
     merged = cut(merged)
     copied = classes.filter("n > 1").select("v", F.col("key").alias("rep"))
-    others = cut(units.join(copied, "v").select("rep", "key"))
+    others = cut(hot_lookup_join(units, copied, ["v"], classes.select("v", "n")).filter("rep IS NOT NULL").select("rep", "key"))
     heads = others.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.col("key"))), 1, k + 1).alias("keys"))
     flat = merged.select("key", F.explode("hits").alias("h")).select("key", F.col("h.key").alias("rep"), F.col("h.similarity").alias("similarity"))
     own = heads.select(F.col("rep").alias("key"), "rep", F.lit(1.0).cast("float").alias("similarity"))
     wide = flat.unionByName(own).join(heads, "rep", "left").select("key", "similarity", F.explode(F.coalesce("keys", F.array("rep"))).alias("hit"))
     lists = wide.groupBy("key").agg(F.collect_set(F.struct(F.col("hit").alias("key"), "similarity")).alias("hits")).withColumnRenamed("key", "rep")
     asked = others.unionByName(classes.filter("n = 1").select(F.col("key").alias("rep"), "key"))
-    return asked.join(lists, "rep", "left").select("key", best(F.filter(F.coalesce("hits", F.expr(f"cast(array() as {hit_type})")), lambda h: h["key"] != F.col("key"))).alias("hits"))
+    return hot_lookup_join(asked, lists, ["rep"], classes.select(F.col("key").alias("rep"), "n")).select("key", best(F.filter(F.coalesce("hits", F.expr(f"cast(array() as {hit_type})")), lambda h: h["key"] != F.col("key"))).alias("hits"))
 
 
 #: Components of a chunk's vector, and the similarity from which two chunks count as found.

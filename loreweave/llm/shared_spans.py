@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, semi_join
+from ..plans.skew import hot_lookup_join
 from ..sources.tables import table
 from .arrow import text_bytes
 
@@ -276,7 +277,8 @@ def shared_report(docs: DataFrame, key: str, text: str, span: int = SPAN, gram:
     )
     every = docs.select(F.col(key).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), F.struct(*text_class(F.col(text))).alias("class"))
     chars = F.coalesce(F.expr("aggregate(ranges, 0, (acc, r) -> acc + r.end - r.start)"), F.lit(0))
-    return every.join(merged, "class", "left").select(
+    counts = every.groupBy("class").agg(F.count("*").alias("n"))
+    return hot_lookup_join(every, merged, ["class"], counts).select(
         "key", "n_chars", F.coalesce("ranges", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("ranges"),
         chars.alias("shared_chars"), F.coalesce(F.try_divide(chars, F.col("n_chars")), F.lit(0.0)).alias("shared_ratio"),
     )

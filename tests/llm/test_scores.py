@@ -57,3 +57,12 @@ def test_no_scorer_wins_by_its_range(spark):
     by_entity = sum(got[q, i] == 1 for q in range(40) for _, i in [max((s, i) for p, i, n, s in data if p == q and n == "lexical.entity")])
     by_vector = sum(got[q, i] == 1 for q in range(40) for _, i in [max((s, i) for p, i, n, s in data if p == q and n == "vector.chunk")])
     assert by_vector > 2 * by_entity
+
+
+def test_clashing_columns_and_a_hot_record(spark):
+    grams = [(i % 40, f"g{i}") for i in range(400)]
+    fields = spark.createDataFrame([(i, "/hot" if i < 30 else f"/r{i}", f"v{i}", 1, "x") for i in range(40)], "field_id bigint, record_id string, normalized_value string, k int, term string")
+    got = enrichment(term_counts(fields, spark.createDataFrame([(a, b, 3) for a, b in grams], "field_id bigint, gram string, n int"))).collect()
+    assert len(got) == 440 and all(0 < r.p_value <= 1 and r.p_value <= r.q_value <= 1 for r in got)
+    df = spark.createDataFrame([(1, "x", "vector.chunk", 0.9, 5, 6.0)], "grp bigint, item string, scorer string, score double, rank int, share double")
+    assert [(r["rank"], r.n_scorers) for r in one_ranking(df, DIRECTIONS).collect()] == [(1, 1)]

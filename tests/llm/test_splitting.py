@@ -50,6 +50,11 @@ def test_headings_positions_and_odd_rows(spark):
         assert all(len(r.piece) <= 2000 for r in got[k]) and all(t[r.start : r.end] == r.piece for r in got[k])
 
 
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([("t", "a", None, "y " * 1500, 7, "p")], "table_name string, record_key string, heading string, text string, ordinal int, piece string")
+    assert [r.ordinal for r in split_texts(df).orderBy("ordinal").collect()] == [0, 1] and split_texts(df.limit(0)).collect() == []
+
+
 def test_bad_overlap():
     with pytest.raises(ValueError):
         cut_all(["a"], 100, 50)
