@@ -165,3 +165,21 @@ def diverse(direct: DataFrame, expanded: DataFrame, top_k: int, config: GraphExp
     room = F.when(F.col("kind") == "claim", claims).when(F.col("kind") == "relation", relations).otherwise(top_k - relations - claims)
     chosen = rows.filter(F.col("nth") <= room)
     return chosen.select("query_id", "entity_path", "retriever", "claim_path", "score", *keep, F.row_number().over(by_query.orderBy(F.desc(score), "entity_path", "retriever", "place")).alias("rank"))
+
+
+def assertions(relations: DataFrame, claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_path, kind, predicate, target, status, confidence, confidence_weight, affirmative, source_ids): all that is
+    asserted of each entity, one row each: the relations that leave it and the claims about it, repeated ones once.
+
+    Rows rather than an array for each entity, as one entity may hold a large share of all of them.
+    """
+    r = merged_relations(relations).select(
+        F.col("source").alias("entity_path"), F.lit("relation").alias("kind"), "predicate", "target", F.lit(None).cast("string").alias("claim_ref"), F.lit(None).cast("string").alias("status"), "confidence",
+        F.when(F.col("confidence").isNull(), 1.0).otherwise(confidence_weight(F.col("confidence"))).alias("confidence_weight"), F.lit(True).alias("affirmative"), "source_ids",
+    )
+    status = F.lower("status")
+    c = claims.filter("subject IS NOT NULL").select(
+        F.col("subject").alias("entity_path"), F.lit("claim").alias("kind"), F.coalesce("predicate", "property").alias("predicate"), "target", F.coalesce("claim_path", "claim_id").alias("claim_ref"), status.alias("status"), "confidence",
+        confidence_weight(F.col("confidence")).alias("confidence_weight"), (status == "accepted").alias("affirmative"), bare_ids(F.col("source_ids_json")).alias("source_ids"),
+    )
+    return r.unionByName(c.distinct()).join(entities.select("entity_path").distinct(), "entity_path", "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import bare_source_id, json_strings
 from ..functions.text import character_ngrams, fallback_text, normalize_text
-from ..operators import chunking, context, current, embedding, evaluation, fusion, graph, hybrid, integrity, lexical, vectors
+from ..operators import canonical, chunking, context, current, embedding, evaluation, fusion, graph, hybrid, integrity, lexical, vectors
 from ..sources.tables import table
 from .lineage import cut
 
@@ -253,6 +253,11 @@ def diverse_select(spark: SparkSession, d: str) -> DataFrame:
     return graph.diverse(direct, found, TOP, config).select("query_id", "rank", "entity_path", "retriever", "claim_path", F.round("score", 9).alias("score"))
 
 
+def applicable_assertions(spark: SparkSession, d: str) -> DataFrame:
+    a = graph.assertions(relations(spark, d), claims(spark, d), entities(spark, d))
+    return a.withColumn("source_ids", F.array_join("source_ids", "|"))
+
+
 # Context
 
 
@@ -342,6 +347,10 @@ def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
     return integrity.table_counts({n: table(spark, d, n) for n in integrity.TABLES})
 
 
+def canonical_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.chunk_lines(chunks(spark, d))
+
+
 def inspect_entity(spark: SparkSession, d: str) -> DataFrame:
     """Each entity with the numbers of what refers to it."""
     own = entities(spark, d).select("entity_path", "entity_type")
@@ -359,7 +368,7 @@ NAMES = (
     "postings_candidates lexical_field_scores lexical_entity_topk lexical_chunk_topk chunk_entities chunk_ordinals vector_cosine_topk vector_dot_topk "
     "vector_compatibility vector_unusable rrf_fuse rrf_weighted_cutoff rrf_passage_choice fallback_passages relation_merge graph_edges claim_policy claim_opt_in "
     "graph_predicate_filter seed_dedup graph_expand_one_hop value_claim_assertion diverse_select context_references context_unresolved context_dedup "
-    "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search"
+    "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search applicable_assertions canonical_chunks"
 ).split()
 
 

@@ -156,6 +156,13 @@ SQL: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY query_id, entity_path ORDER BY rank, -score) AS _s FROM pks WHERE retriever = 'lexical.chunk' AND score IS NOT NULL AND NOT isnan(score)) WHERE _s = 1""",
     "graph_expand_one_hop": _GROWN + " SELECT query_id, seed, neighbor, direction, predicate, kind, claim_ref, source_ids, round(score, 9) AS score FROM grown",
     "value_claim_assertion": _GROWN + " SELECT query_id, neighbor, predicate, claim_ref, round(score, 9) AS score FROM grown WHERE direction = 'assertion'",
+    "applicable_assertions": _BASE + _EDGES + f""", w AS (SELECT map {{'A': 1.0, 'B': 0.75, 'C': 0.5, 'D': 0.25}} AS m),
+        all_of AS (SELECT source AS entity_path, 'relation' AS kind, predicate, target, NULL::VARCHAR AS claim_ref, NULL::VARCHAR AS status, confidence,
+            (CASE WHEN confidence IS NULL THEN 1.0 ELSE coalesce(m[confidence], 0.5) END)::DOUBLE AS confidence_weight, true AS affirmative, source_ids FROM merged, w
+          UNION ALL SELECT DISTINCT subject, 'claim', coalesce(predicate, property), target, coalesce(claim_path, claim_id), lower(status), confidence, coalesce(m[confidence], 0.5)::DOUBLE, lower(status) = 'accepted',
+            array_to_string(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_position(ids, ids[i]) = i THEN ids[i] END), '|')
+          FROM (SELECT *, coalesce({_IDS.format("source_ids_json")}, []) AS ids FROM cls), w WHERE subject IS NOT NULL)
+        SELECT * FROM all_of WHERE entity_path IN (SELECT entity_path FROM ents)""",
     "context_references": _BASE + _SOURCES + " SELECT packet_id, source_id, title, year, resolved FROM rsv",
     "context_unresolved": _BASE + _SOURCES + " SELECT source_id, count(DISTINCT packet_id) AS n_packets FROM rsv WHERE NOT resolved GROUP BY ALL",
     "context_dedup": _BASE + """ SELECT query_id, packet_id, entity_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, entity_path, section, text, source_ids, retriever

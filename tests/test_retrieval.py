@@ -5,7 +5,7 @@ import pytest
 
 from loreweave.functions.ids import bare_source_id
 from loreweave.functions.text import character_ngrams, normalize_text, normalize_value
-from loreweave.operators import chunking, context, current, evaluation, fusion, graph, integrity, lexical, vectors
+from loreweave.operators import canonical, chunking, context, current, evaluation, fusion, graph, integrity, lexical, vectors
 from pyspark.sql import functions as F
 
 
@@ -193,3 +193,34 @@ def test_integrity_and_newest(spark, rows):
     assert rows(current.newest(df, "k"), "k", "v") == [("b", "y"), ("c", "w")]
     assert rows(integrity.duplicate_keys({"t": (df, "k")})) == [("t", "a", 2), ("t", "b", 2)]
     assert current.newest(df.limit(0), "k").count() == 0
+
+
+def test_canonical_lines(spark):
+    import json
+    import struct
+
+    cols = ", ".join(f"{c} {'int' if c == 'ordinal' else 'string'}" for c in (*canonical.CHUNK_COLUMNS, "loaded_at"))
+    row = lambda path, n, i: tuple({"chunk_id": i, "entity_path": path, "ordinal": n, "heading": None}.get(c, 0 if c == "ordinal" else "é") for c in (*canonical.CHUNK_COLUMNS, "loaded_at"))
+    df = spark.createDataFrame([row("/b", 0, "b0"), row("/a", 1, "a1"), row("/a", 0, "a0")], cols)
+    lines = [json.loads(r.line) for r in canonical.chunk_lines(df).collect()]
+    assert [x["chunk_id"] for x in lines] == ["a0", "a1", "b0"] and all(list(x) == sorted(x) and x["heading"] is None for x in lines)
+    assert canonical.duplicate_ordinals(df.union(df.limit(1))).count() == 1
+    v = spark.createDataFrame([("b", "h", [1.5, -0.0]), ("a", "h", [2.0])], "chunk_id string, content_hash string, vector array<double>")
+    got = [json.loads(r.line) for r in canonical.vector_lines(v).collect()]
+    assert [x["chunk_id"] for x in got] == ["a", "b"] and got[1]["vector_hex"] == struct.pack(">2d", 1.5, -0.0).hex()
+
+
+def test_admission():
+    from types import SimpleNamespace
+
+    report = {"k": 5, "evaluation_case_hash": "c", "snapshot_hash": "s", "retrieval_mode": "lexical", "package_identity": "p"}
+    row = SimpleNamespace(improvement=0.1, mrr_delta=-0.2, regressions=1, gap_fixed=False)
+    assert evaluation.admit(report, report, row, evaluation.EvaluationProfile(maximum_mrr_regression=0.3, maximum_per_query_regressions=1)) == (True, [])
+    ok, why = evaluation.admit(report, {**report, "k": 3, "retrieval_mode": "hybrid", "snapshot_hash": ""}, row, evaluation.EvaluationProfile(minimum_improvement=0.2, require_lexical_gap_success=True))
+    assert not ok and len(why) == 9
+
+
+def test_assertions(spark, graph_tables):
+    e, r, c = graph_tables
+    got = {(x.entity_path, x.kind, x.predicate, x.claim_ref): (x.confidence_weight, x.affirmative) for x in graph.assertions(r, c, e).collect()}
+    assert len(got) == 9 and got["/b", "relation", "knows", None] == (1.0, True) and got["/a", "claim", "taught", "/k2"] == (0.25, False) and got["/a", "claim", "taught", "/k4"] == (1.0, None)
