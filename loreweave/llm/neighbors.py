@@ -6,7 +6,9 @@ residual's length, its inner product with its own sign pattern, and that with th
 query is estimated without bias, with an error bound that holds with high probability; only vectors whose bound
 reaches the query's k-th best so far are reranked with their full components.
 
-A query first searches its own list, which gives it an exact k-th best, and takes that along to its next nearest lists. Lists
+A query first searches its own list, which gives it an exact k-th best, and takes that along to every other list that may hold a
+better one: all but those whose widest member can't come as near to the query as its k-th best, by the angles to the centroid. There
+is no number of lists at which it stops, so wide lists make the work grow with the square of the vectors. Lists
 beyond `BLOCK` members and beyond `QUERIES` queries are split into blocks, each of which is searched, so no task grows with a list.
 Equal vectors are one class that is searched once.
 """
@@ -25,10 +27,12 @@ from ..plans.lineage import cut
 from ..plans.skew import hot_lookup_join
 from ..sources.tables import table
 
-#: Neighbours; vectors a list has on average; lists at most; vectors the centroids are fitted on at most; lists searched.
-K, LIST, LISTS, SAMPLE, PROBES = 10, 4096, 16_384, 40_960, 6
+#: Neighbours; vectors a list has on average; lists at most; vectors the centroids are fitted on at most.
+K, LIST, LISTS, SAMPLE = 10, 4096, 16_384, 40_960
 #: Members and queries of a block; width of the error bound.
 BLOCK, QUERIES, EPSILON = 8192, 65_536, 1.9
+#: Radians by which a list may seem too far and is searched still, for the rounding of single precision.
+SLACK = 0.005
 
 
 @lru_cache(maxsize=4)
@@ -135,16 +139,40 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 3
     return c
 
 
-def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds each vector's list, and its similarity to the centroid."""
     for b in batches:
         x = _matrix(b.column(1), centroids.shape[1])
-        near = np.zeros((0, probes), np.int32)
+        own, near = np.zeros(len(x), np.int32), np.zeros(len(x), np.float32)
         for i in range(0, len(x), 1024):
             s = x[i : i + 1024] @ centroids.T
-            top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-            near = np.concatenate([near, np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes), pa.array(near.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "lists"])
+            own[i : i + 1024] = s.argmax(axis=1)
+            near[i : i + 1024] = s.max(axis=1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(near)], names=[*b.schema.names, "list", "near"])
+
+
+def within_reach(q: np.ndarray, floor: np.ndarray, centroids: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """(query, list): whether a list, none of whose members is further from its centroid than its radius, can hold a vector of similarity ``floor``."""
+    angle = lambda s: np.arccos(np.clip(s, -1, 1))
+    return angle(q @ centroids.T) - radius <= angle(floor)[:, None] + SLACK
+
+
+def _reach(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, radius: np.ndarray, count: bool) -> Iterator[pa.RecordBatch]:
+    """Adds the lists that each query searches; or, for counts, (list, n)."""
+    step = max(1, 1_000_000 // len(centroids))
+    for b in batches:
+        q, floor = _matrix(b.column(1), centroids.shape[1]), b.column(2).to_numpy(zero_copy_only=False)
+        total = np.zeros(len(centroids), np.int64)
+        for i in range(0, len(q), step):
+            may = within_reach(q[i : i + step], floor[i : i + step], centroids, radius)
+            if count:
+                total += may.sum(axis=0)
+                continue
+            offsets = np.concatenate([[0], np.cumsum(may.sum(axis=1))]).astype(np.int32)
+            part = b.slice(i, step)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(may)[1].astype(np.int32)))], names=[*b.schema.names, "lists"])
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids), dtype=np.int32)), pa.array(total)], names=["list", "n"])
 
 
 _HITS = pa.list_(pa.struct([("key", pa.string()), ("similarity", pa.float32())]))
@@ -170,7 +198,7 @@ def _own_list(group: pa.Table, centroids: np.ndarray, k: int) -> pa.Table:
     count = np.bincount(i, minlength=len(x))
     last = np.searchsorted(i, np.arange(len(x)), side="right") - 1
     floor = np.where(count >= k, score[np.maximum(last, 0)] if len(score) else -2, np.float32(-2)).astype(np.float32)
-    return pa.table({"key": keys, "v": group["v"], "lists": group["lists"], "block": group["block"], "floor": pa.array(floor), "hits": _hits(len(x), i, keys, j, score)})
+    return pa.table({"key": keys, "v": group["v"], "floor": pa.array(floor), "own": group["list"], "own_block": group["block"], "hits": _hits(len(x), i, keys, j, score)})
 
 
 def _other_list(members: pa.Table, queries: pa.Table, centroids: np.ndarray, k: int) -> pa.Table:
@@ -187,11 +215,12 @@ def _other_list(members: pa.Table, queries: pa.Table, centroids: np.ndarray, k:
     return pa.table({"key": pa.concat_arrays(queries["key"].chunks).take(some), "hits": hits.take(some)}, schema=schema)
 
 
-def nearest(units: DataFrame, dim: int, k: int = K, probes: int = PROBES, list_size: int = LIST) -> DataFrame:
+def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST) -> DataFrame:
     """(key, hits): the k most similar other keys of each, best first, ties by key.
 
     ``units`` is as from `usable_vectors`. A key of equal vectors has the others of its class among its hits. Fewer
-    than k other vectors give fewer hits; none, an empty list. Hits are found by an index: see the README for recall.
+    than k other vectors give fewer hits; none, an empty list. Every list that may hold a hit is searched; in
+    a list the bounds of the codes hold with high probability: see the README for recall.
     """
     units = cut(units)
     classes = cut(units.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("n")))
@@ -206,18 +235,22 @@ def nearest(units: DataFrame, dim: int, k: int = K, probes: int = PROBES, list_s
     if not len(sample):
         sample = np.frombuffer(bytes(classes.first().v), np.float32).reshape(-1, dim)
     centroids = fit_centroids(sample, int(np.clip(-(-n // list_size), 1, LISTS)))
-    probes = min(probes, len(centroids))
-    placed = cut(classes.select("key", "v").mapInArrow(partial(_assign, centroids=centroids, probes=probes), "key string, v binary, lists array<int>"))
+    member = cut(classes.select("key", "v").mapInArrow(partial(_assign, centroids=centroids), "key string, v binary, list int, near float"))
     # At most as many rows as there are lists.
-    sizes = {r[0]: (r[1], r[2]) for r in placed.select(F.posexplode("lists").alias("p", "l")).groupBy("l").agg(F.sum((F.col("p") == 0).cast("int")), F.count("*")).collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in member.groupBy("list").agg(F.count("*"), F.min("near")).collect()}
+    radius = np.array([np.arccos(np.clip(sizes[i][1], -1, 1)) if i in sizes else -np.inf for i in range(len(centroids))])
     blocks = np.array([max(1, -(-sizes.get(i, (0, 0))[0] // BLOCK)) for i in range(len(centroids))])
-    salts = np.array([max(1, -(-sizes.get(i, (0, 0))[1] // QUERIES)) for i in range(len(centroids))])
     by_list = lambda values, c: F.element_at(F.array(*[F.lit(int(x)) for x in values]), c + 1) if values.max() > 1 else F.lit(1)
-    member = placed.withColumn("list", F.element_at("lists", 1)).withColumn("block", F.pmod(F.xxhash64("key"), by_list(blocks, F.col("list"))).cast("int"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("key"), by_list(blocks, F.col("list"))).cast("int"))
     first = cut(
-        member.groupBy("list", "block").applyInArrow(lambda g: _own_list(g, centroids, k), f"key string, v binary, lists array<int>, block int, floor float, hits {hit_type}")
+        member.groupBy("list", "block").applyInArrow(lambda g: _own_list(g, centroids, k), f"key string, v binary, floor float, own int, own_block int, hits {hit_type}")
     )
-    left = first.select("key", "v", "floor", F.element_at("lists", 1).alias("own"), F.col("block").alias("own_block"), F.explode("lists").alias("list"))
+    asking = first.select("key", "v", "floor", "own", "own_block")
+    reach = partial(_reach, centroids=centroids, radius=radius)
+    searching = {r[0]: r[1] for r in asking.mapInArrow(partial(reach, count=True), "list int, n long").groupBy("list").agg(F.sum("n")).collect()}
+    salts = np.array([max(1, -(-searching.get(i, 0) // QUERIES)) for i in range(len(centroids))])
+    left = asking.mapInArrow(partial(reach, count=False), "key string, v binary, floor float, own int, own_block int, lists array<int>")
+    left = left.select("key", "v", "floor", "own", "own_block", F.explode("lists").alias("list"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), by_list(blocks, F.col("list")) - 1))).filter("NOT (list = own AND block = own_block)")
     left = left.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(2)), by_list(salts, F.col("list"))).cast("int")).select("list", "block", "salt", "key", "v", "floor")
     right = member.withColumn("salt", F.explode(F.sequence(F.lit(0), by_list(salts, F.col("list")) - 1))).select("list", "block", "salt", "key", "v")

@@ -32,6 +32,30 @@ def test_recall(spark, monkeypatch, block, queries):
     assert np.mean([len(want[k] & set(v)) / 10 for k, v in got.items()]) >= 0.95
 
 
+def test_recall_with_many_lists(spark):
+    x = data(3000)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {f"k{i}": {f"k{j}" for j in np.argsort(-r)[:10]} for i, r in enumerate(s)}
+    got = {r.key: {h.key for h in r.hits} for r in nearest(usable_vectors(frame(spark, [(f"k{i}", v) for i, v in enumerate(x)]), "id", "vector", DIM), DIM, list_size=30).collect()}
+    assert set(got) == set(want) and np.mean([len(want[k] & v) / 10 for k, v in got.items()]) >= 0.995
+
+
+def test_lists_out_of_reach_hold_nothing_better():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((6, DIM)), 50, axis=0) + 0.1 * rng.standard_normal((300, DIM))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = neighbors.fit_centroids(x, 12)
+    s = x @ c.T
+    own = s.argmax(axis=1)
+    radius = np.array([np.arccos(np.clip(s[own == i, i].min(initial=1), -1, 1)) for i in range(12)])
+    floor = np.sort(x @ x.T, axis=1)[:, -11]
+    may = neighbors.within_reach(x, floor, c, radius)
+    assert may[np.arange(300)[:, None], own[np.argsort(-(x @ x.T), axis=1)[:, :11]]].all() and may.mean() < 0.5
+    assert neighbors.within_reach(x, np.full(300, -2, np.float32), c, radius).all()  # fewer than k so far
+
+
 def test_estimates_stay_within_their_bounds():
     x = data(500).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
