@@ -7,7 +7,7 @@ directions, weigh the centred shares; an item's projection orders it. An item th
 all that it did rate.
 
 Defined results: null, NaN and infinite scores, and null groups, items and scorers are no ratings. Of several ratings
-of an item by a scorer the best counts. Equal scores get equal shares; equal projections are ordered by item. A scorer whose shares
+of an item by a scorer the best counts. Items that are given apart from the ratings and have none come last, with no scorers. Equal scores get equal shares; equal projections are ordered by item. A scorer whose shares
 don't vary with any other's gets the mean of the other loadings; with no correlation at all, all weigh the same.
 """
 
@@ -62,12 +62,18 @@ def loadings(wide: DataFrame, scorers: list[str], directions: dict[str, int]) ->
     return first / first.sum()
 
 
-def one_ranking(ratings: DataFrame, directions: dict[str, int]) -> DataFrame:
-    """(grp, item, rank, projection, n_scorers) of every rated item, best first within its group."""
+def one_ranking(ratings: DataFrame, directions: dict[str, int], listed: DataFrame | None = None) -> DataFrame:
+    """(grp, item, rank, projection, n_scorers) of every rated item, best first within its group.
+
+    ``listed`` (grp, item) has items that are ranked even if no scorer rated them.
+    """
     scorers = list(directions)
     shares = rank_shares(ratings, directions)
     wide = cut(shares.groupBy("grp", "item").agg(*[F.max(F.when(F.col("scorer") == s, F.col("share"))).alias(f"c{i}") for i, s in enumerate(scorers)]))
     weights = loadings(wide, scorers, directions)
+    if listed is not None:
+        unrated = listed.select("grp", "item").filter("grp IS NOT NULL AND item IS NOT NULL").distinct().join(wide.select("grp", "item"), ["grp", "item"], "left_anti")
+        wide = wide.unionByName(unrated, allowMissingColumns=True)
     columns = [F.col(f"c{i}") for i in range(len(scorers))]
     projection = sum((F.coalesce(c, F.lit(0.0)) - 0.5) * float(w) for c, w in zip(columns, weights))
     rated = sum(c.isNotNull().cast("int") for c in columns)
@@ -85,8 +91,9 @@ def _ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The entities of each query in one ranking."""
-    return one_ranking(_ratings(spark, d), DIRECTIONS).select(F.col("grp").alias("query_id"), F.col("item").alias("entity_path"), "rank", "projection", "n_scorers")
+    """The entities of each query in one ranking, those of its packets without a usable score last."""
+    ratings = _ratings(spark, d)
+    return one_ranking(ratings, DIRECTIONS, ratings).select(F.col("grp").alias("query_id"), F.col("item").alias("entity_path"), "rank", "projection", "n_scorers")
 
 
 def p2_quality(spark: SparkSession, d: str) -> DataFrame:

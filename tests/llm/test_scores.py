@@ -44,6 +44,13 @@ def test_rank_shares_and_ranking(spark):
     assert one_ranking(df.limit(0), DIRECTIONS).collect() == []
 
 
+def test_listed_items_without_ratings_come_last(spark):
+    data = [("1", "x", "vector.chunk", 0.9), ("1", "b", "vector.chunk", float("nan")), ("1", "a", "lexical.chunk", None), ("1", "a", "unknown", 3.0), ("1", "y", "vector.chunk", 0.1), ("2", "z", "vector.chunk", float("inf")), ("2", None, "vector.chunk", 1.0), (None, "z", "vector.chunk", 1.0)]
+    df = spark.createDataFrame(data, "grp string, item string, scorer string, score double")
+    got = sorted((r.grp, r["rank"], r.item, r.n_scorers) for r in one_ranking(df, DIRECTIONS, df).collect())
+    assert got == [("1", 1, "x", 1), ("1", 2, "y", 1), ("1", 3, "a", 0), ("1", 4, "b", 0), ("2", 1, "z", 0)]
+
+
 def test_no_scorer_wins_by_its_range(spark):
     rng = np.random.default_rng(3)
     data = []
