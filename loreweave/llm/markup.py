@@ -54,7 +54,7 @@ INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{0,300}?)(?<=[^\s\\$])\$(?!
 PATH = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]:\\|\\\\[\w.$-]+\\)[^\s\"'<>|]*")
 URL = re.compile(r"(?:https?|ftp)://[^\s<>\[\]{}|\"')]+")
 
-W_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*$.*?(?:^[ \t]*\|\}|\Z)", re.M | re.S)
+W_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(?:(?![ \t]*(?:\{\||\|\}))[^\n]*\n)*+[ \t]*\|\}", re.M)  # an innermost one
 W_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*\r?$", re.M)
 W_LINK = re.compile(r"\[\[([^\[\]\n|]+)((?:\|[^\[\]\n|]*)*)\]\]")
 W_OUTER = re.compile(r"\[(?:https?:)?//[^\s\]]+(?:[ \t]+([^\]\n]+))?\](?!\()")
@@ -95,6 +95,13 @@ MARK = "\ue000"  # begins and ends the number of a protected piece
 HELD = re.compile(f"{MARK}(\\d+){MARK}")
 
 
+def settled(change, t: str) -> str:
+    """``t`` changed again and again, until nothing changes."""
+    while (after := change(t)) != t:
+        t = after
+    return t
+
+
 class Reading:
     """One pass over a text: the kinds found, and the plain text."""
 
@@ -155,18 +162,26 @@ class Reading:
             t = sub(W_QUOTE, lambda m: m[2])
             t = sub(W_QUOTE, lambda m: m[2])
         if "{|" in t:
-            t = sub(W_TABLE, self.wiki_table)
+            t = settled(lambda t: W_TABLE.sub(self.note(WIKI, self.wiki_table), t), t)
         if "==" in t:
             t = sub(W_HEAD, lambda m: f"{self.hold('h', '#' * len(m[1]))} {m[2]}")
         return t
 
     def wiki_table(self, m: re.Match) -> str:
-        rows = []
+        rows: list[list[str]] = []  # kind and text
         for line in m[0].split("\n")[1:]:
             line = line.strip()
-            if line[:1] in "|!" and line[:2] not in ("|-", "|}", "|+") and line:
-                rows.append("| " + " | ".join(re.split(r"\s*(?:\|\||!!)\s*", line[1:].strip())) + " |")
-        return "\n".join(self.hold("cell", r) for r in rows)
+            if line[:2] in ("|-", "|}") or not line:
+                continue
+            if line[:2] == "|+":
+                rows.append(["caption", line[2:].strip()])
+            elif line[0] in "|!":
+                rows.append(["cell", " | ".join(re.split(r"\s*(?:\|\||!!)\s*", line[1:].strip()))])
+            elif rows:  # goes on with the caption or the last cell
+                rows[-1][1] = f"{rows[-1][1]} {line}".strip()
+            else:
+                rows.append(["caption", line])
+        return "\n".join(self.hold("cell", f"| {x} |") if kind == "cell" else x for kind, x in rows)
 
     def latex(self, t: str) -> str:
         if "\\" not in t:

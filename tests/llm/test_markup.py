@@ -24,6 +24,18 @@ def test_structure_is_kept():
     assert read_markup("{|\n! a !! b\n|-\n| 1 || 2\n|}")[1] == "| a | b |\n| 1 | 2 |"
 
 
+def test_wiki_tables_need_their_end():
+    for text in ("{|x| < 1} holds.\nAll else\nstays.", "a\n{| class=w\n| 1\n\nMore text."):
+        assert read_markup(text) == ([], text)
+    assert read_markup("{|x| < 1}\nb\n{|\n| 1\n|}\nc")[1] == "{|x| < 1}\nb\n| 1 |\nc"
+
+
+def test_wiki_tables_are_kept_whole():
+    assert read_markup("{|\n|+ The caption\ngoes on\n|-\n| a\nand more || b\n! c\nlast\n|}\nend")[1] == "The caption goes on\n| a and more || b |\n| c last |\nend"
+    clean = read_markup("{|\n| out\n{|\n| in\n|}\n|}")[1]
+    assert "out" in clean and "in" in clean and "{|" not in clean and "|}" not in clean
+
+
 def test_paths_of_little_text_are_residue():
     nodes = [(("p",), "A long paragraph, with marks. " * 5), (("nav",), "x"), (("nav", "span"), "x"), (("nav", "span"), "y"), (("nav", "div"), "x"), (("li",), "y")]
     assert select_nodes(nodes) == [True, True, False, False, False, True]
