@@ -50,7 +50,7 @@ FENCE = re.compile(r"^(?P<q> {0,3}(?:> ?)*)(?P<f>`{3,}|~{3,})(?P<info>[^\n]*)\n(
 SPAN = re.compile(r"(?<!`)(`+)(?!`)((?:[^\n]|\n(?!\s*\n))+?)(?<!`)\1(?!`)")
 COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>|<\?xml[^>]*\?>|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 DISPLAY = re.compile(r"\$\$(?=[^$]*\S)[^$]+\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}.*?\\end\{\1\2\}", re.S)
-INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{0,300}?)(?<=[^\s\\$])\$(?![\w$])")
+INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*?)(?<=[^\s\\$])\$(?![\w$])")
 PATH = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]:\\|\\\\[\w.$-]+\\)[^\s\"'<>|]*")
 URL = re.compile(r"(?:https?|ftp)://[^\s<>\[\]{}|\"')]+")
 
@@ -58,7 +58,7 @@ W_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(?:(?![ \t]*(?:\{\||\|\}))[^\n]*\n)*+[
 W_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*\r?$", re.M)
 W_LINK = re.compile(r"\[\[([^\[\]\n|]+)((?:\|[^\[\]\n|]*)*)\]\]")
 W_OUTER = re.compile(r"\[(?:https?:)?//[^\s\]]+(?:[ \t]+([^\]\n]+))?\](?!\()")
-W_TEMPLATE = re.compile(r"(?<![{\w\\}])\{\{[ \t]*([A-Za-z#][^{}\n|]*)(?:\|[^{}]*)?\}\}(?!\})")
+W_TEMPLATE = re.compile(r"(?<![{\w\\}])\{\{[ \t]*([A-Za-z#][^{}\n|]*)(?:\|[^{}]*)?\}\}(?!\}(?!\}))")
 W_QUOTE = re.compile(r"(?<![A-Za-z0-9'])('{2,3}|'{5})(?=[^\s'])([^\n]*?[^\s'])\1(?!')")
 W_WORD = re.compile(r"^[ \t]*#REDIRECT\b|__(?:NO)?(?:EDITSECTION|TOC|FORCETOC|INDEX|GALLERY|HIDDENCAT)__", re.M | re.I)
 
@@ -66,6 +66,8 @@ L_ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n
 L_HEAD = re.compile(r"\\((?:sub)*section|chapter|part|paragraph)\*?\{((?:[^{}\n]|\{[^{}\n]*\})*)\}")
 L_GROUP = re.compile(r"\{\\(?:it|bf|em|rm|tt|sc|sl|itshape|bfseries|ttfamily)\b[ \t]*([^{}]*)\}")
 L_COMMAND = re.compile(r"\\([A-Za-z]+)\*?(?=[{\[])((?:\[[^\]\n]*\])*)(?:\{((?:[^{}]|\{[^{}]*\})*)\})?|\\(" + "|".join(sorted(COMMANDS, key=len, reverse=True)) + r")(?![A-Za-z])(?:\{\})?[ \t]?")
+#: Only with an argument, and none that holds deeper groups; the last group is never set.
+L_INNER = re.compile(r"\\([A-Za-z]+)\*?(?=[{\[])((?:\[[^\]\n]*\])*+)(?:\{((?:[^{}]|\{[^{}]*\})*)\}|(?!\{))|((?!))")
 L_ACCENT = re.compile(r"""\\([`'^"~=.])(?:\{\\?([A-Za-z])\}|([aeiouyncszAEIOUYNCSZ]))|\\([,;])""")
 #: Combining marks of LaTeX accents.
 MARKS = {"`": "̀", "'": "́", "^": "̂", '"': "̈", "~": "̃", "=": "̄", ".": "̇"}
@@ -154,13 +156,12 @@ class Reading:
         if "__" in t or "#" in t:
             t = sub(W_WORD, "")
         if "{{" in t:
-            t = sub(W_TEMPLATE, "")
+            t = settled(lambda t: W_TEMPLATE.sub(self.note(WIKI, ""), t), t)
         if "[" in t:
             t = sub(W_LINK, lambda m: "" if re.match(r"(?i)(?:category|file|image):", m[1]) else (m[2].rpartition("|")[2] or m[1]).strip())
             t = sub(W_OUTER, lambda m: m[1] or "")
         if "''" in t:
-            t = sub(W_QUOTE, lambda m: m[2])
-            t = sub(W_QUOTE, lambda m: m[2])
+            t = settled(lambda t: W_QUOTE.sub(self.note(WIKI, lambda m: m[2]), t), t)
         if "{|" in t:
             t = settled(lambda t: W_TABLE.sub(self.note(WIKI, self.wiki_table), t), t)
         if "==" in t:
@@ -188,17 +189,19 @@ class Reading:
             return t
         sub = lambda pattern, put: pattern.sub(self.note(LATEX, put), t)
         t = t.replace("~\\", " \\")  # a space that doesn't break, before a command
-        t = sub(L_HEAD, lambda m: f"{self.hold('h', '#' * (1 + m[1].count('sub')))} {m[2]}")
         t = sub(L_ENV, "")
-        t = sub(L_GROUP, lambda m: m[1])
         t = sub(L_ACCENT, lambda m: " " if m[4] else (m[2] or m[3]) + MARKS[m[1]])
-        for _ in range(3):
-            before = t
-            t = sub(L_COMMAND, lambda m: self.hold("li", "- ") if m[4] == "item" else "" if m[1] in ("label", "ref", "cite", "eqref", "index", "pageref") else m[3] or ("…" if "dots" in (m[1] or m[4]) else ""))
-            if t == before:
-                break
+        t = settled(lambda t: self.commands(t, L_INNER), t)
+        t = settled(lambda t: self.commands(t, L_COMMAND), t)
         return re.sub(r"\\([%&_#$])", r"\1", t) if LATEX in self.kinds else t
 
+    def commands(self, t: str, pattern: re.Pattern) -> str:
+        """One level of LaTeX headings, groups and commands."""
+        sub = lambda pattern, put: pattern.sub(self.note(LATEX, put), t)
+        t = sub(L_HEAD, lambda m: f"{self.hold('h', '#' * (1 + m[1].count('sub')))} {m[2]}")
+        t = sub(L_GROUP, lambda m: m[1])
+        return sub(pattern, lambda m: self.hold("li", "- ") if m[4] == "item" else "" if m[1] in ("label", "ref", "cite", "eqref", "index", "pageref") else m[3] or ("…" if "dots" in (m[1] or m[4]) else ""))
+
     def markdown_links(self, t: str) -> str:
         sub = lambda pattern, put: pattern.sub(self.note(MARKDOWN, put), t)
         if "<" in t:
@@ -225,8 +228,7 @@ class Reading:
             t = sub(M_QUOTE, "")
         for mark, pattern, group in (("*", M_STAR, 2), ("_", M_UNDER, 2), ("~~", M_STRIKE, 1)):
             if mark in t:
-                t = sub(pattern, lambda m, g=group: m[g])
-                t = sub(pattern, lambda m, g=group: m[g])
+                t = settled(lambda t, p=pattern, g=group: p.sub(self.note(MARKDOWN, lambda m: m[g]), t), t)
         return t
 
     def underlined(self, t: str) -> str:
@@ -276,8 +278,7 @@ class Reading:
         if "&" in t:
             nodes = [(p, H_ENTITY.sub(self.entity, x)) for p, x in nodes]
         kept = "".join(x for (_, x), keep in zip(nodes, select_nodes(nodes)) if keep)
-        kept = HELD.sub(lambda m: self.held[int(m[1])][1], kept)
-        kept = HELD.sub(lambda m: self.held[int(m[1])][1], kept)
+        kept = settled(lambda t: HELD.sub(lambda m: self.held[int(m[1])][1], t), kept)
         return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", kept)).strip()
 
 

@@ -36,6 +36,20 @@ def test_wiki_tables_are_kept_whole():
     assert "out" in clean and "in" in clean and "{|" not in clean and "|}" not in clean
 
 
+def test_readings_have_no_depth_or_length():
+    long = "$" + " + ".join(f"x_{i}''y''" for i in range(100)) + "$"
+    assert read_markup(f"so {long} holds") == (["latex"], f"so {long} holds")
+    assert read_markup("a {{b|{{c|{{d}}}}}} e") == (["wiki"], "a  e")
+    assert read_markup("a {{b|{{{c}}}}} and {{{d}}}")[0] == []
+    assert read_markup("\\textbf{\\textit{" * 8 + "a" + "}}" * 8) == (["latex"], "a")
+    assert read_markup("{\\it a {\\bf b {\\em c}}}")[1] == "a b c"
+    assert read_markup("\\section{\\textbf{\\emph{\\textit{a}}}}")[1] == "# a"
+    assert read_markup("**a *b __c _d ~~e *f* e~~ d_ c__ b* a**")[1] == "a b c d e f e d c b a"
+    assert read_markup("| a | b |\n|---|---|\n| `see https://a.example/x` | <https://b.example> |")[1].count("https://") == 2
+    deep = read_markup("{|\n| 1\n{|\n| 2\n{|\n| 3\n{|\n| `https://a.example/x`\n|}\n|}\n|}\n|}")[1]
+    assert "\ue000" not in deep and all(x in deep for x in ("1", "2", "3", "https://a.example/x"))
+
+
 def test_paths_of_little_text_are_residue():
     nodes = [(("p",), "A long paragraph, with marks. " * 5), (("nav",), "x"), (("nav", "span"), "x"), (("nav", "span"), "y"), (("nav", "div"), "x"), (("li",), "y")]
     assert select_nodes(nodes) == [True, True, False, False, False, True]
