@@ -22,8 +22,8 @@ import numpy as np
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 #: Code points with the Unicode property White_Space.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Code points handled at a time, and cached pre-tokens at most; neither changes a result.
-BLOCK, CACHE = 1 << 20, 400_000
+#: Code points handled at a time, and pre-tokens and bytes of them that are cached at most; none changes a result.
+BLOCK, CACHE, CACHE_BYTES = 1 << 20, 400_000, 1 << 26
 
 
 @lru_cache(maxsize=1)
@@ -192,8 +192,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - offsets, lengths)
 
 
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + length] equals b[other : other + length], for each row; compares eight bytes at a time."""
+    words = [np.ndarray(max(len(x), 1), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,)) for x in (a, b)]
+    equal = np.ones(len(at), bool)
+    rows, done = np.arange(len(at)), 0
+    while len(rows):
+        left = np.minimum(lengths[rows] - done, 8).astype(np.uint64)
+        unlike = words[0][at[rows] + done] ^ words[1][other[rows] + done]
+        mask = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left * np.uint64(8) & np.uint64(63))) - np.uint64(1))
+        fine = (unlike & mask) == 0
+        equal[rows[~fine]] = False
+        done += 8
+        rows = rows[fine & (lengths[rows] > done)]
+    return equal
+
+
 class Encoder:
-    """Encodes batches of texts; keeps the results of pre-tokens it has seen, by a 64-bit hash and length."""
+    """Encodes batches of texts; keeps the results of pre-tokens it has seen.
+
+    They are found by a 64-bit hash, and then compared byte for byte; different ones of one hash are told apart by a
+    dictionary of their bytes.
+    """
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
@@ -208,6 +228,9 @@ class Encoder:
         self.slot = np.zeros(0, np.int64)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.uint8)  # the bytes of the pre-tokens by slot, end to end
+        self.seen_at, self.seen_length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clashing: dict[bytes, int] = {}
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(getattr(self, "up", ())) < n:
@@ -233,52 +256,67 @@ class Encoder:
         key ^= key >> np.uint64(32)
         return starts, key, np.searchsorted(starts, bounds)
 
-    def learn(self, key: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        """Merges pre-tokens that are new and remembers their ids."""
-        ids, at = merge_all(data[ragged(starts, lengths)], np.cumsum(lengths) - lengths, self.v)
-        first = np.searchsorted(at, np.cumsum(lengths) - lengths)
-        count = np.diff(np.append(first, len(at)))
-        slot = len(self.begin) + np.arange(len(key))
+    def learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Merges pre-tokens that are new and remembers their bytes and ids; their slots."""
+        own, at = data[ragged(starts, lengths)], np.cumsum(lengths) - lengths
+        ids, position = merge_all(own, at, self.v)
+        first = np.searchsorted(position, at)
+        slot = len(self.begin) + np.arange(len(starts))
         self.begin = np.concatenate([self.begin, len(self.ids) + first])
-        self.count = np.concatenate([self.count, count])
+        self.count = np.concatenate([self.count, np.diff(np.append(first, len(position)))])
         self.ids = np.concatenate([self.ids, ids])
-        keys, slots = np.concatenate([self.keys, key]), np.concatenate([self.slot, slot])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slot = keys[order], slots[order]
+        self.seen_at = np.concatenate([self.seen_at, len(self.seen) + at])
+        self.seen_length = np.concatenate([self.seen_length, lengths])
+        self.seen = np.concatenate([self.seen, own])
+        return slot
 
     def slots(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of every pre-token, and each text's first pre-token."""
-        if len(self.keys) > CACHE:
+        if len(self.begin) > CACHE or len(self.seen) > CACHE_BYTES:
             self.forget()
         # Blocks of whole texts bound the working memory; what is new in all of them is merged together.
-        cuts, keys, firsts, new_keys, new_starts, new_lengths, done = [0], [], [0], [], [], [], 0
+        cuts, keys, starts, new_keys, new_at, done = [0], [], [], [], [], 0
         while cuts[-1] < len(bounds) - 1:
             j = int(np.searchsorted(bounds, bounds[cuts[-1]] + BLOCK, side="right")) - 1
             cuts.append(max(j, cuts[-1] + 1))
         first = np.zeros(len(bounds), np.int64)
         for i, j in zip(cuts, cuts[1:]):
             lo, hi = int(bounds[i]), int(bounds[j])
-            starts, key, own = self.pretokens(data[lo:hi], bounds[i : j + 1] - lo)
+            begin, key, own = self.pretokens(data[lo:hi], bounds[i : j + 1] - lo)
             first[i : j + 1] = own + done
-            done += len(starts)
             unique, index = np.unique(key, return_index=True)
             at = np.searchsorted(self.keys, unique)
             known = np.zeros(len(unique), bool)
             if len(self.keys):
                 known = self.keys[np.minimum(at, len(self.keys) - 1)] == unique
-            index = index[~known]
-            lengths = np.diff(np.append(starts, hi - lo))
             new_keys.append(unique[~known])
-            new_starts.append(starts[index] + lo)
-            new_lengths.append(lengths[index])
+            new_at.append(index[~known] + done)
             keys.append(key)
+            starts.append(begin + lo)
+            done += len(begin)
         if not keys:
             return np.zeros(0, np.int64), first
+        key, start = np.concatenate(keys), np.concatenate(starts)
+        length = np.diff(np.append(start, bounds[-1]))
         fresh, index = np.unique(np.concatenate(new_keys), return_index=True)
         if len(fresh):
-            self.learn(fresh, data, np.concatenate(new_starts)[index], np.concatenate(new_lengths)[index])
-        key = np.concatenate(keys)
-        return self.slot[np.searchsorted(self.keys, key)], first
+            at = np.concatenate(new_at)[index]
+            slot = self.learn(data, start[at], length[at])
+            keys, slots = np.concatenate([self.keys, fresh]), np.concatenate([self.slot, slot])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slot = keys[order], slots[order]
+        slot = self.slot[np.searchsorted(self.keys, key)]
+        # A hash is a hint only: those that aren't the very bytes of their slot get another one.
+        fine = length == self.seen_length[slot]
+        for lo in range(0, len(slot), BLOCK):
+            rows = lo + np.flatnonzero(fine[lo : lo + BLOCK])
+            fine[rows] = same_bytes(data, start[rows], self.seen, self.seen_at[slot[rows]], length[rows])
+        for i in np.flatnonzero(~fine):
+            own = data[start[i] : start[i] + length[i]].tobytes()
+            if own not in self.clashing:
+                self.clashing[own] = int(self.learn(data, start[i : i + 1], length[i : i + 1])[0])
+            slot[i] = self.clashing[own]
+        return slot, first
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts in them."""

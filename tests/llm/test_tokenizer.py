@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loreweave.llm.arrow import text_bytes
-from loreweave.llm.byte_bpe import Encoder, RankQueue
+from loreweave.llm.byte_bpe import Encoder, RankQueue, same_bytes
 from loreweave.llm.encoding import VOCABULARY, count_tokens, encode_texts
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -60,3 +60,21 @@ def test_null_empty_and_extra_columns(spark):
     assert got == [(1, []), (2, []), (3, public(["hello  world"])[0]), (3, public(["hello  world"])[0])]
     assert sorted(r.n_tokens for r in count_tokens(df, ["doc_id"], "text").collect()) == [0, 0, len(got[2][1]), len(got[2][1])]
     assert encode_texts(df.limit(0), "doc_id", "text").collect() == []
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_of_one_hash_are_told_apart(n):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert encode([word, other, f"{other} {word}", word]) == public([word, other, f"{other} {word}", word])
+    fresh = Encoder(VOCABULARY)
+    for texts in ([word], [other], [other, word]):  # also from the cache
+        ids, offsets = fresh.encode(*text_bytes(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == public(texts)
+
+
+def test_bytes_are_compared_whole():
+    a = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    b = np.frombuffer(b"abcdefghijklmnopqrstuvwxyZ", np.uint8)
+    assert same_bytes(a, np.array([0, 0, 25, 3, 9]), b, np.array([0, 0, 25, 3, 10]), np.array([25, 26, 1, 0, 16])).tolist() == [True, False, False, True, False]
