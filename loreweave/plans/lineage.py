@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,19 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="loreweave-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: The application and folder of each table that was cut and not released.
+_written: list[tuple[str, str]] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application has cut so far, and tells how many they were.
+
+    A result that was made from them and is not stored yet can't be computed after that.
+    """
+    app = spark.sparkContext.applicationId
+    own = [path for a, path in _written if a == app]
+    for path in own:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[:] = [x for x in _written if x[0] != app]
+    return len(own)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back, so that what follows doesn't compute it again.
 
     The table outlives lost executors. It is compressed and columnar, unlike an RDD checkpoint; it lies below
-    ``loreweave/`` in the shared folder, which whoever owns that folder clears.
+    ``loreweave/`` in the shared folder until `release`, or until whoever owns that folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loreweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
+from loreweave.plans.lineage import release  # noqa: E402
 from loreweave.session import local_session, ship  # noqa: E402
 
 
@@ -14,6 +15,7 @@ def spark():
     session = local_session(4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     ship(session)
     yield session
+    release(session)
     session.stop()
 
 
