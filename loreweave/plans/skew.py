@@ -33,15 +33,15 @@ def hot_lookup_join(
 BROADCAST_ROWS, BLOCK_MEMBERS = 200_000, 1024
 
 
-def counted_join(df: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """``df`` joined to ``small``, a table that was cut: it is counted, and broadcast up to `BROADCAST_ROWS` rows only."""
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+def counted(small: DataFrame) -> DataFrame:
+    """``small``, a table that was cut, for a join: it is counted, and broadcast up to `BROADCAST_ROWS` rows only."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
 def _blocks(rows: DataFrame, group: list[str], most: int) -> DataFrame:
     """(group, blocks) of groups with more than ``most`` rows; there is at most one for each ``most`` rows."""
     counts = rows.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
-    return cut(counts.select(*group, F.ceil(F.col("_n") / most).cast("int").alias("_blocks")))
+    return counted(cut(counts.select(*group, F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))))
 
 
 def group_pairs(rows: DataFrame, group: list[str], item: str, most: int = BLOCK_MEMBERS) -> DataFrame:
@@ -52,7 +52,7 @@ def group_pairs(rows: DataFrame, group: list[str], item: str, most: int = BLOCK_
     """
     rest = [c for c in rows.columns if c not in group]
     blocks = F.coalesce("_blocks", F.lit(1))
-    split = counted_join(rows, _blocks(rows, group, most), group).select(*group, *rest, blocks.alias("_blocks"), F.pmod(F.xxhash64(item), blocks).cast("int").alias("_own"))
+    split = rows.join(_blocks(rows, group, most), group, "left").select(*group, *rest, blocks.alias("_blocks"), F.pmod(F.xxhash64(item), blocks).cast("int").alias("_own"))
     cells = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     cells = cells.select(*group, F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", *rest)
     a, b = (cells.select(*group, "_low", "_high", *[F.col(c).alias(f"{c}_{s}") for c in ("_own", *rest)]) for s in "ab")
@@ -69,10 +69,10 @@ def member_pairs(pairs: DataFrame, members: DataFrame, group: str, key: str, mos
     """
     big = _blocks(members, [group], most)
     blocks = lambda c: F.coalesce(c, F.lit(1))
-    own = counted_join(members, big, [group]).select(group, key, F.pmod(F.xxhash64(key), blocks("_blocks")).cast("int").alias("_block"))
+    own = members.join(big, group, "left").select(group, key, F.pmod(F.xxhash64(key), blocks("_blocks")).cast("int").alias("_block"))
     cells, rest = pairs, list(pairs.columns)
     for s in "ab":
-        cells = counted_join(cells, big.select(F.col(group).alias(f"{group}_{s}"), F.col("_blocks").alias(f"_blocks_{s}")), [f"{group}_{s}"])
+        cells = cells.join(big.select(F.col(group).alias(f"{group}_{s}"), F.col("_blocks").alias(f"_blocks_{s}")), f"{group}_{s}", "left")
     for s in "ab":
         cells = cells.withColumn(f"_block_{s}", F.explode(F.sequence(F.lit(0), blocks(f"_blocks_{s}") - 1)))
     cells = cells.select(*rest, "_block_a", "_block_b")
