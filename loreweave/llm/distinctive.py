@@ -116,9 +116,10 @@ def suffix_minimum(df: DataFrame, group: str, order: str, value: str) -> DataFra
     Parts of a range sort keep their own minima; what later parts of the group add is one row a part.
     """
     parts = cut(df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
-    later = Window.partitionBy(group).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    # From the far end: frames that grow by a row are folded once, shrinking ones anew for every row.
+    later = Window.partitionBy(group).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     tails = parts.groupBy("_part", group).agg(F.min(value).alias("_m")).select("_part", group, F.min("_m").over(later).alias("_after"))
-    own = Window.partitionBy("_part", group).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    own = Window.partitionBy("_part", group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return parts.withColumn("_own", F.min(value).over(own)).join(tails, ["_part", group]).withColumn("least", F.least("_own", "_after")).drop("_part", "_own", "_after")
 
 
@@ -127,7 +128,11 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of records that share a gram which at most 3 records hold."""
+    """Pairs of records that share a gram which at most 3 records hold.
+
+    The grams and the number of records that hold each are those of `enrichment`; which of them are rare is a matter of that
+    number alone, whatever the score.
+    """
     rare = cut(enrichment(_counts(spark, d)).filter(f"kind = 'gram' AND n_records BETWEEN 2 AND {RARE}").select("term", "record_id", "score"))
     a, b = (rare.select("term", F.col("record_id").alias(f"record_id_{s}")) for s in "ab")
     return a.join(b, "term").filter("record_id_a < record_id_b").select("record_id_a", "record_id_b").distinct()
