@@ -3,9 +3,10 @@
 Every record of a source gets the same expected number of copies, target tokens over tokens there are, at most
 ``max_repeats``. The whole part is given; the rest, a probability, is rounded in pairs: mass (probability times
 tokens) moves at random from one record to the other until one of them is 0 or 1, which keeps the source's tokens and
-every record's expectation. The pairs form a tree: within a group of records of a source first, then the one
-fractional record that each group leaves goes on to the next level, until one is left per source, which a coin
-decides. So a source misses its target by less than one record's tokens unless its cap stops it.
+every record's expectation. Within a group of records of a source, large ones are paired first: a large one that is
+left over takes up smaller ones until it is settled, so that what stays fractional in the end is small. The one
+fractional record that each group leaves goes on to the next level of a tree, until one is left per source, which a coin
+decides. So a source misses its target by less than that record's tokens unless its cap stops it.
 
 Random numbers come from hashes of record keys and the seed: a task that runs again decides the same.
 """
@@ -24,6 +25,8 @@ from .encoding import VOCABULARY, count_tokens
 
 #: Records of a group on the first level, and residuals of a group on each further one.
 GROUP = 20_000
+#: Share of a target by which the selected tokens may miss it and count as having reached it.
+TOLERANCE = 0.01
 SCHEMA = "key bigint, source string, n_tokens bigint, whole int, p double, node bigint"
 
 
@@ -38,24 +41,31 @@ def _uniform(keys: np.ndarray, seed: int, level: int) -> np.ndarray:
 
 
 def pivot(keys: np.ndarray, size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
-    """Rounds ``p`` in a tournament of pairs, keeping the sum of size * p; at most one value stays fractional."""
+    """Rounds ``p`` in pairs from the largest record to the smallest, keeping the sum of size * p; at most one value stays fractional."""
     p, eps = p.astype(np.float64).copy(), 1e-12
     live = np.flatnonzero((p > eps) & (p < 1 - eps))
-    live = live[np.lexsort((keys[live], _uniform(keys[live], seed, 0)))]
-    level = 1
-    while len(live) > 1:
-        odd = live[len(live) & ~1 :]
-        i, j = live[: len(live) & ~1 : 2], live[1 : len(live) & ~1 : 2]
-        up = np.minimum((1 - p[i]) * size[i], p[j] * size[j])
-        down = np.minimum(p[i] * size[i], (1 - p[j]) * size[j])
-        gain = np.where(_uniform(keys[i] ^ (keys[j] << 20), seed, level) * (up + down) < down, up, -down)
-        p[i] += gain / size[i]
-        p[j] -= gain / size[j]
-        for k in (i, j):
-            p[k] = np.where(p[k] < eps, 0.0, np.where(p[k] > 1 - eps, 1.0, p[k]))
-        pair = np.concatenate([np.stack([i, j], 1).reshape(-1), odd])
-        live = pair[(p[pair] > 0) & (p[pair] < 1)]
-        level += 1
+    live = live[np.lexsort((keys[live], _uniform(keys[live], seed, 0), -size[live]))]
+    sizes, shares, chance = size[live].tolist(), p[live].tolist(), _uniform(keys[live], seed, 1).tolist()
+    held = None  # the one before that is fractional still
+    for i, (w, x, u) in enumerate(zip(sizes, shares, chance)):
+        if held is None:
+            held = i
+            continue
+        v, y = sizes[held], shares[held]
+        up, down = min((1 - y) * v, x * w), min(y * v, (1 - x) * w)
+        gain = up if u * (up + down) < down else -down
+        y, x = y + gain / v, x - gain / w
+        settled = min(y, 1 - y) <= min(x, 1 - x)  # the held one, or this one
+        if settled:
+            y = float(round(y))
+        else:
+            x = float(round(x))
+        shares[held], shares[i] = y, x
+        open_ = i if settled else held
+        held = open_ if eps < shares[open_] < 1 - eps else None
+        if held is None:
+            shares[open_] = float(round(shares[open_]))
+    p[live] = shares
     return p
 
 
@@ -120,7 +130,10 @@ def select_mix(sized: DataFrame, plan: DataFrame, seed: int = 7, group: int = GR
 
 
 def mix_report(selection: DataFrame, plan: DataFrame) -> DataFrame:
-    """Target and actual shares of every source; ``reached`` is false where the cap stopped it or nothing is there."""
+    """Target and actual shares of every source. ``reached``: the tokens that were selected are within `TOLERANCE` of the target.
+
+    It is false where the cap stopped a source, where nothing is there, and where its records are too long to come that near.
+    """
     used = selection.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies")
     )
@@ -129,7 +142,7 @@ def mix_report(selection: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.select(
         "source", "target_share", F.col("target_tokens").cast("bigint").alias("target_tokens"), "available_tokens", "max_repeats", "actual_tokens",
         F.coalesce(F.try_divide("actual_tokens", F.lit(total)), F.lit(0.0)).alias("actual_share"), "n_copies", "most_copies",
-        ((F.col("available_tokens") > 0) & (F.col("available_tokens") * F.col("max_repeats") >= F.col("target_tokens"))).alias("reached"),
+        ((F.col("actual_tokens") > 0) & (F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= TOLERANCE * F.col("target_tokens"))).alias("reached"),
     )
 
 
