@@ -3,12 +3,11 @@
 Within its group each score becomes its mean rank as a share, so neither range nor distribution of a scorer
 matters; groups of any size are ranked in parts. The correlation matrix of the scorers is made from sums that the
 tasks keep over items that both scorers rated. The loadings of its first component, their signs set to the declared
-directions, weigh the centred shares; an item's projection orders it. An item that a scorer didn't rate lies below
+directions, weigh the standardised shares; an item's projection orders it. An item that a scorer didn't rate lies below
 all that it did rate.
 
 Defined results: null, NaN and infinite scores, and null groups, items and scorers are no ratings. Of several ratings
-of an item by a scorer the best counts. Items that are given apart from the ratings and have none come last, with no scorers. Equal scores get equal shares; equal projections are ordered by item. A scorer whose shares
-don't vary with any other's gets the mean of the other loadings; with no correlation at all, all weigh the same.
+of an item by a scorer the best counts. Items that are given apart from the ratings and have none come last, with no scorers. Equal scores get equal shares; equal projections are ordered by item.
 """
 
 from __future__ import annotations
@@ -42,24 +41,32 @@ def rank_shares(ratings: DataFrame, directions: dict[str, int]) -> DataFrame:
     return hot_lookup_join(best, shares, keys, ranks.select(*keys, "n")).select("grp", "item", "scorer", "share")
 
 
-def loadings(wide: DataFrame, scorers: list[str], directions: dict[str, int]) -> np.ndarray:
-    """Loadings of the first component of the correlation matrix, with the signs of the directions.
+def component(wide: DataFrame, scorers: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loadings of the first component of the correlation matrix, and each scorer's mean and deviation of shares.
 
-    ``wide`` has a column c0, c1, ... a scorer, null where it rated nothing. Correlations are over items that both rated.
+    ``wide`` has a column c0, c1, ... a scorer, null where it rated nothing, its shares turned to the declared direction.
+    Correlations are over items that both rated. The component is turned as a whole, to the side on which most of it agrees
+    with the directions; a loading that is still negative contradicts its own and counts as 0, and `p2_loadings` reports
+    it. A scorer whose shares don't vary with any other's gets the mean of the others; with no correlation at all,
+    all weigh the same.
     """
-    pairs = [(i, j) for i in range(len(scorers)) for j in range(i + 1, len(scorers))]
-    sums = wide.agg(F.count("*"), *[F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs]).first()  # one row
-    matrix = np.eye(len(scorers))
+    n = len(scorers)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    each = [f(f"c{i}").alias(f"{name}{i}") for i in range(n) for name, f in (("m", F.avg), ("s", F.stddev_pop))]
+    sums = wide.agg(F.count("*"), *each, *[F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs]).first()  # one row
+    value = lambda name, other: other if sums[name] is None or not np.isfinite(sums[name]) else sums[name]
+    matrix = np.eye(n)
     for i, j in pairs:
-        r = sums[f"r{i}_{j}"]
-        matrix[i, j] = matrix[j, i] = r if r is not None and np.isfinite(r) else 0.0
-    if not len(scorers) or np.allclose(matrix, np.eye(len(scorers))):
-        return np.ones(len(scorers))
-    first = np.abs(np.linalg.eigh(matrix)[1][:, -1])
-    lonely = first < 1e-9
-    first[lonely] = first[~lonely].mean()
-    # Shares were turned to the declared directions before, so every loading is positive.
-    return first / first.sum()
+        matrix[i, j] = matrix[j, i] = value(f"r{i}_{j}", 0.0)
+    mean, deviation = (np.array([value(f"{name}{i}", other) for i in range(n)], float) for name, other in (("m", 0.5), ("s", 1.0)))
+    deviation[deviation < 1e-9] = 1.0
+    if not n or np.allclose(matrix, np.eye(n)):
+        return np.ones(n), mean, deviation
+    first = np.linalg.eigh(matrix)[1][:, -1]
+    first = first if first.sum() >= 0 else -first
+    lonely = (np.abs(matrix - np.eye(n)) < 1e-9).all(axis=1)
+    first[lonely] = np.abs(first[~lonely]).mean()
+    return first, mean, deviation
 
 
 def one_ranking(ratings: DataFrame, directions: dict[str, int], listed: DataFrame | None = None) -> DataFrame:
@@ -68,15 +75,17 @@ def one_ranking(ratings: DataFrame, directions: dict[str, int], listed: DataFram
     ``listed`` (grp, item) has items that are ranked even if no scorer rated them.
     """
     scorers = list(directions)
-    shares = rank_shares(ratings, directions)
-    wide = cut(shares.groupBy("grp", "item").agg(*[F.max(F.when(F.col("scorer") == s, F.col("share"))).alias(f"c{i}") for i, s in enumerate(scorers)]))
-    weights = loadings(wide, scorers, directions)
+    wide = _wide(ratings, directions)
+    first, mean, deviation = component(wide, scorers)
+    weights = np.maximum(first, 0)
+    weights = weights / weights.sum() if weights.sum() > 0 else np.ones(len(scorers))
     if listed is not None:
         unrated = listed.select("grp", "item").filter("grp IS NOT NULL AND item IS NOT NULL").distinct().join(wide.select("grp", "item"), ["grp", "item"], "left_anti")
         wide = wide.unionByName(unrated, allowMissingColumns=True)
     columns = [F.col(f"c{i}") for i in range(len(scorers))]
-    projection = sum((F.coalesce(c, F.lit(0.0)) - 0.5) * float(w) for c, w in zip(columns, weights))
-    rated = sum(c.isNotNull().cast("int") for c in columns)
+    standard = [(F.coalesce(c, F.lit(0.0)) - float(m)) / float(s) for c, m, s in zip(columns, mean, deviation)]
+    projection = sum((z * float(w) for z, w in zip(standard, weights)), F.lit(0.0))
+    rated = sum((c.isNotNull().cast("int") for c in columns), F.lit(0))
     items = wide.select("grp", "item", F.round(projection, 12).alias("projection"), rated.alias("n_scorers"))
     # Items by falling projection, equal ones by name.
     order = F.struct((-F.col("projection")).alias("p"), "item")
@@ -85,6 +94,12 @@ def one_ranking(ratings: DataFrame, directions: dict[str, int], listed: DataFram
     return keyed.join(ranks, ["grp", "place"]).select("grp", "item", "rank", "projection", "n_scorers")
 
 
+def _wide(ratings: DataFrame, directions: dict[str, int]) -> DataFrame:
+    """(grp, item, c0, c1, ...): the shares of each item, a column a scorer."""
+    shares = rank_shares(ratings, directions)
+    return cut(shares.groupBy("grp", "item").agg(*[F.max(F.when(F.col("scorer") == s, F.col("share"))).alias(f"c{i}") for i, s in enumerate(directions)]))
+
+
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
     packets = table(spark, d, "evidence_packets")
     return packets.select(F.col("query_id").alias("grp"), F.col("entity_path").alias("item"), F.col("retriever").alias("scorer"), "score")
@@ -103,3 +118,10 @@ def p2_quality(spark: SparkSession, d: str) -> DataFrame:
     hits = expected.join(p2_ranking(spark, d), ["query_id", "entity_path"], "left")
     each = hits.groupBy("query_id").agg(F.avg((F.coalesce("rank", F.lit(1 << 30)) <= 5).cast("double")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal"))
     return each.agg(F.count("*").alias("n_cases"), F.round(F.avg("recall"), 6).alias("recall_at_5"), F.round(F.avg("reciprocal"), 6).alias("mrr"))
+
+
+def p2_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """The loading of each retriever on the first component, and whether its sign is that of the declared direction."""
+    first, mean, deviation = component(_wide(_ratings(spark, d), DIRECTIONS), list(DIRECTIONS))
+    rows = [(s, x, float(v), bool(v >= 0), float(m), float(w)) for (s, x), v, m, w in zip(DIRECTIONS.items(), first, mean, deviation)]
+    return spark.createDataFrame(rows, "scorer string, direction int, loading double, sign_matches boolean, mean_share double, deviation double")

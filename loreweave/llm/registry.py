@@ -7,14 +7,14 @@ from .encoding import p8_ids
 from .markup import p4_clean, p4_found
 from .mixing import p9_selection, p9_shares
 from .neighbors import p5_found, p5_nearest
-from .rank_fusion import p2_quality, p2_ranking
+from .rank_fusion import p2_loadings, p2_quality, p2_ranking
 from .shared_spans import p10_found, p10_shares
 from .splitting import p7_found, p7_pieces
 from .visual import p1_forms, p1_found, p1_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p2_ranking, p2_quality, p4_found, p4_clean, p5_found, p5_nearest, p6_found, p6_scores, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p1_tokens, p2_ranking, p2_quality, p2_loadings, p4_found, p4_clean, p5_found, p5_nearest, p6_found, p6_scores, p7_found, p7_pieces, p8_ids, p9_selection, p9_shares, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
