@@ -24,19 +24,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import json_strings
+from ..plans.lineage import cut
+from ..plans.skew import group_pairs, member_pairs
 from ..sources.tables import table
 
-LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE = "Latin", "Cyrillic", "Greek", "Armenian", "Cherokee"
-SCRIPTS = (LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE)
-#: Letters that have the shape of the Latin letter at the same place.
+LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, LISU = "Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu"
+SCRIPTS = (LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, LISU)
+#: Letters that have the shape of the Latin letter at the same place. Those of Cyrillic, Greek, Armenian and Lisu are the letters whose outline is the
+#: Latin letter's own in the DejaVu typefaces, with those that common typefaces draw alike besides (Cyrillic Ь Ԍ Ѵ ѵ, Greek ρ υ α ν, Armenian զ Տ); Cherokee and
+#: Coptic, which DejaVu lacks, are by sight of the code charts. Of several letters of a script with one shape the first is the one that is written.
 SHAPES = {
-    CYRILLIC: ("aceijopsxyhdqwlABCEHIJKMOPSTXYQW", "асеіјорѕхуһԁԛԝӏАВСЕНІЈКМОРЅТХҮԚԜ"),
-    GREEK: ("ovcjABEZHIKMNOPTYXC", "ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"),
-    ARMENIAN: ("oOuh", "օՕսհ"),
-    CHEROKEE: ("ABCEHJKLMPRTVWZ", "ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᎢᏙᎳᏃ"),
+    CYRILLIC: ("aceijopsxyhdqwlvABCEHIJKMOPSTXYQWIbGV", "асеіјорѕхуһԁԛԝӏѵАВСЕНІЈКМОРЅТХҮԚԜӀЬԌѴ"),
+    GREEK: ("ovcjpuaABEZHIKMNOPTYXCJF", "ονϲϳρυαΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϜ"),
+    ARMENIAN: ("oOuhngqUS", "օՕսհոցզՍՏ"),
+    CHEROKEE: ("ABCDEGHJKLMPRSTUVWYZhbdcsvwzRGSWY", "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏌᏙᎳᎩᏃᏂᏏᏧꮯꮪꮩꮃꮓᎡᏳᏕᏔᎽ"),
+    COPTIC: ("HIKMNOPCTYXopc", "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ"),
+    LISU: ("BPDTGKCZFMNLSRVHWXYAEIOU", "ꓐꓑꓓꓔꓖꓗꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"),
 }
 #: Hyphens, and letters of the same script with the same shape.
-SAME = {0x2010: "-", 0x2011: "-", 0x2043: "-", 0xFE63: "-", 0x0261: "g"}
+SAME = {0x2010: "-", 0x2011: "-", 0x2043: "-", 0xFE63: "-", 0x0251: "a", 0x0261: "g", 0x1D04: "c", 0x1D0F: "o", 0x1D20: "v", 0x1D21: "w", 0x1D22: "z", 0xA731: "s"}
 #: Without ink though no format character; format characters that have ink.
 INKLESS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2800, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
 INKED_FORMAT = (*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD)
@@ -76,7 +82,7 @@ def letter_shapes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
     for script, (latin, other) in SHAPES.items():
         for a, b in zip(latin, other):
             shape[b] = a
-            letters.setdefault(a, {LATIN: a})[script] = b
+            letters.setdefault(a, {LATIN: a}).setdefault(script, b)
     return shape, letters
 
 
@@ -106,7 +112,7 @@ def resolve(token: str) -> tuple[str, str]:
 
 
 #: Letters of the alphabets in `SCRIPTS` that aren't Latin, and tokens that hold one. Marks belong to their letters.
-FOREIGN = "Ͱ-ͳͶͷͿΆΈ-ԯԱ-Ֆա-ևᎠ-ᏽᲀ-ᲊἀ-῿"
+FOREIGN = "Ͱ-ͳͶͷͿΆΈ-ԯԱ-Ֆա-ևᎠ-ᏽᲀ-ᲊἀ-῿Ⲁ-ⳳꓐ-ꓷꭰ-ꮿ"
 ALPHABET = f"A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ{FOREIGN}"
 TOKEN = re.compile(f"[{ALPHABET}̀-ͯ]*[{FOREIGN}][{ALPHABET}̀-ͯ]*")
 
@@ -183,17 +189,17 @@ def look_alikes(values: DataFrame) -> DataFrame:
     """(field_name, key_a, key_b), key_a < key_b: records with values that have one form and different characters.
 
     Different spellings of a form are paired first, each once whatever number of records has it; records follow from
-    that. Records with the very same value are no pair by it.
+    that, in cells of bounded size for texts that many records have. Records with the very same value are no pair by it.
     """
     rows = values.select("field_name", "key", "value").mapInArrow(_digests, "field_name string, key string, form binary, raw binary").distinct()
     varied = rows.groupBy("field_name", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).filter("low < high").select("field_name", "form")
-    rows = rows.join(varied, ["field_name", "form"], "left_semi")
-    spellings = rows.select("field_name", "form", "raw").distinct()
-    a, b = (spellings.select("field_name", "form", F.col("raw").alias(f"raw_{s}")) for s in "ab")
-    pairs = a.join(b, ["field_name", "form"]).filter("raw_a < raw_b").drop("form")
-    ka, kb = (rows.select("field_name", F.col("raw").alias(f"raw_{s}"), F.col("key").alias(f"k{s}")) for s in "ab")
-    both = pairs.join(ka, ["field_name", "raw_a"]).join(kb, ["field_name", "raw_b"]).filter("ka <> kb")
-    return both.select("field_name", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+    rows = cut(rows.join(varied, ["field_name", "form"], "left_semi"))
+    spellings = cut(rows.select("field_name", "form", "raw").distinct())
+    text = lambda s: F.struct("field_name", F.col(f"raw{s}").alias("raw")).alias(f"text{s}")
+    pairs = cut(group_pairs(spellings, ["field_name", "form"], "raw").select(text("_a"), text("_b")))
+    members = cut(rows.select(text(""), "key").distinct())
+    both = member_pairs(pairs, members, "text", "key").filter("key_a <> key_b")
+    return both.select("text_a.field_name", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
