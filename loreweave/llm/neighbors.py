@@ -6,11 +6,13 @@ residual's length, its inner product with its own sign pattern, and that with th
 query is estimated without bias, with an error bound that holds with high probability; only vectors whose bound
 reaches the query's k-th best so far are reranked with their full components.
 
-A query first searches its own list, which gives it an exact k-th best, and takes that along to every other list that may hold a
-better one: all but those whose widest member can't come as near to the query as its k-th best, by the angles to the centroid. There
-is no number of lists at which it stops, so wide lists make the work grow with the square of the vectors. Lists
-beyond `BLOCK` members and beyond `QUERIES` queries are split into blocks, each of which is searched, so no task grows with a list.
-Equal vectors are one class that is searched once.
+A query first searches its own list, which gives it an exact k-th best, and takes that along to other lists. A list can't hold
+a better one if its centroid is farther from the query, by angle, than the k-th best is plus the list's radius, its widest
+member's angle. Radii are set by outliers, so a part of each is enough: the part is fitted on queries drawn from the
+vectors, at most `CALIBRATION` of them, whose true neighbours are found by comparing them with every vector. It is the smallest part with
+which the wanted share of those neighbours lies in lists that are searched. A wanted share of 1 searches every list that
+may hold one. Lists beyond `BLOCK` members and beyond `QUERIES` queries are split into blocks, each of which is
+searched, so no task grows with a list. Equal vectors are one class that is searched once.
 """
 
 from __future__ import annotations
@@ -20,17 +22,23 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.skew import hot_lookup_join
 from ..sources.tables import table
 
-#: Neighbours; vectors a list has on average; lists at most; vectors the centroids are fitted on at most.
-K, LIST, LISTS, SAMPLE = 10, 4096, 16_384, 40_960
+#: Neighbours; vectors a list has on average; lists at most.
+K, LIST, LISTS = 10, 1024, 8192
+#: Vectors the centroids are fitted on: at least so many, and so many for each list (both if there are as many).
+SAMPLE, PER_LIST = 40_960, 40
+#: Lists from which centroids are fitted in two levels.
+TWO_LEVELS = 1024
 #: Members and queries of a block; width of the error bound.
 BLOCK, QUERIES, EPSILON = 8192, 65_536, 1.9
+#: Queries at most on which the lists to search are fitted, and the share of their neighbours that must be in those.
+CALIBRATION, RECALL = 1024, 0.995
 #: Radians by which a list may seem too far and is searched still, for the rounding of single precision.
 SLACK = 0.005
 
@@ -139,6 +147,16 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 3
     return c
 
 
+def fit_lists(sample: np.ndarray, lists: int) -> np.ndarray:
+    """Centroids of all lists; many of them in two levels, coarse ones and those of the vectors nearest to each."""
+    if lists < TWO_LEVELS:
+        return fit_centroids(sample, lists)
+    coarse = fit_centroids(sample, int(np.sqrt(lists)))
+    near = np.concatenate([np.argmax(sample[i : i + 4096] @ coarse.T, axis=1) for i in range(0, len(sample), 4096)])
+    parts = [sample[near == i] for i in np.unique(near)]
+    return np.concatenate([fit_centroids(x, max(1, round(lists * len(x) / len(sample))), seed=i) for i, x in enumerate(parts)])
+
+
 def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Adds each vector's list, and its similarity to the centroid."""
     for b in batches:
@@ -151,26 +169,69 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(near)], names=[*b.schema.names, "list", "near"])
 
 
-def within_reach(q: np.ndarray, floor: np.ndarray, centroids: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """(query, list): whether a list, none of whose members is further from its centroid than its radius, can hold a vector of similarity ``floor``."""
-    angle = lambda s: np.arccos(np.clip(s, -1, 1))
-    return angle(q @ centroids.T) - radius <= angle(floor)[:, None] + SLACK
+def _angle(similarity: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(similarity, -1, 1))
+
 
+def within_reach(q: np.ndarray, floor: np.ndarray, centroids: np.ndarray, radius: np.ndarray, part: float = 1.0) -> np.ndarray:
+    """(query, list): whether a list is searched for vectors of similarity ``floor`` or more.
+
+    With all of the radius none is left out that holds one; with a part of it only those that are near enough.
+    """
+    return _angle(q @ centroids.T) - part * radius <= _angle(floor)[:, None] + SLACK
 
-def _reach(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, radius: np.ndarray, count: bool) -> Iterator[pa.RecordBatch]:
-    """Adds the lists that each query searches; or, for counts, (list, n)."""
+
+def _best_of_all(batches: Iterator[pa.RecordBatch], q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query, list, similarity) of each query's k best in a batch that reach its floor, itself left in."""
+    for b in batches:
+        x, lists = _matrix(b.column(0), q.shape[1]), b.column(1).to_numpy(zero_copy_only=False)
+        rows, at, score = [], [], []
+        for lo in range(0, len(q), 256):
+            s = q[lo : lo + 256] @ x.T
+            if len(x) > k:
+                s = np.where(s >= np.partition(s, len(x) - k, axis=1)[:, len(x) - k, None], s, -np.inf)
+            i, j = np.nonzero(s >= floor[lo : lo + 256, None])
+            rows.append(i + lo)
+            at.append(lists[j])
+            score.append(s[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in ((rows, np.int32), (at, np.int32), (score, np.float32))], names=["query", "list", "similarity"])
+
+
+def reach_part(asking: DataFrame, member: DataFrame, n: int, centroids: np.ndarray, radius: np.ndarray, k: int, recall: float) -> float:
+    """The smallest part of the radii with which queries find the share ``recall`` of their k nearest, measured on some of them."""
+    if recall >= 1:
+        return 1.0
+    share = min(1.0, 1.2 * CALIBRATION / n)
+    drawn = asking.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("key", "v", "floor", "own").limit(CALIBRATION).collect()
+    if not drawn:
+        return 1.0
+    q = np.frombuffer(b"".join(bytes(r.v) for r in drawn), np.float32).reshape(-1, centroids.shape[1])
+    floor, own = np.array([r.floor for r in drawn], np.float32), np.array([r.own for r in drawn])
+    run = partial(_best_of_all, q=q, floor=floor - np.float32(1e-6), k=k + 1)
+    each = member.select("v", "list").mapInArrow(run, "query int, list int, similarity float")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "list"))
+    best = each.withColumn("place", place).filter(F.col("place") <= k + 1).select("query", "list").collect()  # k + 1 a drawn query
+    query, where = np.array([r[0] for r in best], int), np.array([r[1] for r in best], int)
+    needed = (_angle(np.einsum("nd,nd->n", q[query], centroids[where])) - _angle(floor[query]) - SLACK) / np.maximum(radius[where], 1e-6)
+    needed = np.sort(np.where(where == own[query], 0.0, np.clip(needed, 0.0, 1.0)))[len(drawn) :]  # without the queries themselves
+    return max(float(np.quantile(needed, recall, method="higher")), 1e-6) if len(needed) else 1.0
+
+
+def _reach(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, radius: np.ndarray, part: float, count: bool) -> Iterator[pa.RecordBatch]:
+    """Adds the lists that each query searches; or, for counts, (list, n). A query always searches its own."""
     step = max(1, 1_000_000 // len(centroids))
     for b in batches:
-        q, floor = _matrix(b.column(1), centroids.shape[1]), b.column(2).to_numpy(zero_copy_only=False)
+        q, floor, own = _matrix(b.column(1), centroids.shape[1]), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
         total = np.zeros(len(centroids), np.int64)
         for i in range(0, len(q), step):
-            may = within_reach(q[i : i + step], floor[i : i + step], centroids, radius)
+            may = within_reach(q[i : i + step], floor[i : i + step], centroids, radius, part)
+            may[np.arange(len(may)), own[i : i + step]] = True
             if count:
                 total += may.sum(axis=0)
                 continue
             offsets = np.concatenate([[0], np.cumsum(may.sum(axis=1))]).astype(np.int32)
-            part = b.slice(i, step)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(may)[1].astype(np.int32)))], names=[*b.schema.names, "lists"])
+            rows = b.slice(i, step)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(may)[1].astype(np.int32)))], names=[*b.schema.names, "lists"])
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids), dtype=np.int32)), pa.array(total)], names=["list", "n"])
 
@@ -215,12 +276,19 @@ def _other_list(members: pa.Table, queries: pa.Table, centroids: np.ndarray, k:
     return pa.table({"key": pa.concat_arrays(queries["key"].chunks).take(some), "hits": hits.take(some)}, schema=schema)
 
 
-def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST) -> DataFrame:
+def _lists_frame(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
+    """(list, ...) for broadcast joins; at most `LISTS` rows and some."""
+    rows = [(i, *(int(x) for x in values)) for i, values in enumerate(zip(*columns.values()))]
+    return F.broadcast(spark.createDataFrame(rows, "list int, " + ", ".join(f"{c} int" for c in columns)))
+
+
+def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST, recall: float = RECALL) -> DataFrame:
     """(key, hits): the k most similar other keys of each, best first, ties by key.
 
     ``units`` is as from `usable_vectors`. A key of equal vectors has the others of its class among its hits. Fewer
-    than k other vectors give fewer hits; none, an empty list. Every list that may hold a hit is searched; in
-    a list the bounds of the codes hold with high probability: see the README for recall.
+    than k other vectors give fewer hits; none, an empty list. ``recall`` is the share of neighbours that the searched
+    lists must hold; 1 searches every list that may hold one. In a list the bounds of the codes hold with high
+    probability. See the README for measured recall.
     """
     units = cut(units)
     classes = cut(units.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("n")))
@@ -229,31 +297,34 @@ def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST) -> Da
     hit_type = "array<struct<key: string, similarity: float>>"
     if not n:
         return spark.createDataFrame([], f"key string, hits {hit_type}")
-    share = min(1.0, 1.2 * SAMPLE / n)
-    drawn = classes.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(SAMPLE)
+    lists = int(np.clip(-(-n // list_size), 1, LISTS))
+    size = max(SAMPLE, PER_LIST * lists)
+    share = min(1.0, 1.2 * size / n)
+    drawn = classes.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(size)
     sample = np.frombuffer(b"".join(sorted(bytes(r.v) for r in drawn.collect())), np.float32).reshape(-1, dim)
     if not len(sample):
         sample = np.frombuffer(bytes(classes.first().v), np.float32).reshape(-1, dim)
-    centroids = fit_centroids(sample, int(np.clip(-(-n // list_size), 1, LISTS)))
+    centroids = fit_lists(sample, lists)
     member = cut(classes.select("key", "v").mapInArrow(partial(_assign, centroids=centroids), "key string, v binary, list int, near float"))
     # At most as many rows as there are lists.
     sizes = {r[0]: (r[1], r[2]) for r in member.groupBy("list").agg(F.count("*"), F.min("near")).collect()}
-    radius = np.array([np.arccos(np.clip(sizes[i][1], -1, 1)) if i in sizes else -np.inf for i in range(len(centroids))])
+    radius = np.array([_angle(sizes[i][1]) if i in sizes else -np.inf for i in range(len(centroids))])
     blocks = np.array([max(1, -(-sizes.get(i, (0, 0))[0] // BLOCK)) for i in range(len(centroids))])
-    by_list = lambda values, c: F.element_at(F.array(*[F.lit(int(x)) for x in values]), c + 1) if values.max() > 1 else F.lit(1)
-    member = member.withColumn("block", F.pmod(F.xxhash64("key"), by_list(blocks, F.col("list"))).cast("int"))
+    member = member.join(_lists_frame(spark, blocks=blocks), "list").select("key", "v", "list", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
     first = cut(
         member.groupBy("list", "block").applyInArrow(lambda g: _own_list(g, centroids, k), f"key string, v binary, floor float, own int, own_block int, hits {hit_type}")
     )
     asking = first.select("key", "v", "floor", "own", "own_block")
-    reach = partial(_reach, centroids=centroids, radius=radius)
+    part = reach_part(asking, member, n, centroids, radius, k, recall)
+    reach = partial(_reach, centroids=centroids, radius=radius, part=part)
     searching = {r[0]: r[1] for r in asking.mapInArrow(partial(reach, count=True), "list int, n long").groupBy("list").agg(F.sum("n")).collect()}
     salts = np.array([max(1, -(-searching.get(i, 0) // QUERIES)) for i in range(len(centroids))])
+    split = _lists_frame(spark, blocks=blocks, salts=salts)
     left = asking.mapInArrow(partial(reach, count=False), "key string, v binary, floor float, own int, own_block int, lists array<int>")
-    left = left.select("key", "v", "floor", "own", "own_block", F.explode("lists").alias("list"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), by_list(blocks, F.col("list")) - 1))).filter("NOT (list = own AND block = own_block)")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(2)), by_list(salts, F.col("list"))).cast("int")).select("list", "block", "salt", "key", "v", "floor")
-    right = member.withColumn("salt", F.explode(F.sequence(F.lit(0), by_list(salts, F.col("list")) - 1))).select("list", "block", "salt", "key", "v")
+    left = left.select("key", "v", "floor", "own", "own_block", F.explode("lists").alias("list")).join(split, "list")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("NOT (list = own AND block = own_block)")
+    left = left.select("list", "block", F.pmod(F.xxhash64("key", F.lit(2)), "salts").cast("int").alias("salt"), "key", "v", "floor")
+    right = member.join(split, "list").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "v")
     on = ["list", "block", "salt"]
     more = right.groupBy(*on).cogroup(left.groupBy(*on)).applyInArrow(lambda m, q: _other_list(m, q, centroids, k), f"key string, hits {hit_type}")
     best = lambda c: F.slice(F.array_sort(c, lambda a, b: F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), 1, k)
@@ -264,13 +335,15 @@ def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST) -> Da
     merged = cut(merged)
     copied = classes.filter("n > 1").select("v", F.col("key").alias("rep"))
     others = cut(hot_lookup_join(units, copied, ["v"], classes.select("v", "n")).filter("rep IS NOT NULL").select("rep", "key"))
-    heads = others.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.col("key"))), 1, k + 1).alias("keys"))
+    # The limit holds in each task before anything moves, so a large class is never in one place.
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
+    heads = others.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     flat = merged.select("key", F.explode("hits").alias("h")).select("key", F.col("h.key").alias("rep"), F.col("h.similarity").alias("similarity"))
     own = heads.select(F.col("rep").alias("key"), "rep", F.lit(1.0).cast("float").alias("similarity"))
     wide = flat.unionByName(own).join(heads, "rep", "left").select("key", "similarity", F.explode(F.coalesce("keys", F.array("rep"))).alias("hit"))
-    lists = wide.groupBy("key").agg(F.collect_set(F.struct(F.col("hit").alias("key"), "similarity")).alias("hits")).withColumnRenamed("key", "rep")
+    found = wide.groupBy("key").agg(F.collect_set(F.struct(F.col("hit").alias("key"), "similarity")).alias("hits")).withColumnRenamed("key", "rep")
     asked = others.unionByName(classes.filter("n = 1").select(F.col("key").alias("rep"), "key"))
-    return hot_lookup_join(asked, lists, ["rep"], classes.select(F.col("key").alias("rep"), "n")).select("key", best(F.filter(F.coalesce("hits", F.expr(f"cast(array() as {hit_type})")), lambda h: h["key"] != F.col("key"))).alias("hits"))
+    return hot_lookup_join(asked, found, ["rep"], classes.select(F.col("key").alias("rep"), "n")).select("key", best(F.filter(F.coalesce("hits", F.expr(f"cast(array() as {hit_type})")), lambda h: h["key"] != F.col("key"))).alias("hits"))
 
 
 #: Components of a chunk's vector, and the similarity from which two chunks count as found.

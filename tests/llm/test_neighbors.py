@@ -32,14 +32,26 @@ def test_recall(spark, monkeypatch, block, queries):
     assert np.mean([len(want[k] & set(v)) / 10 for k, v in got.items()]) >= 0.95
 
 
-def test_recall_with_many_lists(spark):
-    x = data(3000)
+@pytest.mark.parametrize("recall,least", [(neighbors.RECALL, 0.98), (1.0, 0.995)])
+def test_recall_with_500_lists(spark, monkeypatch, recall, least):
+    """Against brute force, by queries of which most had no part in fitting the lists that are searched."""
+    monkeypatch.setattr(neighbors, "TWO_LEVELS", 100)
+    monkeypatch.setattr(neighbors, "CALIBRATION", 200)
+    x = data(5000)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
     want = {f"k{i}": {f"k{j}" for j in np.argsort(-r)[:10]} for i, r in enumerate(s)}
-    got = {r.key: {h.key for h in r.hits} for r in nearest(usable_vectors(frame(spark, [(f"k{i}", v) for i, v in enumerate(x)]), "id", "vector", DIM), DIM, list_size=30).collect()}
-    assert set(got) == set(want) and np.mean([len(want[k] & v) / 10 for k, v in got.items()]) >= 0.995
+    units = usable_vectors(frame(spark, [(f"k{i}", v) for i, v in enumerate(x)]), "id", "vector", DIM)
+    got = {r.key: {h.key for h in r.hits} for r in nearest(units, DIM, list_size=10, recall=recall).collect()}
+    assert set(got) == set(want) and np.mean([len(want[k] & v) / 10 for k, v in got.items()]) >= least
+
+
+def test_two_levels_make_as_many_lists():
+    x = data(20_000).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neighbors.fit_lists(x, 2000)
+    assert 1900 < len(c) < 2100 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-4)
 
 
 def test_lists_out_of_reach_hold_nothing_better():
