@@ -10,7 +10,8 @@ either before or behind it. That interval join gives candidate pairs; each is th
 which also yields the spans.
 
 Copies of a text are one class: fingerprints carry the hash of the text, so that copies collapse before the join, and
-pairs are made between classes. Pairs of records follow from the members of both classes.
+pairs are made between classes. Pairs of records follow from the members of both classes. Hashes of many classes and classes of
+many records are paired in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, semi_join
-from ..plans.skew import hot_lookup_join
+from ..plans.skew import group_pairs, hot_lookup_join, member_pairs
 from ..sources.tables import table
 from .arrow import text_bytes
 
@@ -221,19 +222,18 @@ def with_class(docs: DataFrame, key: str, text: str, span: int = SPAN) -> DataFr
 def shared_classes(classed: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(class_a, class_b, ranges_a, ranges_b): pairs of different texts with a common span, class_a < class_b."""
     prints = fingerprints(classed.select("class.c1", "class.c2", "text"), span, gram)
-    # All columns are asked for, so that both readers of the fingerprints share one exchange.
+    # All columns are asked for, and an inner join with distinct hashes is no semi join that would be pushed below the
+    # repartitioning, so that both readers of the fingerprints share one exchange.
     ends = [f(c).alias(f"{c}_{n}") for c in ("c1", "c2") for n, f in (("low", F.min), ("high", F.max))]
     repeated = prints.groupBy("hash").agg(*ends, F.coalesce(F.max("rooms"), F.max("before"), F.max("behind")).alias("x"))
     repeated = repeated.filter("(c1_low < c1_high OR c2_low < c2_high) AND x IS NOT NULL").select("hash")
-    rows = cut(prints.join(repeated, "hash", "left_semi").select("hash", F.struct("c1", "c2").alias("class"), "rooms", "before", "behind").distinct())
+    rows = prints.join(repeated, "hash").select("hash", F.struct("c1", "c2").alias("class"), "rooms", "before", "behind")
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("beside")) for i, c in enumerate(("before", "behind"))])
+    rows = cut(rows.withColumn("s", F.explode(sides)).filter("s.beside <> -1").select("hash", "s.side", "s.beside", "class", "rooms").distinct())
+    met = group_pairs(rows, ["hash", "side", "beside"], "class")
     room = lambda s: (F.floor(F.col(f"rooms_{s}") / 256), F.col(f"rooms_{s}") % 256)
     (la, ra), (lb, rb) = room("a"), room("b")
-    enough = (F.col("class_a") < F.col("class_b")) & (F.least(la, lb) + F.least(ra, rb) + 1 >= span - gram + 1)
-    found = []
-    for side in ("before", "behind"):
-        a, b = (rows.filter(f"{side} <> -1").select("hash", side, F.col("class").alias(f"class_{s}"), F.col("rooms").alias(f"rooms_{s}")) for s in "ab")
-        found.append(a.join(b, ["hash", side]).filter(enough).select("class_a", "class_b"))
-    pairs = cut(found[0].union(found[1]).distinct())
+    pairs = cut(met.filter(F.least(la, lb) + F.least(ra, rb) + 1 >= span - gram + 1).select("class_a", "class_b").distinct())
     needed = cut(pairs.select(F.col("class_a").alias("class")).union(pairs.select(F.col("class_b"))).distinct())
     texts = cut(semi_join(classed.select("class", "text"), needed, "class").groupBy("class").agg(F.first("text").alias("text")))
     joined = pairs.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a").join(
@@ -249,12 +249,13 @@ def shared_pairs(docs: DataFrame, key: str, text: str, span: int = SPAN, gram: i
     Null texts and those shorter than ``span`` share nothing. Rows of one key are one record.
     """
     classed = with_class(docs, key, text, span)
-    members = classed.select("key", "class").filter("key IS NOT NULL").distinct()
-    classes = shared_classes(classed, span, gram).select("class_a", "class_b")
-    a, b = (members.select(F.col("key").alias(f"k{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
-    different = classes.join(a, "class_a").join(b, "class_b").select("ka", "kb")
-    copies = a.join(b, F.col("class_a") == F.col("class_b")).filter("ka < kb").select("ka", "kb")
-    return different.union(copies).filter("ka <> kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+    members = cut(classed.select("class", "key").filter("key IS NOT NULL").distinct())
+    different = shared_classes(classed, span, gram).select("class_a", "class_b")
+    same = members.groupBy("class").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
+    both = member_pairs(cut(different.union(same)), members, "class", "key")
+    # Of a class with itself each pair of records comes both ways.
+    both = both.filter((F.col("class_a") != F.col("class_b")) | (F.col("key_a") < F.col("key_b"))).filter("key_a <> key_b")
+    return both.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
 def shared_report(docs: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -267,14 +268,13 @@ def shared_report(docs: DataFrame, key: str, text: str, span: int = SPAN, gram:
     sides = pairs.select(F.col("class_a").alias("class"), F.explode("ranges_a").alias("r")).union(pairs.select("class_b", F.explode("ranges_b")))
     copied = classed.groupBy("class").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max(F.length("text")).alias("n")).filter("x < y")
     sides = sides.union(copied.select("class", F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))))
-    # Distinct ranges of a text merge in order of their starts.
-    merged = sides.distinct().groupBy("class").agg(F.array_sort(F.collect_list("r")).alias("rs")).select(
-        "class",
-        F.expr("""aggregate(rs, cast(array() as array<struct<start: int, end: int>>), (acc, r) ->
-            CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= r.start
-            THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, r.end))))
-            ELSE concat(acc, array(r)) END)""").alias("ranges"),
-    )
+    # Distinct ranges of a text in order of their starts; one that begins behind all ends so far opens a new part.
+    in_order = Window.partitionBy("class").orderBy("start", "end")
+    ranges = sides.select("class", "r.start", "r.end").distinct()
+    ranges = ranges.withColumn("far", F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = ranges.withColumn("part", F.sum((F.col("far").isNull() | (F.col("far") < F.col("start"))).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = ranges.groupBy("class", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    merged = parts.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))  # apart, so at most one for each span of the text
     every = docs.select(F.col(key).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), F.struct(*text_class(F.col(text))).alias("class"))
     chars = F.coalesce(F.expr("aggregate(ranges, 0, (acc, r) -> acc + r.end - r.start)"), F.lit(0))
     counts = every.groupBy("class").agg(F.count("*").alias("n"))

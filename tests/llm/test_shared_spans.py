@@ -60,3 +60,29 @@ def test_common_ranges():
     b = np.frombuffer(("abcdefghij" * 13 + "r" * 10).encode("utf-32-le"), np.uint32)
     assert common_ranges(a, b) == ([(10, 140)], [(0, 130)])
     assert common_ranges(a[:50], b) == ([], [])
+
+
+def test_one_gram_in_many_texts(spark, monkeypatch):
+    """Spans that a great many texts share, and texts of a great many records, in blocks of a few."""
+    from loreweave.plans import skew
+
+    monkeypatch.setattr(skew.group_pairs, "__defaults__", (8,))
+    monkeypatch.setattr(skew.member_pairs, "__defaults__", (8,))
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    common, short = word(130), word(115)
+    texts = [word(20) + (common if i % 2 else short) + word(30) for i in range(90)] + [common] * 40 + [word(140)] * 25
+    got = {tuple(x) for x in shared_pairs(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()}
+    assert got == brute(enumerate(texts), 120) and len(got) > 3000
+    report = {x.key: x for x in shared_report(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()}
+    ((start, end),) = report[1].ranges  # letters beside may be alike by chance
+    assert 15 <= start <= 20 and 150 <= end <= 155 and report[90].shared_ratio == 1.0
+
+
+def test_ranges_merge_where_they_touch(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    a, b, c = word(125), word(130), word(140)
+    data = [(1, a + b + "#" * 10 + c), (2, a), (3, b + "!"), (4, "?" + c), (5, c[:121])]
+    got = {x.key: [tuple(y) for y in x.ranges] for x in shared_report(spark.createDataFrame(data, "id bigint, text string"), "id", "text").collect()}
+    assert got[1] == [(0, 255), (265, 405)] or got[1] == [(0, 255), (264, 405)] and got[2] == [(0, 125)] and got[5] == [(0, 121)]
