@@ -1,15 +1,20 @@
-"""Markup residue in text: which kinds a text holds, and the text without it.
+"""Markup residue in text: which kinds a text holds, and the text without it, by tag-path ratios.
 
-A text is read in layers. Fenced blocks and code spans come first and protect what is in them; then comments and
-scripts, formulas, Windows paths and URLs; then the constructs of wiki, LaTeX, HTML and Markdown. Each construct needs its
-full form (a closing mark, a known name, the right neighbours), so that prices, comparisons, paths and names with
-underscores stay plain text. Headings, lists, tables, code and formulas keep a plain notation: ``# ``, ``- ``, cells
-between ``|``, fences, and the formula itself.
+A text is parsed into one tree, whatever notation it is in. Constructs are recognised in layers: fenced blocks and code
+spans first, which protect what is in them; then comments and scripts, formulas, Windows paths and URLs; then the
+constructs of wiki, LaTeX, Markdown and HTML. Each needs its full form (a closing mark, a known name, the right neighbours), so
+that prices, comparisons, paths and names with underscores stay plain text. Each becomes an element of the tree with a tag,
+family and name, such as ``markdown:li`` or ``html:div``; what has no text of its own, as a comment, is an empty leaf.
 
-What remains is a tree of blocks and HTML elements. Text length and punctuation are summed by root-to-leaf tag path
-(tag-path ratios), smoothed along the order of paths in the text, fused, and paths below a share of the text's mean are
-taken for residue such as navigation or layout, unless they are headings, list items, table cells, code, formulas or
-paragraphs.
+The kinds of a text are the families on the root-to-leaf tag paths of its tree.
+
+Leaves are put together to blocks (lines, HTML blocks, code), the path of a block being what its text has in common. For each path the
+length of its blocks and the punctuation by length are summed and taken by block (tag-path ratios), smoothed over the paths beside it by
+a Gaussian of the steps between the two, and fused to one ratio, their product. The text's own ratios are then split where the two sides
+differ most (the greatest variance between them), on a logarithmic scale. Paths on the lower side are residue, such as navigation,
+footers and lists of links, if the sides lie apart by `CONTRAST` at least; where blocks are alike, none is. Headings, list
+items, table cells, code, formulas, quotes and paragraphs are structure and stay, in a plain notation (``# ``, ``- ``, cells between
+``|``, fences, the formula itself); so does text outside of HTML elements.
 
 Null gives null and no kinds, an empty text an empty one.
 """
@@ -17,7 +22,9 @@ Null gives null and no kinds, an empty text an empty one.
 from __future__ import annotations
 
 import html
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,10 +47,17 @@ COMMANDS = """item ldots dots cdots cdot times alpha beta gamma delta epsilon va
 tau phi varphi chi psi omega Gamma Delta Theta Lambda Sigma Phi Psi Omega it bf em rm tt sc sl itshape bfseries ttfamily par newline linebreak pagebreak
 newpage clearpage noindent maketitle tableofcontents LaTeX TeX quad qquad hline centering leq geq neq infty sum prod int partial nabla
 rightarrow leftarrow Rightarrow textbackslash textasciitilde ss ae oe aa""".split()
-#: Paths that are never residue.
-STRUCTURE = {"h", "li", "cell", "code", "formula", "p", "quote"}
-#: Share of the mean below which a path of other elements is residue.
-RESIDUE = 0.02
+#: Names of elements whose own text is structure and never residue.
+STRUCTURE = {"h", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "cell", "td", "th", "caption", "code", "pre", "samp", "kbd", "formula", "quote", "blockquote", "p"}
+#: Names of leaves that stand for the tag of the line they begin.
+LINE = {"h", "li", "quote"}
+#: Structure that says nothing of how the prose of a text is made.
+SHORT = STRUCTURE - {"p", "quote", "blockquote"}
+#: How many times as great the ratios above the split are, by geometric means, for what is below to be residue.
+CONTRAST = 50.0
+#: Punctuation by 100 characters of a block that has none.
+LEAST_MARKS = 0.05
+PUNCTUATION = re.compile(r"[.,;:!?。、！？，；：]")
 
 _name = "|".join(sorted(ELEMENTS, key=len, reverse=True))
 FENCE = re.compile(r"^(?P<q> {0,3}(?:> ?)*)(?P<f>`{3,}|~{3,})(?P<info>[^\n]*)\n(?P<body>.*?)(?:^[ >]{0,6}(?P=f)[`~]*[ \t]*\r?$|\Z)", re.M | re.S)
@@ -93,8 +107,12 @@ M_STRIKE = re.compile(r"(?<!~)~~(?=[^\s~])([^\n]*?[^\s~])~~(?!~)")
 
 SPECIAL = re.compile(r"[<&\\$\[{|*_#`~=>]|''|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^ {0,3}-{2,}[ \t]*\r?$", re.M)
 BLOCKS = {"li", "dd", "dt", "p", "div", "tr", "table", "ul", "ol", "dl", "blockquote", "pre", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr"}
-MARK = "\ue000"  # begins and ends the number of a protected piece
-HELD = re.compile(f"{MARK}(\\d+){MARK}")
+#: Marks around the number of a leaf, and of an element that begins; the mark where one ends. A text's own such characters become leaves.
+LEAF, LEAF_END, BEGIN, BEGIN_END, END = "\ue000\ue001\ue002\ue003\ue004"
+OWN = re.compile("[\ue000-\ue004]")
+HELD = re.compile(f"{LEAF}(\\d+){LEAF_END}")
+MARKS_OF = f"{LEAF}(?P<leaf>\\d+){LEAF_END}|{BEGIN}(?P<begin>\\d+){BEGIN_END}|(?P<end>{END})"
+PART = re.compile(f"{MARKS_OF}|(?P<tag>{H_TAG.pattern})", re.I), re.compile(MARKS_OF)
 
 
 def settled(change, t: str) -> str:
@@ -105,71 +123,92 @@ def settled(change, t: str) -> str:
 
 
 class Reading:
-    """One pass over a text: the kinds found, and the plain text."""
+    """One text: the tree it makes, its kinds and its plain text."""
 
     def __init__(self, text: str):
-        self.kinds: set[str] = set()
-        self.held: list[tuple[str, str]] = []
-        self.text = self.read(text.replace(MARK, ""))
-
-    def hold(self, kind: str, piece: str) -> str:
-        self.held.append((kind, piece))
-        return f"{MARK}{len(self.held) - 1}{MARK}"
-
-    def note(self, kind: str, put):
-        """A replacement for re.sub that notes the kind."""
-
-        def replace(m: re.Match) -> str:
-            self.kinds.add(kind)
-            return put(m) if callable(put) else put
-
-        return replace
+        self.leaves: list[tuple[str, str, str, str]] = []  # family, name, text, and what is in it but not shown
+        self.elements: list[tuple[str, str]] = []
+        self.families: set[str] = set()
+        #: Leaves of the tree: path and text; a None for text is a break between blocks.
+        self.tree: list[tuple[tuple[str, ...], str | None]] = []
+        self.grow(self.read(OWN.sub(lambda m: self.leaf("", "own", m[0]), text)), [])
+        self.kinds = sorted({tag.partition(":")[0] for path, _ in self.tree for tag in path} - {""})
+        self.blocks = list(self.joined())
+        self.kept = select_blocks(self.blocks)
+        text = "".join(t for (_, t), keep in zip(self.blocks, self.kept) if keep)
+        self.text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
+
+    def leaf(self, family: str, name: str, text: str, hidden: str = "") -> str:
+        self.families.add(family)
+        self.leaves.append((family, name, text, hidden))
+        return f"{LEAF}{len(self.leaves) - 1}{LEAF_END}"
+
+    def element(self, family: str, name: str, inner: str) -> str:
+        self.families.add(family)
+        self.elements.append((family, name))
+        return f"{BEGIN}{len(self.elements) - 1}{BEGIN_END}{inner}{END}"
+
+    def gone(self, family: str, name: str):
+        """A replacement for re.sub: an empty leaf in the place of the match."""
+        return lambda m: self.leaf(family, name, "", m[0])
+
+    def within(self, family: str, name: str, group: int):
+        """A replacement for re.sub: an element that holds a group of the match."""
+        return lambda m: self.element(family, name, m[group] or "")
+
+    # Reading: constructs become marks.
 
     def read(self, t: str) -> str:
-        sub = lambda pattern, kind, put: pattern.sub(self.note(kind, put), t)
         if "```" in t or "~~~" in t:
-            t = sub(FENCE, MARKDOWN, lambda m: m["q"] + self.hold("code", f"```{m['info'].strip()}\n{m['body']}```") if m["f"][0] == "~" or "`" not in m["info"] else m[0])
+            t = FENCE.sub(self.fence, t)
         if "`" in t:
-            t = sub(SPAN, MARKDOWN, lambda m: self.hold("span", m[2].strip()))
+            t = SPAN.sub(lambda m: self.leaf(MARKDOWN, "span", m[2].strip()), t)
         if "<" in t:
-            t = sub(COMMENT, HTML, " ")
+            t = COMMENT.sub(lambda m: " " + self.leaf(HTML, "comment", "", m[0]), t)
         if "\\" in t:
-            t = PATH.sub(lambda m: self.hold("path", m[0]), t)
+            t = PATH.sub(lambda m: self.leaf("", "path", m[0]), t)
         if "$" in t or "\\" in t:
-            t = sub(DISPLAY, LATEX, lambda m: self.hold("formula", m[0]))
+            t = DISPLAY.sub(lambda m: self.leaf(LATEX, "formula", m[0]), t)
             t = INLINE.sub(self.formula, t)
         t = self.wiki(t)
         t = self.latex(t)
         t = self.markdown_links(t)
-        t = URL.sub(lambda m: self.hold("url", m[0]), t)
-        t = self.markdown(t)
-        return self.elements(t)
+        t = URL.sub(lambda m: self.leaf("", "url", m[0]), t)
+        return self.markdown(t)
+
+    def fence(self, m: re.Match) -> str:
+        if m["f"][0] != "~" and "`" in m["info"]:
+            return m[0]
+        return m["q"] + self.leaf(MARKDOWN, "code", f"```{m['info'].strip()}\n{m['body']}```")
 
     def formula(self, m: re.Match) -> str:
         if m[1][:1].isdigit() and not re.search(r"[\\^_={+*/<>]", m[1]):
             return m[0]
-        self.kinds.add(LATEX)
-        return self.hold("formula", m[0])
+        return self.leaf(LATEX, "formula", m[0])
 
     def wiki(self, t: str) -> str:
-        sub = lambda pattern, put: pattern.sub(self.note(WIKI, put), t)
         if "__" in t or "#" in t:
-            t = sub(W_WORD, "")
+            t = W_WORD.sub(self.gone(WIKI, "word"), t)
         if "{{" in t:
-            t = settled(lambda t: W_TEMPLATE.sub(self.note(WIKI, ""), t), t)
+            t = settled(lambda t: W_TEMPLATE.sub(self.gone(WIKI, "template"), t), t)
         if "[" in t:
-            t = sub(W_LINK, lambda m: "" if re.match(r"(?i)(?:category|file|image):", m[1]) else (m[2].rpartition("|")[2] or m[1]).strip())
-            t = sub(W_OUTER, lambda m: m[1] or "")
+            t = W_LINK.sub(self.wiki_link, t)
+            t = W_OUTER.sub(self.within(WIKI, "link", 1), t)
         if "''" in t:
-            t = settled(lambda t: W_QUOTE.sub(self.note(WIKI, lambda m: m[2]), t), t)
+            t = settled(lambda t: W_QUOTE.sub(self.within(WIKI, "em", 2), t), t)
         if "{|" in t:
-            t = settled(lambda t: W_TABLE.sub(self.note(WIKI, self.wiki_table), t), t)
+            t = settled(lambda t: W_TABLE.sub(self.wiki_table, t), t)
         if "==" in t:
-            t = sub(W_HEAD, lambda m: f"{self.hold('h', '#' * len(m[1]))} {m[2]}")
+            t = W_HEAD.sub(lambda m: f"{self.leaf(WIKI, 'h', '#' * len(m[1]))} {m[2]}", t)
         return t
 
+    def wiki_link(self, m: re.Match) -> str:
+        if re.match(r"(?i)(?:category|file|image):", m[1]):
+            return self.leaf(WIKI, "link", "", m[0])
+        return self.element(WIKI, "link", (m[2].rpartition("|")[2] or m[1]).strip())
+
     def wiki_table(self, m: re.Match) -> str:
-        rows: list[list[str]] = []  # kind and text
+        rows: list[list[str]] = []  # name and text
         for line in m[0].split("\n")[1:]:
             line = line.strip()
             if line[:2] in ("|-", "|}") or not line:
@@ -182,53 +221,59 @@ class Reading:
                 rows[-1][1] = f"{rows[-1][1]} {line}".strip()
             else:
                 rows.append(["caption", line])
-        return "\n".join(self.hold("cell", f"| {x} |") if kind == "cell" else x for kind, x in rows)
+        lines = (self.leaf(WIKI, "cell", f"| {x} |") if name == "cell" else self.element(WIKI, "caption", x) for name, x in rows)
+        return "\n".join(lines) if rows else self.leaf(WIKI, "table", "", m[0])
 
     def latex(self, t: str) -> str:
         if "\\" not in t:
             return t
-        sub = lambda pattern, put: pattern.sub(self.note(LATEX, put), t)
         t = t.replace("~\\", " \\")  # a space that doesn't break, before a command
-        t = sub(L_ENV, "")
-        t = sub(L_ACCENT, lambda m: " " if m[4] else (m[2] or m[3]) + MARKS[m[1]])
+        t = L_ENV.sub(self.gone(LATEX, "environment"), t)
+        t = L_ACCENT.sub(lambda m: self.leaf(LATEX, "accent", " " if m[4] else unicodedata.normalize("NFC", (m[2] or m[3]) + MARKS[m[1]])), t)
         t = settled(lambda t: self.commands(t, L_INNER), t)
         t = settled(lambda t: self.commands(t, L_COMMAND), t)
-        return re.sub(r"\\([%&_#$])", r"\1", t) if LATEX in self.kinds else t
+        return re.sub(r"\\([%&_#$])", r"\1", t) if LATEX in self.families else t
 
     def commands(self, t: str, pattern: re.Pattern) -> str:
         """One level of LaTeX headings, groups and commands."""
-        sub = lambda pattern, put: pattern.sub(self.note(LATEX, put), t)
-        t = sub(L_HEAD, lambda m: f"{self.hold('h', '#' * (1 + m[1].count('sub')))} {m[2]}")
-        t = sub(L_GROUP, lambda m: m[1])
-        return sub(pattern, lambda m: self.hold("li", "- ") if m[4] == "item" else "" if m[1] in ("label", "ref", "cite", "eqref", "index", "pageref") else m[3] or ("…" if "dots" in (m[1] or m[4]) else ""))
+        t = L_HEAD.sub(lambda m: f"{self.leaf(LATEX, 'h', '#' * (1 + m[1].count('sub')))} {m[2]}", t)
+        t = L_GROUP.sub(self.within(LATEX, "group", 1), t)
+        return pattern.sub(self.command, t)
+
+    def command(self, m: re.Match) -> str:
+        if m[4] == "item":
+            return self.leaf(LATEX, "li", "- ")
+        if m[1] in ("label", "ref", "cite", "eqref", "index", "pageref"):
+            return self.leaf(LATEX, "command", "", m[0])
+        if m[3]:
+            return self.element(LATEX, "command", m[3])
+        return self.leaf(LATEX, "command", "…" if "dots" in (m[1] or m[4]) else "")
 
     def markdown_links(self, t: str) -> str:
-        sub = lambda pattern, put: pattern.sub(self.note(MARKDOWN, put), t)
         if "<" in t:
-            t = sub(M_AUTO, lambda m: self.hold("url", m[1]))
+            t = M_AUTO.sub(lambda m: self.leaf(MARKDOWN, "url", m[1]), t)
         if "[" in t:
-            t = sub(M_NOTE, lambda m: "" if "^" in m[0] else self.hold("note", m[0].strip() + " "))
-            t = sub(M_FOOT, "")
-            t = sub(M_LINK, lambda m: m[1])
+            t = M_NOTE.sub(lambda m: self.leaf(MARKDOWN, "note", "" if "^" in m[0] else m[0].strip() + " ", m[0]), t)
+            t = M_FOOT.sub(self.gone(MARKDOWN, "note"), t)
+            t = M_LINK.sub(self.within(MARKDOWN, "link", 1), t)
         return t
 
     def markdown(self, t: str) -> str:
-        sub = lambda pattern, put: pattern.sub(self.note(MARKDOWN, put), t)
         if "|" in t:
-            t = sub(M_TABLE, lambda m: m[0].partition("\n")[0])
-            if MARKDOWN in self.kinds:
-                t = M_ROW.sub(lambda m: self.hold("cell", f"|{m[1]}|"), t)
+            t = M_TABLE.sub(lambda m: self.leaf(MARKDOWN, "table", "") + m[0].partition("\n")[0], t)
+            if MARKDOWN in self.families:
+                t = M_ROW.sub(lambda m: self.leaf(MARKDOWN, "cell", f"|{m[1]}|"), t)
         if "#" in t:
-            t = M_HEAD.sub(lambda m: (self.kinds.add(MARKDOWN), f"{self.hold('h', m[1])} {m[2]}")[1] if m[2] else m[0], t)
+            t = M_HEAD.sub(lambda m: f"{self.leaf(MARKDOWN, 'h', m[1])} {m[2]}" if m[2] else m[0], t)
         if "--" in t or "==" in t:
             t = self.underlined(t)
-        t = sub(M_RULE, "")
-        t = sub(M_LIST, lambda m: m[1] + self.hold("li", "- "))
+        t = M_RULE.sub(self.gone(MARKDOWN, "rule"), t)
+        t = M_LIST.sub(lambda m: m[1] + self.leaf(MARKDOWN, "li", "- "), t)
         if ">" in t:
-            t = sub(M_QUOTE, "")
+            t = M_QUOTE.sub(lambda m: self.leaf(MARKDOWN, "quote", ""), t)
         for mark, pattern, group in (("*", M_STAR, 2), ("_", M_UNDER, 2), ("~~", M_STRIKE, 1)):
             if mark in t:
-                t = settled(lambda t, p=pattern, g=group: p.sub(self.note(MARKDOWN, lambda m: m[g]), t), t)
+                t = settled(lambda t, p=pattern, g=group: p.sub(self.within(MARKDOWN, "em", g), t), t)
         return t
 
     def underlined(self, t: str) -> str:
@@ -237,71 +282,165 @@ class Reading:
         for m in M_UNDERLINE.finditer(t):
             begin = t.rfind("\n", 0, max(m.start() - 1, 0)) + 1
             if begin >= at and m.start() and not M_NO_TITLE.match(title := t[begin : m.start() - 1]):
-                self.kinds.add(MARKDOWN)
-                parts += [t[at:begin], f"{self.hold('h', '##')} {title}"]
+                parts += [t[at:begin], f"{self.leaf(MARKDOWN, 'h', '##')} {title}"]
                 at = m.end()
         return "".join(parts) + t[at:]
 
-    def entity(self, m: re.Match) -> str:
+    # Growing: marks and HTML tags become the tree.
+
+    def grow(self, t: str, stack: list[str]) -> None:
+        at, bottom = 0, len(stack)
+        for m in PART["<" not in t].finditer(t):
+            self.plain(stack, t[at : m.start()])
+            at = m.end()
+            if m["leaf"] is not None:
+                self.grow_leaf(stack, *self.leaves[int(m["leaf"])])
+            elif m["begin"] is not None:
+                family, name = self.elements[int(m["begin"])]
+                stack.append(f"{family}:{name}")
+                self.tree.append((tuple(stack), ""))
+            elif m["end"] is not None:
+                for i in range(len(stack) - 1, bottom - 1, -1):
+                    if not stack[i].startswith(HTML):
+                        del stack[i]
+                        break
+            else:
+                self.html_tag(stack, bottom, m["tag"])
+        self.plain(stack, t[at:])
+        del stack[bottom:]
+
+    def grow_leaf(self, stack: list[str], family: str, name: str, text: str, hidden: str) -> None:
+        path = (*stack, f"{family}:{name}") if family else tuple(stack)
+        if name in ("cell", "note"):  # their text was kept apart, and holds further constructs
+            self.tree.append((path, ""))
+            self.grow(text, list(path))
+        else:
+            self.tree.append((path, self.whole(text)))
+        for m in HELD.finditer(hidden):
+            family, name, _, deeper = self.leaves[int(m[1])]
+            self.grow_leaf(list(path), family, name, "", deeper)
+        for m in re.finditer(f"{BEGIN}(\\d+)", hidden):
+            self.tree.append(((*path, ":".join(self.elements[int(m[1])])), ""))
+
+    def whole(self, text: str) -> str:
+        """The text of a leaf, with that of the leaves in it."""
+        return HELD.sub(lambda m: self.whole(self.leaves[int(m[1])][2]) if self.leaves[int(m[1])][1] != "own" else self.leaves[int(m[1])][2], re.sub(f"{BEGIN}\\d+{BEGIN_END}|{END}", "", text) if BEGIN in text else text)
+
+    def html_tag(self, stack: list[str], bottom: int, tag: str) -> None:
+        m = H_TAG.match(tag)
+        name = m[2].lower()
+        own = f"{HTML}:{name}"
+        self.tree.append(((*stack, own), ""))
+        if name in BLOCKS:
+            self.tree.append((tuple(stack), None))
+        if m[1]:
+            if own in stack[bottom:]:
+                del stack[len(stack) - 1 - stack[::-1].index(own) :]
+            return
+        if name in ("li", "td", "th", "tr", "dt", "dd", "p", "option") and stack[bottom:] and stack[-1] == own:
+            stack.pop()
+        if name not in VOID:
+            stack.append(own)
+        notation = "#" * int(name[1]) + " " if re.fullmatch("h[1-6]", name) else "- " if name in ("li", "dt", "dd") else " | " if name in ("td", "th") else ""
+        if notation:
+            self.tree.append((tuple(stack), notation))
+
+    def plain(self, stack: list[str], t: str) -> None:
+        if "&" in t:
+            t = H_ENTITY.sub(lambda m: self.entity(stack, m), t)
+        if t:
+            self.tree.append((tuple(stack), t))
+
+    def entity(self, stack: list[str], m: re.Match) -> str:
         if m[1]:
             name = m[1] + m[2]
             after = m.string[m.end() : m.end() + 1]
             if name not in html.entities.html5 or (not m[2] and (after.isalnum() or after == "=")):
                 return m[0]
-        self.kinds.add(HTML)
+        self.tree.append(((*stack, f"{HTML}:entity"), ""))
         return html.unescape(m[0]).replace("\xa0", " ")
 
-    def elements(self, t: str) -> str:
-        """The plain text of the elements that tag-path ratios select."""
-        nodes, stack, at = [], [], 0
-        for m in H_TAG.finditer(t) if "<" in t else ():
-            self.kinds.add(HTML)
-            nodes.append((tuple(stack), t[at : m.start()]))
-            at, name = m.end(), m[2].lower()
-            if name in BLOCKS:
-                nodes.append(((), "\n"))
-            if m[1]:
-                if name in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
+    # Blocks: leaves that stand in one line or HTML block.
+
+    def joined(self) -> Iterator[tuple[tuple[str, ...], str]]:
+        """(path, text) of each block in order; breaks are blocks of white space."""
+        run: list[tuple[tuple[str, ...], str]] = []
+        for path, text in self.tree:
+            if text is None or path[-1:] == (f"{MARKDOWN}:code",):
+                yield from block(run)
+                run = []
+                yield (path, "\n") if text is None else (path, text)
                 continue
-            if name in ("li", "td", "th", "tr", "dt", "dd", "p", "option") and stack and stack[-1] == name:
-                stack.pop()
-            if re.fullmatch("h[1-6]", name):
-                nodes.append((("h",), self.hold("h", "#" * int(name[1])) + " "))
-            elif name in ("li", "dt", "dd"):
-                nodes.append((("li",), self.hold("li", "- ")))
-            elif name in ("td", "th"):
-                nodes.append((("cell",), " | "))
-            if name not in VOID:
-                stack.append(name)
-        nodes.append((tuple(stack), t[at:]))
-        if "&" in t:
-            nodes = [(p, H_ENTITY.sub(self.entity, x)) for p, x in nodes]
-        kept = "".join(x for (_, x), keep in zip(nodes, select_nodes(nodes)) if keep)
-        kept = settled(lambda t: HELD.sub(lambda m: self.held[int(m[1])][1], t), kept)
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", kept)).strip()
-
-
-def select_nodes(nodes: list[tuple[tuple, str]]) -> list[bool]:
-    """Which nodes (path, text) are content, by tag-path ratios."""
-    if len(nodes) < 3:
-        return [True] * len(nodes)
-    length: dict[tuple, list[float]] = {}
-    for path, text in nodes:
-        own = length.setdefault(path, [0.0, 0.0, 0.0])
-        own[0] += len(text.strip())
-        own[1] += sum(text.count(c) for c in ".,;:!?。、")
-        own[2] += 1
-    paths = list(length)
-    fused = {}
-    for i, p in enumerate(paths):  # smoothed over neighbouring paths, itself counting twice
-        near = [length[q] for q in paths[max(0, i - 1) : i + 2]] + [length[p]]
-        ratio = sum(x[0] / x[2] for x in near) / len(near)
-        marks = sum(x[1] / x[2] for x in near) / len(near)
-        fused[p] = ratio * (1 + marks)
-    least = RESIDUE * sum(fused.values()) / len(fused)
-    residue = {p for p in paths if p and p[-1] in ("nav", "footer", "aside", "button", "option", "label", "menu", "div", "span", "font") and fused[p] < least}
-    return [p not in residue or not x.strip() or MARK in x for p, x in nodes]
+            lines = text.split("\n")
+            for line in lines[:-1]:
+                yield from block([*run, (path, line)])
+                run = []
+                yield (), "\n"
+            run.append((path, lines[-1]))
+        yield from block(run)
+
+
+def block(run: list[tuple[tuple[str, ...], str]]) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The block of leaves: its path is what the paths of its text have in common, and the tag of the line."""
+    text = "".join(t for _, t in run)
+    if not text:
+        return
+    line = [p[-1:] for p, _ in run if p and p[-1].partition(":")[2] in LINE and not p[-1].startswith(HTML)][:1]
+    paths = [p for p, t in run if t.strip(" -#|") and not (line and p[-1:] == line[0])] or [run[0][0]]
+    common = paths[0]
+    for p in paths[1:]:
+        common = common[: next((i for i, (x, y) in enumerate(zip(common, p)) if x != y), min(len(common), len(p)))]
+    yield (*common, *(line[0] if line else ())), text
+
+
+def path_ratios(blocks: list[tuple[tuple[str, ...], str]]) -> dict[tuple, float]:
+    """The logarithm of the fused tag-path ratio of each path: the root of the length by block, times punctuation by 100 characters."""
+    sums: dict[tuple, list[float]] = {}
+    for path, text in blocks:
+        if own := len(text.strip()):
+            total = sums.setdefault(path, [0, 0, 0])
+            total[0] += own
+            total[1] += len(PUNCTUATION.findall(text))
+            total[2] += 1
+    plain = {p: (length / n, 100 * marks / length) for p, (length, marks, n) in sums.items()}
+    paths, out = list(sums), {}
+    for i, p in enumerate(paths):
+        weights = [(1.0, p)]
+        for q in paths[max(0, i - 1) : i] + paths[i + 1 : i + 2]:
+            shared = next((k for k, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
+            weights.append((math.exp(-((len(p) + len(q) - 2 * shared) ** 2) / 2), q))
+        whole = sum(w for w, _ in weights)
+        length, marks = (sum(w * plain[q][k] for w, q in weights) / whole for k in (0, 1))
+        out[p] = math.log(length) / 2 + math.log(LEAST_MARKS + marks)
+    return out
+
+
+def split_point(values: list[float]) -> tuple[float, float]:
+    """The value from which the upper side begins, where the variance between two sides is greatest; and how far their means lie apart."""
+    x, n = sorted(values), len(values)
+    best, least, apart, low, total = 0.0, -math.inf, 0.0, 0.0, sum(values)
+    for i in range(1, n):
+        low += x[i - 1]
+        gap = (total - low) / (n - i) - low / i
+        if x[i] > x[i - 1] and (between := i * (n - i) * gap * gap) > best:
+            best, least, apart = between, x[i], gap
+    return least, apart
+
+
+def _name_of(path: tuple[str, ...]) -> str:
+    return path[-1].partition(":")[2] if path else ""
+
+
+def select_blocks(blocks: list[tuple[tuple[str, ...], str]]) -> list[bool]:
+    """Which blocks are content, by tag-path ratios and how they are spread over the text's own blocks."""
+    if not any(p and p[-1].startswith(HTML) for p, _ in blocks):
+        return [True] * len(blocks)
+    ratios = path_ratios(blocks)
+    least, apart = split_point([ratios[p] for p, t in blocks if t.strip() and _name_of(p) not in SHORT])
+    if apart < math.log(CONTRAST):
+        return [True] * len(blocks)
+    residue = {p for p, x in ratios.items() if x < least and p and p[-1].startswith(HTML) and _name_of(p) not in STRUCTURE}
+    return [p not in residue or not t.strip() for p, t in blocks]
 
 
 def read_markup(text: str | None) -> tuple[list[str], str | None]:
@@ -309,7 +448,7 @@ def read_markup(text: str | None) -> tuple[list[str], str | None]:
     if not text or not SPECIAL.search(text):
         return [], text
     reading = Reading(text)
-    return sorted(reading.kinds), reading.text
+    return reading.kinds, reading.text
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

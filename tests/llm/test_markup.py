@@ -1,6 +1,6 @@
 import pytest
 
-from loreweave.llm.markup import clean_markup, read_markup, select_nodes
+from loreweave.llm.markup import Reading, clean_markup, path_ratios, read_markup, select_blocks
 
 PLAIN = ["Its grade is # 4 <3 of 9.", "The set {a | b} has 2 ^ 3 members (see [4]).", "It cost $12 to $15, or 40% of the C# and C++ copies.", "It takes 5 * 3 * 2 steps.", "Here a < b holds, and so does c > d.", "R&D prices it at $5, the copy at $7.", "See C:\\data\\new for snake_case_name.", "D:\\index\\table_1, its rule p && q.", "So a => b and b <= c, filed under #tag, about ~5 km off.", "3 < x and y > 1; AT & T differ.", "The mark [sic] and {curly}.", "It is 6'' by 4'' wide.", "List<Text> of __init", "", " "]
 MARKED = [("See [x y][3] there.", "markdown"), ("<a href=\"u\" title='v'>w</a>", "html"), ("a `b_c` d", "markdown"), ("$$ a^2 $$", "latex"), ("'''A''' was ''b''.", "wiki"), ("[[A|b]]", "wiki"), ("[https://a.example/w the road]", "wiki"), ("\\(s \\in R\\)", "latex"), ("is $n_i = \\frac{n^2}{4}$ here", "latex"), ("m<sup>2</sup> &times; 5", "html"), ("a&nbsp,b", "html"), ("`<b>1</b>`", "markdown"), ("~~x~~", "markdown"), ("<https://a.example>", "markdown"), ("Caf\\'{e} and M\\\"uhle", "latex"), ("x.{{cite|date=1}} y", "wiki"), ("```\n[[a]] <b>\n== x ==\n```", "markdown"), ("Title\n-----\n\nNo", "markdown"), ("{| class=\"w\"\n|-\n| 1 || b\n|}", "wiki"), ("== S ==", "wiki"), ("## S ##", "markdown"), ("- [x] A", "markdown"), ("| a |\n|---|\n| b |", "markdown"), ("a <!-- b --> c", "html"), ("__TOC__", "wiki"), ("{\\it a} b", "latex")]
@@ -50,9 +50,55 @@ def test_readings_have_no_depth_or_length():
     assert "\ue000" not in deep and all(x in deep for x in ("1", "2", "3", "https://a.example/x"))
 
 
-def test_paths_of_little_text_are_residue():
-    nodes = [(("p",), "A long paragraph, with marks. " * 5), (("nav",), "x"), (("nav", "span"), "x"), (("nav", "span"), "y"), (("nav", "div"), "x"), (("li",), "y")]
-    assert select_nodes(nodes) == [True, True, False, False, False, True]
+PAGE = """<html><head><title>Knowledge base</title></head><body>
+<nav><ul><li><a href="/">Home</a></li><li><a href="/a">All notes</a></li><li><a href="/b">Contact</a></li></ul></nav>
+<div class="main"><h1>The archive</h1><p>The archive was founded in 1853 by the guild, which kept its records, maps and letters in two rooms. It grew quickly, and was moved twice.</p>
+<p>Its first keeper, a copyist, wrote an index of all letters; the index is lost, but <a href="q">quotations</a> of it remain in three later works.</p>
+<ul><li>letters of the guild</li><li>maps, see <a href="m">there</a></li></ul>
+<pre>x = 1</pre>
+<p>The rate is $x^2$ per year, as the second keeper noted in the margin of his own copy.</p>
+<table><tr><td>1853</td><td>founded</td></tr></table>
+<div>The rooms were painted green, which the visitors of that time mention in nearly all of their letters.</div></div>
+<footer>Imprint</footer></body></html>"""
+
+
+def test_residue_of_a_page_goes_and_structure_stays():
+    reading = Reading(PAGE)
+    gone = " ".join(t for (_, t), keep in zip(reading.blocks, reading.kept) if not keep)
+    for part in ("Home", "All notes", "Contact", "Imprint"):
+        assert part in gone and part not in reading.text
+    for part in ("# The archive", "- letters of the guild", "- maps, see there", "x = 1", "$x^2$", "1853", "| founded", "moved twice.", "quotations of it", "painted green"):
+        assert part in reading.text and part not in gone
+    assert reading.kinds == ["html", "latex"]
+
+
+def test_kinds_are_the_families_of_the_tree():
+    reading = Reading("# A\n\n- [b](u) and ''c'' in <div><b>d</b></div> $x^2$ {{t|`e`}}")
+    paths = {p for p, _ in reading.tree}
+    assert ("markdown:h",) in paths and ("markdown:link",) in paths and ("html:div", "html:b") in paths and ("wiki:template", "markdown:span") in paths
+    assert reading.kinds == ["html", "latex", "markdown", "wiki"] == sorted({t.split(":")[0] for p in paths for t in p})
+
+
+def test_blocks_alike_have_no_residue():
+    assert all(Reading("<div>One</div><div>Two</div><nav>Three</nav>").kept)
+    assert Reading("Short.<div>A</div>").text == "Short.\nA"
+    blocks = [(("html:div", "html:p"), "A long paragraph, with marks, of many words. " * 5)] * 4 + [(("html:nav", "html:a"), "Home"), (("html:li",), "y"), ((), "\n")]
+    ratios = path_ratios(blocks)
+    assert ratios["html:nav", "html:a"] < ratios["html:div", "html:p"] and () not in ratios
+    assert select_blocks(blocks) == [True] * 4 + [False, True, True]
+
+
+def test_own_private_characters_stay():
+    for text in ("a \ue000 b *c*", "`x \ue0000\ue001 y` **z**", "\ue0020\ue003 <b>q</b> \ue004", "```\n\ue0011\ue000\n```"):
+        assert [c for c in read_markup(text)[1] if "\ue000" <= c <= "\ue004"] == [c for c in text if "\ue000" <= c <= "\ue004"]
+    deep = "| a | b |\n|---|---|\n| $x `y` z$ | c |"
+    assert read_markup(deep) == (["latex", "markdown"], "| a | b |\n| $x y z$ | c |")
+
+
+def test_residue_in_data_is_found_in_no_plain_sentence(spark):
+    """Layout elements around whole sentences aren't residue."""
+    text = "The first note is here, and long enough.\n<div class='x'><span>Both the seed and the loom point to one place.</span></div>\n" + "Some more text, of the same kind, follows it. " * 20
+    assert "Both the seed and the loom" in read_markup(text)[1]
 
 
 def test_rows(spark):
