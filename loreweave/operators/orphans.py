@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import bare_source_id, json_strings
+from ..plans.lineage import cut
 from ..plans.skew import hot_lookup_join
 
 REFERENCE, ENTITY = "reference", "entity"
@@ -105,7 +106,7 @@ def orphan_references(tables: dict[str, DataFrame], foreign_keys=FOREIGN_KEYS) -
     ``tables`` has the referencing tables by name and the parents ``kb_references`` and ``entities``.
     Columns: table_name, record_key, ref_key, reason (missing, deleted or late), record_first.
     """
-    refs = references_of(tables, foreign_keys)
+    refs = cut(references_of(tables, foreign_keys))  # read by each of the joins below
     parents = parent_state(tables["kb_references"], "reference_id", REFERENCE).unionByName(
         parent_state(tables["entities"], "entity_path", ENTITY)
     )
@@ -122,7 +123,7 @@ def orphan_references(tables: dict[str, DataFrame], foreign_keys=FOREIGN_KEYS) -
             "space", "ref_key", "n", F.when(F.col("deleted"), "deleted").otherwise("late").alias("state"), "parent_first"
         )
     )
-    suspects = missing.unionByName(troubled)
+    suspects = cut(missing.unionByName(troubled))
     joined = hot_lookup_join(refs, suspects.drop("n"), ["space", "ref_key"], suspects.select("space", "ref_key", "n"))
     return joined.filter("state IN ('missing', 'deleted') OR (state = 'late' AND parent_first > record_first)").select(
         "table_name", "record_key", "ref_key", F.col("state").alias("reason"), "record_first"
