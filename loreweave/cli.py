@@ -94,9 +94,8 @@ def run(args, spark) -> dict:
             raise UsageError("eval needs --eval")
         rows = knowledge.load_cases(path)
         hits, config, manifest = _search(spark, args, index, [(r["query_id"], r["query_text"]) for r in rows])
-        paths = hits.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array("entity_path", F.when(F.col("claim_path").startswith("/"), F.col("claim_path")))))).alias("entity_path"), "rank")
         cases = spark.createDataFrame([(r["query_id"], r["expected_json"], r["kind"], r["gap"]) for r in rows], "query_id string, expected_json string, kind string, gap boolean")
-        results = evaluation.case_results(cases, paths, args.top_k).cache()
+        results = evaluation.case_results(cases, evaluation.evidence_paths(evaluation.ranked_again(hits, args.top_k)), args.top_k).cache()
         total = evaluation.totals(results).first()
         by_kind = {r.kind: {"count": r.n_cases, "recall_at_k": r.recall_at_k, "mrr": r.mrr, "successes": r.n_success} for r in evaluation.totals(results, ["kind"]).collect()}
         out = {
@@ -109,9 +108,8 @@ def run(args, spark) -> dict:
     hits, config, _ = _search(spark, args, index, [("q", args.query)])
     if args.command == "search":
         return {"query": args.query, "results": [r.asDict(True) for r in hits.drop("query_id").orderBy("rank").collect()]}
-    packets = hits.withColumn("packet_id", F.col("rank")).withColumn("source_ids", F.array_distinct(F.concat(F.coalesce("source_ids", F.array().cast("array<string>")), F.coalesce("relation_source_ids", F.array().cast("array<string>")))))
-    found = context.assemble(context.distinct_packets(packets), index.tables["kb_references"], strict=not args.non_strict)
-    rows = [r.asDict(True) for r in found.drop("query_id", "packet_id").orderBy("rank").collect()]
+    packets = context.evidence_packets(hits.withColumn("packet_id", F.col("rank")), index.tables["kb_references"], strict=not args.non_strict)
+    rows = [r.asDict(True) for r in packets.drop("query_id", "packet_id").orderBy("position").collect()]
     missing = sorted({s["source_id"] for r in rows for s in r["references"] if not s["resolved"]})
     return {"query": args.query, "packets": rows} | ({"unresolved": missing} if args.non_strict else {})
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexical import positive_integer
+
 
 @dataclass(frozen=True)
 class RRFConfig:
@@ -42,22 +44,39 @@ def best_hits(hits: DataFrame, config: RRFConfig = RRFConfig()) -> DataFrame:
     return kept.groupBy("query_id", "backend", "entity_path").agg(F.min_by(F.struct(*rest), order).alias("_h")).select("query_id", "backend", "entity_path", "_h.*")
 
 
+#: Columns of hits that are united over all hits of an entity rather than chosen with its passage.
+UNITED = ("relation_source_ids", "claim_source_ids")
+
+
+def _rank_columns(backends: Sequence[str]) -> list:
+    return [F.min(F.when(F.col("backend") == b, F.col("rank"))).alias(f"rank_{i}") for i, b in enumerate(backends)]
+
+
+def _score(backends: Sequence[str], config: RRFConfig):
+    terms = [F.coalesce(F.lit(float(config.backend_weights.get(b, 1.0))) / (F.lit(float(config.constant)) + F.col(f"rank_{i}")), F.lit(0.0)) for i, b in enumerate(backends)]
+    return sum(terms, F.lit(0.0))
+
+
 def rrf_scores(best: DataFrame, backends: Sequence[str], config: RRFConfig = RRFConfig()) -> DataFrame:
     """(query_id, entity_path, score, backend ranks): weights over ranks, added in the order of ``backends``."""
-    ranks = [F.min(F.when(F.col("backend") == b, F.col("rank"))).alias(f"rank_{i}") for i, b in enumerate(backends)]
-    wide = best.groupBy("query_id", "entity_path").agg(*ranks)
-    terms = [F.coalesce(F.lit(float(config.backend_weights.get(b, 1.0))) / (F.lit(float(config.constant)) + F.col(f"rank_{i}")), F.lit(0.0)) for i, b in enumerate(backends)]
-    return wide.withColumn("score", sum(terms, F.lit(0.0)))
+    return best.groupBy("query_id", "entity_path").agg(*_rank_columns(backends)).withColumn("score", _score(backends, config))
 
 
-def chosen_passages(best: DataFrame, backends: Sequence[str], config: RRFConfig = RRFConfig()) -> DataFrame:
-    """The passage of each (query, entity): of the hits with a chunk id the first by precedence, rank and identity."""
+def _passage_order(backends: Sequence[str], config: RRFConfig):
     precedence = list(config.passage_precedence or backends)
     place = F.lit(len(precedence))
     for i, b in enumerate(precedence):
         place = F.when(F.col("backend") == b, i).otherwise(place)
-    order = F.struct(F.col("chunk_id").isNull().alias("none"), place.alias("place"), "rank", *[F.coalesce(c, F.lit("")).alias(c) for c in ("chunk_id", "section", "text")], "backend")
-    return best.groupBy("query_id", "entity_path").agg(F.min_by(F.struct("backend", "chunk_id", "section", "text", "source_ids"), order).alias("p")).select("query_id", "entity_path", "p.*")
+    return F.struct(F.col("chunk_id").isNull().alias("none"), place.alias("place"), "rank", *[F.coalesce(c, F.lit("")).alias(c) for c in ("chunk_id", "section", "text")], "backend")
+
+
+def _passage(backends: Sequence[str], config: RRFConfig):
+    return F.min_by(F.struct("backend", "chunk_id", "section", "text", "source_ids"), _passage_order(backends, config)).alias("p")
+
+
+def chosen_passages(best: DataFrame, backends: Sequence[str], config: RRFConfig = RRFConfig()) -> DataFrame:
+    """The passage of each (query, entity): of the hits with a chunk id the first by precedence, rank and identity."""
+    return best.groupBy("query_id", "entity_path").agg(_passage(backends, config)).select("query_id", "entity_path", "p.*")
 
 
 def fallback_passages(chunks: DataFrame) -> DataFrame:
@@ -67,10 +86,23 @@ def fallback_passages(chunks: DataFrame) -> DataFrame:
 
 
 def fuse(hits: DataFrame, backends: Sequence[str], top_k: int | None = None, config: RRFConfig = RRFConfig()) -> DataFrame:
-    """(query_id, entity_path, score, rank and the chosen passage), by falling score (12 decimals) and path."""
+    """(query_id, entity_path, score, rank and the chosen passage), by falling score (12 decimals) and path.
+
+    Where hits carry source ids of assertions and whether to hedge, these are united over the best hits of an entity, one a backend, in
+    the order in which passages are chosen; a fused hit is to be hedged if one of them is.
+    """
     best = best_hits(hits, config)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "entity_path")
-    ranked = rrf_scores(best, backends, config).withColumn("rank", F.row_number().over(order))
+    united = [c for c in UNITED if c in hits.columns]
+    order = _passage_order(backends, config)
+    more = [F.array_sort(F.collect_list(F.struct(order.alias("o"), *united, *([F.col("requires_hedging")] if "requires_hedging" in hits.columns else [])))).alias("_all")] if united else []
+    # One aggregation gives scores, passages and what is united.
+    wide = best.groupBy("query_id", "entity_path").agg(*_rank_columns(backends), _passage(backends, config), *more).withColumn("score", _score(backends, config))
+    for c in united:
+        wide = wide.withColumn(c, F.array_distinct(F.flatten(F.array_compact(F.col(f"_all.{c}")))))
+    if united and "requires_hedging" in hits.columns:
+        wide = wide.withColumn("requires_hedging", F.exists("_all.requires_hedging", lambda x: F.coalesce(x, F.lit(False))))
+    places = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "entity_path")
+    ranked = wide.drop("_all").withColumn("rank", F.row_number().over(places))
     if top_k is not None:
-        ranked = ranked.filter(F.col("rank") <= top_k)
-    return ranked.join(chosen_passages(best, backends, config), ["query_id", "entity_path"])
+        ranked = ranked.filter(F.col("rank") <= positive_integer("top_k", top_k))
+    return ranked.select(*[c for c in ranked.columns if c != "p"], "p.*")

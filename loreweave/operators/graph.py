@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import bare_source_id, json_strings
 from ..functions.text import normalize_text, normalize_value
+from ..plans.lineage import cut
+from ..plans.skew import counted
 
 #: Weights of confidences, of any other one, and the known statuses of claims.
 CONFIDENCE_WEIGHTS = {"A": 1.0, "B": 0.75, "C": 0.5, "D": 0.25}
@@ -28,8 +30,11 @@ class GraphExpansionConfig:
     expanded_result_limit: int | None = None
     decay: float = 0.75
     claim_decay: float = 0.5
+    confidence_weights: dict = field(default_factory=lambda: dict(CONFIDENCE_WEIGHTS))
 
     def __post_init__(self) -> None:
+        if any(isinstance(w, bool) or not 0 <= w <= 1 for w in self.confidence_weights.values()):
+            raise ValueError("confidence weights must be from 0 to 1")
         if any(not 0 < x <= 1 for x in (self.decay, self.claim_decay)):
             raise ValueError("decays must be above 0 and at most 1")
         if any(x is not None and (isinstance(x, bool) or x < 1) for x in (self.seed_pool_factor, self.expanded_result_limit)):
@@ -44,9 +49,10 @@ def bare_ids(c: Column) -> Column:
     return F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))
 
 
-def confidence_weight(c: Column) -> Column:
+def confidence_weight(c: Column, weights: dict | None = None) -> Column:
     """The weight of a confidence; the default for other and missing ones."""
-    known = F.create_map(*[F.lit(x) for kv in CONFIDENCE_WEIGHTS.items() for x in kv])
+    weights = CONFIDENCE_WEIGHTS if weights is None else weights
+    known = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))]) if weights else F.expr("cast(map() as map<string, double>)")
     return F.coalesce(F.element_at(known, F.coalesce(c, F.lit(""))), F.lit(OTHER_CONFIDENCE))
 
 
@@ -102,7 +108,7 @@ def with_policy(all_edges: DataFrame, config: GraphExpansionConfig = GraphExpans
     status = F.lower(F.coalesce("status", F.lit("")))
     claim = F.col("kind") == "claim"
     admitted = ~claim | ((F.lit(config.include_rejected) | (status != "rejected")) & (F.lit(config.include_unknown) | status.isin(*STATUSES)))
-    weight = F.when(~claim & F.col("confidence").isNull(), 1.0).otherwise(confidence_weight(F.col("confidence")))
+    weight = F.when(~claim & F.col("confidence").isNull(), 1.0).otherwise(confidence_weight(F.col("confidence"), config.confidence_weights))
     factor = weight * F.when(claim & (status != "accepted"), config.claim_decay).otherwise(1.0)
     kept = all_edges.filter(admitted)
     if config.predicates is not None:
@@ -125,10 +131,13 @@ def expand(seeds: DataFrame, admitted: DataFrame, config: GraphExpansionConfig =
     ``seeds`` as from `distinct_seeds`, ``admitted`` as from `with_policy`. Value claims come back to their subject as
     assertions. What two seeds reach by one edge in one direction counts for the one with the better rank.
     """
-    out = admitted.withColumn("seed", F.col("source")).withColumn("direction", F.when(F.col("is_value"), "assertion").otherwise("outgoing"))
-    back = admitted.filter("source <> target").withColumn("seed", F.col("target")).withColumn("direction", F.lit("incoming"))
-    both = out.unionByName(back).withColumn("neighbor", F.when(F.col("direction") == "outgoing", F.col("target")).otherwise(F.col("source")))
-    reached = seeds.select("query_id", F.col("entity_path").alias("seed"), F.col("score").alias("seed_score"), F.col("rank").alias("seed_rank")).join(both, "seed")
+    way = lambda seed, direction, neighbor: F.struct(F.col(seed).alias("seed"), direction.alias("direction"), F.col(neighbor).alias("neighbor"))
+    out = F.when(F.col("is_value"), way("source", F.lit("assertion"), "source")).otherwise(way("source", F.lit("outgoing"), "target"))
+    back = F.when(F.col("source") != F.col("target"), F.array(out, way("target", F.lit("incoming"), "source"))).otherwise(F.array(out))
+    both = admitted.withColumn("_way", F.explode(back)).select("*", "_way.*").drop("_way")
+    # Seeds are few, unless queries are very many: where they can be broadcast, an entity with a large share of all edges moves nothing.
+    own = counted(cut(seeds.select("query_id", F.col("entity_path").alias("seed"), F.col("score").alias("seed_score"), F.col("rank").alias("seed_rank"))))
+    reached = both.join(own, "seed")
     keys = ["query_id", "neighbor", "direction", "source", "target", "predicate", "kind", "claim_ref", "source_ids"]
     rest = [c for c in reached.columns if c not in keys]
     order = F.struct("seed_rank", "seed", F.coalesce("confidence", F.lit("")), F.coalesce("status", F.lit("")))
@@ -150,13 +159,16 @@ def diverse(direct: DataFrame, expanded: DataFrame, top_k: int, config: GraphExp
     )
     rows = hits.unionByName(direct.select("query_id", "entity_path", "retriever", F.lit(None).cast("string").alias("claim_path"), "score", F.lit(None).cast("boolean").alias("same_type"), F.lit("").alias("tag")), allowMissingColumns=True)
     by_query = Window.partitionBy("query_id")
-    score = F.round("score", 9)
     graph = F.col("retriever") == "graph.one-hop"
-    kind = F.when(~graph, "direct").when(F.col("claim_path").isNull(), "relation").otherwise("claim")
-    rows = rows.withColumn("kind", kind).withColumn("place", F.row_number().over(by_query.orderBy(F.desc(score), "entity_path", "retriever", "tag")))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "kind", "claim_path").orderBy("place"))).filter("kind <> 'claim' OR nth = 1")
-    order = [F.when(F.col("kind") == "relation", ~F.coalesce("same_type", F.lit(False))).otherwise(False), "place"]
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(*order)))
+    rows = rows.withColumn("kind", F.when(~graph, "direct").when(F.col("claim_path").isNull(), "relation").otherwise("claim"))
+    rows = rows.withColumn("place", F.struct((-F.round("score", 9)).alias("minus"), "entity_path", "retriever", "tag"))
+    # The best hit of each claim, combined before anything moves; then no more of each kind than a query can use, limited in each task first.
+    rest = [c for c in rows.columns if c not in ("query_id", "kind", "claim_path")]
+    claims = rows.filter("kind = 'claim'").groupBy("query_id", "kind", "claim_path").agg(F.min_by(F.struct(*rest), "place").alias("_b")).select("query_id", "kind", "claim_path", "_b.*")
+    rows = rows.filter("kind <> 'claim'").unionByName(claims)
+    other_type = F.when(F.col("kind") == "relation", ~F.coalesce("same_type", F.lit(False))).otherwise(False)
+    nth = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(other_type, "place"))
+    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= top_k)
     count = lambda k: F.sum((F.col("kind") == k).cast("int")).over(by_query)
     rows = rows.withColumn("n_r", count("relation")).withColumn("n_c", count("claim"))
     first = F.least(F.lit(1), F.col("n_r"))
@@ -164,7 +176,7 @@ def diverse(direct: DataFrame, expanded: DataFrame, top_k: int, config: GraphExp
     relations = first + F.greatest(F.lit(0), F.least(F.col("n_r") - first, budget - first - claims))
     room = F.when(F.col("kind") == "claim", claims).when(F.col("kind") == "relation", relations).otherwise(top_k - relations - claims)
     chosen = rows.filter(F.col("nth") <= room)
-    return chosen.select("query_id", "entity_path", "retriever", "claim_path", "score", *keep, F.row_number().over(by_query.orderBy(F.desc(score), "entity_path", "retriever", "place")).alias("rank"))
+    return chosen.select("query_id", "entity_path", "retriever", "claim_path", "score", *keep, F.row_number().over(by_query.orderBy("place")).alias("rank"))
 
 
 def assertions(relations: DataFrame, claims: DataFrame, entities: DataFrame) -> DataFrame:
@@ -183,3 +195,38 @@ def assertions(relations: DataFrame, claims: DataFrame, entities: DataFrame) ->
         confidence_weight(F.col("confidence")).alias("confidence_weight"), (status == "accepted").alias("affirmative"), bare_ids(F.col("source_ids_json")).alias("source_ids"),
     )
     return r.unionByName(c.distinct()).join(entities.select("entity_path").distinct(), "entity_path", "left_semi")
+
+
+def provenance(relations: DataFrame, claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_path, relation_source_ids, claim_source_ids, requires_hedging, n_assertions) of entities that something is asserted of.
+
+    Relations that leave an entity without sources of their own or of an owner have the entity's. ``relation_source_ids`` are
+    those of its relations, in the order of relation ids, and then of its claims, in that of claim keys; each id once.
+    """
+    own = entities.select("entity_path", F.col("source_ids_json").alias("_own"))
+    r = relations.filter("source_path IS NOT NULL AND target IS NOT NULL AND predicate IS NOT NULL").withColumnRenamed("source_path", "entity_path").join(own, "entity_path")
+    ids = [bare_ids(F.col(c)) for c in ("source_ids_json", "owner_source_ids_json", "_own")]
+    r = r.select("entity_path", F.lit(0).alias("part"), F.col("relation_id").cast("string").alias("key"), F.lpad(F.col("relation_id").cast("string"), 20, "0").alias("at"), "confidence", F.when(F.size(ids[0]) > 0, ids[0]).when(F.size(ids[1]) > 0, ids[1]).otherwise(ids[2]).alias("ids"))
+    c = claims.filter("subject IS NOT NULL").withColumnRenamed("subject", "entity_path").join(own, "entity_path", "left_semi")
+    c = c.select("entity_path", F.lit(1).alias("part"), F.col("claim_key").alias("key"), F.col("claim_key").alias("at"), "confidence", bare_ids(F.col("source_ids_json")).alias("ids"))
+    rows = r.unionByName(c)
+    # Each id of an entity once, with its first place, before the lists are made: they are as long as an entity has different sources.
+    each = rows.select("entity_path", "part", "at", F.posexplode("ids").alias("i", "id")).groupBy("entity_path", "id").agg(
+        F.min(F.struct("part", "at", "i")).alias("p"), F.min(F.when(F.col("part") == 1, F.struct("at", "i"))).alias("c")
+    )
+    in_order = lambda place: F.transform(F.array_sort(F.collect_list(F.when(place.isNotNull(), F.struct(place.alias("place"), "id")))), lambda x: x["id"])
+    lists = each.groupBy("entity_path").agg(in_order(F.col("p")).alias("relation_source_ids"), in_order(F.col("c")).alias("claim_source_ids"))
+    flags = rows.groupBy("entity_path").agg(F.max(requires_hedging(F.col("confidence"))).alias("requires_hedging"), F.count("*").alias("n_assertions"))
+    empty = F.array().cast("array<string>")
+    return flags.join(lists, "entity_path", "left").select("entity_path", F.coalesce("relation_source_ids", empty).alias("relation_source_ids"), F.coalesce("claim_source_ids", empty).alias("claim_source_ids"), "requires_hedging", "n_assertions")
+
+
+def with_provenance(hits: DataFrame, origins: DataFrame) -> DataFrame:
+    """``hits`` with what is asserted of their entities: source ids of relations and claims, whether to hedge, and the number of assertions.
+
+    ``origins`` is as from `provenance`, one row an entity, so no hit is repeated.
+    """
+    empty = F.array().cast("array<string>")
+    names = ("relation_source_ids", "claim_source_ids", "requires_hedging", "n_assertions")
+    joined = hits.drop(*names).join(origins, "entity_path", "left")
+    return joined.withColumns({"relation_source_ids": F.coalesce("relation_source_ids", empty), "claim_source_ids": F.coalesce("claim_source_ids", empty), "requires_hedging": F.coalesce("requires_hedging", F.lit(False)), "n_assertions": F.coalesce("n_assertions", F.lit(0))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ class RetrievalConfig:
             "rrf": {"constant": self.rrf.constant, "backend_weights": dict(self.rrf.backend_weights), "backend_cutoffs": dict(self.rrf.backend_cutoffs), "passage_precedence": list(self.rrf.passage_precedence)},
             "graph": {
                 "enabled": g.enabled, "predicates": None if g.predicates is None else list(g.predicates), "include_rejected": g.include_rejected, "include_unknown": g.include_unknown, "decay": g.decay, "claim_decay": g.claim_decay,
-                "confidence_weights": dict(graph.CONFIDENCE_WEIGHTS), "seed_pool_factor": g.seed_pool_factor, "expanded_result_limit": g.expanded_result_limit or max(1, (self.top_k + 1) // 2),
+                "confidence_weights": dict(g.confidence_weights), "seed_pool_factor": g.seed_pool_factor, "expanded_result_limit": g.expanded_result_limit or max(1, (self.top_k + 1) // 2),
             },
         }
 
@@ -77,22 +78,39 @@ def vector_hits(queries: DataFrame, index: Index, stored: DataFrame, embedder, m
     return top.withColumnRenamed("key", "chunk_id").join(_passages(index), "chunk_id")
 
 
+#: What is asserted of a hit's entity.
+ASSERTED = ("relation_source_ids", "claim_source_ids", "requires_hedging")
+
+
+def _unasserted(hits: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    return hits.withColumns({"relation_source_ids": none, "claim_source_ids": none, "requires_hedging": F.lit(False)})
+
+
 def search(queries: DataFrame, index: Index, config: RetrievalConfig = RetrievalConfig(), stored: DataFrame | None = None, embedder=None, metric: str = vectors.COSINE) -> DataFrame:
     """Hits of ``queries`` (query_id, query_text): query_id, rank, score, retriever, entity_path, chunk_id, section, text,
-    source_ids, and of what the graph gave its claim, confidence, direction, predicate and sources.
+    source_ids, and of what the graph gave its claim, confidence, direction, predicate and sources; of vector and fused hits the source ids of
+    what is asserted of their entity. ``graph_expansion`` is the graph policy of the search, as JSON, on every hit.
 
     Queries that are blank give no hits.
     """
+    policy = F.lit(json.dumps(config.policy()["graph"], sort_keys=True))
+    return _search(queries, index, config, stored, embedder, metric).withColumn("graph_expansion", policy)
+
+
+def _search(queries: DataFrame, index: Index, config: RetrievalConfig, stored: DataFrame | None, embedder, metric: str) -> DataFrame:
     if config.mode != "lexical" and (stored is None or embedder is None):
         raise RetrievalError(f"retrieval mode {config.mode!r} needs a vector index and its embedder")
     cut = config.cutoffs()
-    columns = ["query_id", "rank", "score", "entity_path", "chunk_id", "section", "text", "source_ids"]
+    columns = ["query_id", "rank", "score", "entity_path", "chunk_id", "section", "text", "source_ids", *ASSERTED]
+    t = index.tables
+    origins = graph.provenance(t["relations"], t["claims"], t["entities"]) if config.mode != "lexical" else None
     if config.mode == "lexical":
-        direct = chunk_hits(queries, index, cut[PASSAGE]).select(*columns, F.lit("lexical.chunk").alias("retriever"))
+        direct = _unasserted(chunk_hits(queries, index, cut[PASSAGE])).select(*columns, F.lit("lexical.chunk").alias("retriever"))
     elif config.mode == "vector":
-        direct = vector_hits(queries, index, stored, embedder, metric, cut[VECTOR]).select(*columns, F.lit("vector.chunk").alias("retriever"))
+        direct = graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, cut[VECTOR]), origins).select(*columns, F.lit("vector.chunk").alias("retriever"))
     else:
-        parts = {PASSAGE: chunk_hits(queries, index, cut[PASSAGE]), ENTITY: entity_hits(queries, index, cut[ENTITY]), VECTOR: vector_hits(queries, index, stored, embedder, metric, cut[VECTOR])}
+        parts = {PASSAGE: _unasserted(chunk_hits(queries, index, cut[PASSAGE])), ENTITY: _unasserted(entity_hits(queries, index, cut[ENTITY])), VECTOR: graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, cut[VECTOR]), origins)}
         hits = None
         for name, h in parts.items():
             h = h.select(*columns, F.lit(name).alias("backend"))
@@ -102,8 +120,8 @@ def search(queries: DataFrame, index: Index, config: RetrievalConfig = Retrieval
         spare = fusion.fallback_passages(index.tables["chunks"]).select("entity_path", F.col("chunk_id").alias("c2"), F.col("heading").alias("s2"), F.col("text").alias("t2"))
         other = F.col("chunk_id").isNull() & F.col("c2").isNotNull()
         pick = lambda a, b: F.when(other, F.col(b)).otherwise(F.col(a)).alias(a)
-        direct = fused.join(spare, "entity_path", "left").select("query_id", "rank", "score", "entity_path", pick("chunk_id", "c2"), pick("section", "s2"), pick("text", "t2"), "source_ids", F.lit("rrf.entity").alias("retriever"))
-    none = {"claim_path": "string", "confidence": "string", "direction": "string", "predicate": "string", "relation_source_ids": "array<string>", "affirmative": "boolean", "requires_hedging": "boolean"}
+        direct = fused.join(spare, "entity_path", "left").select("query_id", "rank", "score", "entity_path", pick("chunk_id", "c2"), pick("section", "s2"), pick("text", "t2"), "source_ids", *ASSERTED, F.lit("rrf.entity").alias("retriever"))
+    none = {"claim_path": "string", "confidence": "string", "direction": "string", "predicate": "string", "affirmative": "boolean"}
     if not config.graph.enabled:
         ranked = lexical.top_k(direct.withColumn("_tie", F.concat_ws("\x00", "entity_path", "retriever", F.lpad(F.col("rank").cast("string"), 10, "0"))).drop("rank"), config.top_k, "_tie").drop("_tie")
         return ranked.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
@@ -114,17 +132,18 @@ def expanded(direct: DataFrame, index: Index, config: RetrievalConfig) -> DataFr
     """Direct hits as seeds, their neighbours, and a choice of both."""
     t = index.tables
     types = t["entities"].select("entity_path", "entity_type")
-    first = direct.groupBy("query_id", "entity_path").agg(F.min_by(F.struct("score", "rank", "chunk_id", "section", "text", "source_ids", "retriever"), F.struct("rank", (-F.col("score")).alias("m"))).alias("h")).select("query_id", "entity_path", "h.*")
+    first = direct.groupBy("query_id", "entity_path").agg(F.min_by(F.struct("score", "rank", "chunk_id", "section", "text", "source_ids", "retriever", *ASSERTED), F.struct("rank", (-F.col("score")).alias("m"))).alias("h")).select("query_id", "entity_path", "h.*")
     seeds = graph.distinct_seeds(first)
     admitted = graph.with_policy(graph.edges(t["relations"], t["claims"], t["entities"]), config.graph)
     found = graph.expand(seeds, admitted, config.graph)
     found = found.join(types.toDF("seed", "_a"), "seed").join(types.toDF("neighbor", "_b"), "neighbor").withColumn("same_type", F.col("_a").eqNullSafe(F.col("_b")))
     chosen = graph.diverse(first.select("query_id", "entity_path", "retriever", "score", "rank"), found, config.top_k, config.graph, keep=("confidence", "direction", "predicate", "source_ids", "affirmative", "requires_hedging"))
     own = t["entities"].select("entity_path", fallback_text(F.col("content"), F.col("description"), F.col("title")).alias("e_text"), graph.bare_ids(F.col("source_ids_json")).alias("e_ids"))
-    passage = first.select("query_id", "entity_path", "chunk_id", "section", "text", F.col("source_ids").alias("p_ids"))
+    passage = first.select("query_id", "entity_path", "chunk_id", "section", "text", F.col("source_ids").alias("p_ids"), *[F.col(c).alias(f"p_{c}") for c in ASSERTED])
     joined = chosen.withColumnRenamed("source_ids", "relation_source_ids").join(passage, ["query_id", "entity_path"], "left").join(own, "entity_path", "left")
     by_graph = F.col("retriever") == "graph.one-hop"
     return joined.select(
         "query_id", "rank", "score", "entity_path", F.when(~by_graph, F.col("chunk_id")).alias("chunk_id"), F.when(~by_graph, F.col("section")).alias("section"), F.when(by_graph, F.col("e_text")).otherwise(F.col("text")).alias("text"),
-        F.when(by_graph, F.col("e_ids")).otherwise(F.col("p_ids")).alias("source_ids"), "retriever", "claim_path", "confidence", "direction", "predicate", "relation_source_ids", "affirmative", "requires_hedging",
+        F.when(by_graph, F.col("e_ids")).otherwise(F.col("p_ids")).alias("source_ids"), "retriever", "claim_path", "confidence", "direction", "predicate", "affirmative",
+        *[F.when(by_graph, F.col(c) if c != "claim_source_ids" else F.when(F.col("claim_path").isNotNull(), F.col("relation_source_ids"))).otherwise(F.col(f"p_{c}")).alias(c) for c in ASSERTED],
     )

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexical import positive_integer
+
 COSINE, DOT = "cosine", "dot"
 
 
@@ -47,16 +49,24 @@ def _block(vectors: pa.Table, queries: pa.Table, k: int, metric: str) -> pa.Tabl
     return pa.table({"query_id": queries["query_id"].take(owner), "key": vectors["key"].take(key), "score": np.concatenate(scores)}, schema=schema)
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = COSINE, blocks: int = 16) -> DataFrame:
+#: Vectors of a block, at most on average.
+BLOCK_ROWS = 100_000
+
+
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = COSINE, blocks: int | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k most similar vectors of every query vector, ties by key.
 
     ``queries`` has query_id and vector, ``vectors`` key and vector, all of one length. The vectors are spread over
-    blocks, each of which sees all queries and keeps k of each; nothing is broadcast.
+    blocks, each of which sees all queries and keeps k of each; nothing is broadcast. There are ``blocks`` of them, or unset as many as `BLOCK_ROWS` asks for by
+    the number of vectors, and at least one for each two cores.
     """
+    positive_integer("k", k)
     if metric not in (COSINE, DOT):
         raise ValueError(f"unsupported similarity metric {metric!r}")
+    if blocks is None:
+        blocks = max(-(-vectors.count() // BLOCK_ROWS), vectors.sparkSession.sparkContext.defaultParallelism // 2, 1)
     spread = vectors.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
-    asked = queries.select("query_id", "vector", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(blocks)])).alias("block"))
+    asked = queries.select("query_id", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["key"]
     run = lambda v, q: _block(v, q, k, metric)
     found = spread.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, f"query_id {types[0]}, key {types[1]}, score double")

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import json_strings
+from ..functions.text import character_ngrams
 from ..operators import lexical
+from ..operators.current import newest
 
 
 def chunk_postings(chunks: DataFrame, n: int = 2) -> DataFrame:
-    """(record_id, field_id, field_name, normalized_value, gram) of chunks; a chunk without fields has one row of nulls."""
+    """(record_id, field_name, field_ordinal, normalized_value, gram) of chunks; a chunk without fields has one row of nulls."""
     rows = chunks.filter("chunk_id IS NOT NULL").withColumn("tags", json_strings(F.col("tags_json")))
-    fields = lexical.field_values(rows, "chunk_id", "chunk", lexical.CHUNK_WEIGHTS)
-    full = fields.join(lexical.postings(fields, n), "field_id", "left").select("record_id", "field_id", "field_name", "normalized_value", "gram")
+    fields = lexical.field_rows(rows, "chunk_id", lexical.CHUNK_WEIGHTS)
+    full = fields.select("record_id", "field_name", "field_ordinal", "normalized_value", F.explode_outer(character_ngrams(F.col("normalized_value"), n)).alias("gram"))
     bare = rows.select(F.col("chunk_id").alias("record_id")).distinct()
     return bare.join(full, "record_id", "left")
 
@@ -28,8 +30,8 @@ def write_postings(stream: DataFrame, path: str, checkpoint: str, n: int = 2, **
     """Starts a query that writes the postings of each micro-batch of chunks below ``path``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates(["chunk_id", "content_hash"])
-        chunk_postings(latest, n).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Of several versions of a chunk in one batch the newest holds.
+        chunk_postings(newest(batch, "chunk_id") if "loaded_at" in batch.columns else batch.dropDuplicates(["chunk_id"]), n).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

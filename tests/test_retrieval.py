@@ -182,7 +182,7 @@ def test_evaluation(spark):
     assert [(r.kind, r.n_cases) for r in evaluation.totals(base, ["kind"]).collect()] == [("k", 2)]
     c = evaluation.compare(base, new).first()
     assert (c.improvement, c.regressions, c.gap_fixed, c.admitted) == (round(-0.5 / 3, 9), 1, True, False)
-    assert evaluation.compare(base, new, evaluation.EvaluationProfile(minimum_improvement=-1, maximum_mrr_regression=1, maximum_per_query_regressions=1, require_lexical_gap_success=True)).first().admitted
+    assert evaluation.compare(base, new, evaluation.EvaluationProfile(minimum_improvement=-1, maximum_mrr_regression=1, maximum_per_query_regressions=1)).first().admitted
 
 
 def test_integrity_and_newest(spark, rows):
@@ -210,14 +210,132 @@ def test_canonical_lines(spark):
     assert [x["chunk_id"] for x in got] == ["a", "b"] and got[1]["vector_hex"] == struct.pack(">2d", 1.5, -0.0).hex()
 
 
-def test_admission():
-    from types import SimpleNamespace
-
+def test_admission(spark):
     report = {"k": 5, "evaluation_case_hash": "c", "snapshot_hash": "s", "retrieval_mode": "lexical", "package_identity": "p"}
-    row = SimpleNamespace(improvement=0.1, mrr_delta=-0.2, regressions=1, gap_fixed=False)
-    assert evaluation.admit(report, report, row, evaluation.EvaluationProfile(maximum_mrr_regression=0.3, maximum_per_query_regressions=1)) == (True, [])
-    ok, why = evaluation.admit(report, {**report, "k": 3, "retrieval_mode": "hybrid", "snapshot_hash": ""}, row, evaluation.EvaluationProfile(minimum_improvement=0.2, require_lexical_gap_success=True))
-    assert not ok and len(why) == 9
+    row = spark.createDataFrame([(0.1, -0.2, 1, False, 0)], "improvement double, mrr_delta double, regressions int, gap_fixed boolean, unmatched int")
+    profile = evaluation.EvaluationProfile(maximum_mrr_regression=0.3, maximum_per_query_regressions=1, require_lexical_gap_success=False)
+    checks = evaluation.admission(report, report, row, profile)
+    assert checks.columns == ["check", "side", "value", "limit", "ok"] and checks.count() == 15 and checks.filter("NOT ok").count() == 0
+    strict = evaluation.EvaluationProfile(minimum_improvement=0.2)
+    failed = {(r.check, r.side) for r in evaluation.admission(report, {**report, "k": 3, "retrieval_mode": "hybrid", "snapshot_hash": ""}, row, strict).filter("NOT ok").collect()}
+    assert failed == {
+        ("same k", "candidate"), ("same snapshot_hash", "candidate"), ("has snapshot_hash", "candidate"), ("has embedding_fingerprint", "candidate"), ("has vector_index_fingerprint", "candidate"), ("has fusion_config", "candidate"),
+        ("improvement of the primary metric", "candidate"), ("change of MRR", "candidate"), ("cases with lower recall", "candidate"), ("a gap case is solved", "candidate"),
+    }
+    assert evaluation.admission({}, {}, row, strict).filter("check LIKE 'has %' AND NOT ok").count() == 8
+    with pytest.raises(ValueError):
+        evaluation.EvaluationProfile(primary_metric="precision")
+
+
+def test_any_retriever_can_be_evaluated(spark):
+    cases = spark.createDataFrame([("1", "x", '["/a", "/claims/c"]', "k", True), ("2", "y", '["/z"]', None, False)], "query_id string, query_text string, expected_json string, kind string, gap boolean")
+    hits = [("1", 2, 0.5, "/q", None), ("1", 4, 0.4, "/a", "/claims/c"), ("1", 9, 0.1, "/z", None), ("2", 1, 1.0, "/y", "no path")]
+    found = evaluation.evaluate(cases, lambda q, k: spark.createDataFrame(hits, "query_id string, rank int, score double, entity_path string, claim_path string").join(q.select("query_id"), "query_id"), 5)
+    assert {r.query_id: (r.recall_at_k, r.reciprocal_rank) for r in found.collect()} == {"1": (1.0, 0.5), "2": (0.0, 0.0)}
+    bare = evaluation.evaluate(cases, lambda q, k: spark.createDataFrame([("2", 1, 1.0, "/z")], "query_id string, rank int, score double, entity_path string"))
+    assert {r.query_id: r.success for r in bare.collect()} == {"1": False, "2": True}
+
+
+def test_cases_of_one_side_are_counted(spark):
+    cases = spark.createDataFrame([("1", '["/a"]', None, False), ("2", '["/b"]', None, False)], "query_id string, expected_json string, kind string, gap boolean")
+    hits = spark.createDataFrame([("1", "/a", 1), ("2", "/b", 1)], "query_id string, entity_path string, rank int")
+    both = evaluation.case_results(cases, hits)
+    profile = evaluation.EvaluationProfile(require_lexical_gap_success=False)
+    assert evaluation.compare(both, both, profile).first().admitted
+    for b, c in ((both, both.filter("query_id = '1'")), (both.filter("query_id = '1'"), both)):
+        row = evaluation.compare(b, c, profile).first()
+        assert row.unmatched == 1 and row.improvement == 0 and not row.admitted
+
+
+def test_provenance_of_hits(spark, graph_tables):
+    e, r, c = graph_tables
+    e = e.withColumn("source_ids_json", F.lit('["ref: own"]'))
+    origins = graph.provenance(r, c, e)
+    got = {x.entity_path: x for x in origins.collect()}
+    assert set(got) == {x.entity_path for x in graph.assertions(r, c, e).collect()}
+    for x in got.values():
+        assert len(set(x.relation_source_ids)) == len(x.relation_source_ids) and set(x.claim_source_ids) <= set(x.relation_source_ids)
+    hits = spark.createDataFrame([("q", "vector", 1, "/a", "c1", None, "t", []), ("q", "lexical", 1, "/a", "c2", None, "u", []), ("q", "lexical", 2, "/none", "c3", None, "v", [])], "query_id string, backend string, rank int, entity_path string, chunk_id string, section string, text string, source_ids array<string>")
+    with_ids = graph.with_provenance(hits.filter("backend = 'vector'"), origins).unionByName(graph.with_provenance(hits.filter("backend <> 'vector'"), origins.limit(0)))
+    fused = {x.entity_path: x for x in fusion.fuse(with_ids, ("lexical", "vector"), 5).collect()}
+    assert fused["/a"].chunk_id == "c2" and fused["/a"].relation_source_ids == got["/a"].relation_source_ids and fused["/a"].requires_hedging == got["/a"].requires_hedging
+    assert fused["/none"].relation_source_ids == [] and not fused["/none"].requires_hedging
+    assert graph.provenance(r.limit(0), c.limit(0), e).count() == 0
+
+
+def test_packets_in_order(spark):
+    schema = "packet_id bigint, query_id string, rank int, score double, retriever string, entity_path string, section string, text string, source_ids array<string>, relation_source_ids array<string>, metadata_json string, extra int"
+    data = [
+        (1, "q", 2, 0.5, "r", "/b", None, "t", ["ref:x"], ["y", "x"], None, 1), (2, "q", 1, None, "r", "/a", None, "t", [], None, None, 1), (3, "q", 1, 0.1, "r", "/c", "s", "t", [], None, None, 1),
+        (4, "q", 3, 9.0, "r", "/b", None, "t", ["x"], ["y", "x"], None, 1), (5, "q", 3, 9.0, "r", "/b", None, "t", ["x"], ["y", "x"], '{"a": 1}', 1), (6, "p", 1, 1.0, "r", "/b", None, "t", ["x"], [], None, 1),
+    ]
+    refs = spark.createDataFrame([("x", "X", 1999, None)], "reference_id string, title string, year int, url string")
+    out = context.evidence_packets(spark.createDataFrame(data, schema), refs, strict=False)
+    assert set(context.PACKET_FIELDS) < set(out.columns) and len(context.PACKET_FIELDS) == 21 and "extra" not in out.columns
+    rows = sorted(out.collect(), key=lambda r: (r.query_id, r.position))
+    assert [(r.query_id, r.position, r.packet_id) for r in rows] == [("p", 1, 6), ("q", 1, 3), ("q", 2, 2), ("q", 3, 1), ("q", 4, 5)]
+    assert [(x.source_id, x.resolved) for x in rows[3].references] == [("x", True), ("y", False)] and rows[3].source_ids == ["x"]
+    assert context.evidence_packets(spark.createDataFrame(data, schema), refs, strict=False, deduplicate=False).count() == 6
+    with pytest.raises(context.ContextAssemblyError):
+        context.evidence_packets(spark.createDataFrame(data, schema), refs)
+    assert context.evidence_packets(spark.createDataFrame([], schema), refs).count() == 0
+
+
+def test_own_confidence_weights(spark, graph_tables):
+    e, r, c = graph_tables
+    config = graph.GraphExpansionConfig(confidence_weights={"A": 0.2})
+    got = {x.confidence: x.confidence_weight for x in graph.with_policy(graph.edges(r, c, e), config).filter("kind = 'claim'").collect()}
+    assert got.get("A", 0.2) == 0.2 and all(w == 0.5 for k, w in got.items() if k not in ("A", None))
+    with pytest.raises(ValueError):
+        graph.GraphExpansionConfig(confidence_weights={"A": 2})
+
+
+def test_both_forms_of_the_gram_join_and_the_scan_agree(spark, rows, monkeypatch):
+    from loreweave.plans import skew
+
+    records = spark.createDataFrame([(f"/r{i}", f"alpha beta {i}", ["x", f"gamma{i % 3}"]) for i in range(30)] + [("/n", None, [])], "entity_path string, title string, tags array<string>")
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["alpha", "beta 3", "gamma1", "x", "zz", "  ", "alpha beta 7"])], "query_id string, query_text string")
+    weights = {"title": 8.0, "tags": 2.0}
+    found = []
+    for limit in (200_000, 0):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+        fields = lexical.field_values(records, "entity_path", "entity", weights)
+        found.append(rows(lexical.top_k(lexical.lexical_scores(lexical.prepared_queries(queries), fields, lexical.postings(fields), weights), 5), "query_id", "record_id", "score", "rank"))
+    for limit in (2048, 6, 5, 1):  # there are six queries
+        monkeypatch.setattr(lexical, "SCAN_QUERIES", limit)
+        found.append(rows(lexical.scan_top_k(queries, records, "entity_path", weights, 5), "query_id", "record_id", "score", "rank"))
+    assert all(f == found[0] for f in found) and len(found[0]) > 12
+    for bad in (0, True, 1.5):
+        with pytest.raises(ValueError):
+            lexical.scan_top_k(queries, records, "entity_path", weights, bad)
+
+
+def test_field_ids_are_unique(spark):
+    records = spark.createDataFrame([(f"/r{i}", "t", ["a", "a"]) for i in range(50)], "entity_path string, title string, tags array<string>").repartition(5)
+    e = lexical.field_values(records, "entity_path", "entity", {"title": 1.0, "tags": 1.0})
+    c = lexical.field_values(records, "entity_path", "chunk", {"title": 1.0, "tags": 1.0})
+    both = e.union(c)
+    assert both.count() == 300 == both.select("field_id").distinct().count() and both.filter("field_id < 0").count() == 0
+
+
+def test_content_hashes_that_differ(spark, tmp_path, rows):
+    import hashlib
+
+    from loreweave.plans import retrieval
+
+    good = hashlib.sha256(b"t").hexdigest()
+    spark.createDataFrame([("a", "t", good), ("b", "t", "0" * 64), ("c", None, good), ("d", "", None), ("b", "t", "0" * 64), (None, "t", "x"), ("e", None, None)], "chunk_id string, text string, content_hash string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert rows(retrieval.content_hash_mismatches(spark, str(tmp_path))) == [("b",), ("c",), ("d",)]
+
+
+@pytest.mark.parametrize("line,title", [("# A", "A"), ("   ###### A b ##", "A b"), ("    # A", ""), ("\t# A", "A"), ("####### A", ""), ("#A", ""), ("# ", ""), ("#", ""), ("# ##", ""), ("# A#", "A#"), ("# A # #", "A #"), ("#\tA", "A"), ("text # A", ""), ("", "")])
+def test_heading_lines(line, title):
+    assert chunking.heading_title(line) == title
+
+
+@pytest.mark.parametrize("line,fence", [("```", ("```", "")), ("  ~~~~ py", ("~~~~", "py")), ("\t```x", ("```", "x")), ("``", ("", "")), ("    ```", ("", "")), ("a ```", ("", ""))])
+def test_fence_lines(line, fence):
+    assert chunking.fence_of(line) == fence
 
 
 def test_assertions(spark, graph_tables):
