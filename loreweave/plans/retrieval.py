@@ -224,7 +224,7 @@ def graph_predicate_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_dedup(spark: SparkSession, d: str) -> DataFrame:
-    hits = packets(spark, d).filter("retriever = 'lexical.chunk' AND score IS NOT NULL AND NOT isnan(score)").select("query_id", "entity_path", "rank", "score")
+    hits = packets(spark, d).filter("score IS NOT NULL AND NOT isnan(score)").select("query_id", "entity_path", "rank", "score")
     return graph.distinct_seeds(hits).select("query_id", "entity_path", "rank", F.round("score", 9).alias("score"))
 
 
@@ -261,6 +261,38 @@ def applicable_assertions(spark: SparkSession, d: str) -> DataFrame:
 # Context
 
 
+def _origins(spark, d):
+    return graph.provenance(relations(spark, d), claims(spark, d), entities(spark, d))
+
+
+def _joined(df):
+    return df.withColumns({c: F.array_join(c, "|") for c in ("relation_source_ids", "claim_source_ids")})
+
+
+def hit_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Vector hits with what is asserted of their entities."""
+    hits = packets(spark, d).filter("retriever = 'vector.chunk'").select("packet_id", "entity_path")
+    return _joined(graph.with_provenance(hits, _origins(spark, d)))
+
+
+def fused_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Fused hits with the source ids of the assertions that their vector hits carry."""
+    hits, own = _hits(spark, d), _origins(spark, d)
+    vector = F.col("backend") == "vector.chunk"
+    both = graph.with_provenance(hits, own)
+    none = F.array().cast("array<string>")
+    both = both.withColumns({"relation_source_ids": F.when(vector, F.col("relation_source_ids")).otherwise(none), "claim_source_ids": F.when(vector, F.col("claim_source_ids")).otherwise(none), "requires_hedging": vector & F.col("requires_hedging")})
+    return _joined(fusion.fuse(both, BACKENDS, 10).select("query_id", "rank", "entity_path", "relation_source_ids", "claim_source_ids", "requires_hedging"))
+
+
+def context_packets(spark: SparkSession, d: str) -> DataFrame:
+    """The packets of each query in order, with resolved references."""
+    rows = packets(spark, d).filter("query_id IS NOT NULL").withColumn("requires_hedging", F.coalesce("requires_hedging", F.lit(False)))
+    out = context.evidence_packets(rows, references(spark, d), strict=False)
+    ids = F.array_join(F.transform("references", lambda r: F.concat(r["source_id"], F.when(r["resolved"], "+").otherwise("-"))), "|")
+    return out.select("query_id", "position", "packet_id", "rank", "retriever", "entity_path", "section", F.md5("text").alias("text_md5"), ids.alias("references"), "confidence", "confidence_weight", "requires_hedging")
+
+
 def context_references(spark: SparkSession, d: str) -> DataFrame:
     return context.resolved_sources(packets(spark, d), references(spark, d)).select("packet_id", "source_id", "title", "year", "resolved")
 
@@ -317,7 +349,7 @@ def _index(spark, d):
     arrays = {x.removesuffix("_json"): json_strings(F.col(x)) for x in ("tags_json", "aliases_json")}
     fields = lexical.field_values(e.withColumns(arrays), "entity_path", "entity", lexical.ENTITY_WEIGHTS).unionByName(lexical.field_values(c.withColumn("tags", arrays["tags"]), "chunk_id", "chunk", lexical.CHUNK_WEIGHTS))
     tables = {"entities": e, "chunks": c, "relations": relations(spark, d), "claims": claims(spark, d), "kb_references": references(spark, d), "lexical_fields": fields}
-    tables = {n: cut(t) for n, t in tables.items()}
+    tables = {n: t if n == "lexical_fields" else cut(t) for n, t in tables.items()}
     tables["lexical_ngrams"] = cut(lexical.postings(tables["lexical_fields"]))
     return Index(tables, {"ngram_size": 2})
 
@@ -351,6 +383,10 @@ def canonical_chunks(spark: SparkSession, d: str) -> DataFrame:
     return canonical.chunk_lines(chunks(spark, d))
 
 
+def canonical_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.vector_lines(current.newest(table(spark, d, "vectors").withColumn("loaded_at", F.lit(None).cast("timestamp")), "chunk_id").drop("loaded_at"))
+
+
 def inspect_entity(spark: SparkSession, d: str) -> DataFrame:
     """Each entity with the numbers of what refers to it."""
     own = entities(spark, d).select("entity_path", "entity_type")
@@ -367,7 +403,7 @@ NAMES = (
     "entity_fallback_text normalized_titles char_ngrams gram_document_frequency content_hash_mismatches source_id_normalize confidence_weights claim_forms "
     "postings_candidates lexical_field_scores lexical_entity_topk lexical_chunk_topk chunk_entities chunk_ordinals vector_cosine_topk vector_dot_topk "
     "vector_compatibility vector_unusable rrf_fuse rrf_weighted_cutoff rrf_passage_choice fallback_passages relation_merge graph_edges claim_policy claim_opt_in "
-    "graph_predicate_filter seed_dedup graph_expand_one_hop value_claim_assertion diverse_select context_references context_unresolved context_dedup "
+    "graph_predicate_filter seed_dedup graph_expand_one_hop value_claim_assertion diverse_select hit_assertions fused_provenance context_packets context_references context_unresolved context_dedup "
     "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search applicable_assertions canonical_chunks"
 ).split()
 
@@ -377,6 +413,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .retrieval_sql import SQL
+    from .retrieval_sql import SQL, folded_sql
 
-    return SQL
+    return SQL | folded_sql()

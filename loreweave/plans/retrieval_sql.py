@@ -1,5 +1,10 @@
 """SQL of the retrieval queries, for comparison."""
 
+from __future__ import annotations
+
+import unicodedata
+from functools import lru_cache
+
 #: White space as a character class.
 _WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _IDS = r"""list_filter(list_transform(from_json({0}, '["VARCHAR"]'), lambda e: regexp_replace(regexp_replace(e, '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', '')), lambda e: e <> '')"""
@@ -49,7 +54,7 @@ _EDGES = f""", rr AS (SELECT relation_id, source_path, target, predicate, confid
   CASE WHEN len(own) > 0 THEN own ELSE owner END AS ids FROM (
     SELECT *, coalesce({_IDS.format("source_ids_json")}, []) AS own, coalesce({_IDS.format("owner_source_ids_json")}, []) AS owner FROM rels
     WHERE source_path IS NOT NULL AND target IS NOT NULL AND predicate IS NOT NULL)),
-flat AS (SELECT source_path, target, predicate, confidence, relation_id, i, ids[i] AS e FROM rr, range(1, 40) t(i) WHERE i <= len(ids)),
+flat AS (SELECT source_path, target, predicate, confidence, relation_id, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS e FROM rr),
 firsts AS (SELECT source_path, target, predicate, confidence, e, min(struct_pack(a := relation_id, b := i)) AS pos FROM flat GROUP BY ALL),
 joined AS (SELECT source_path, target, predicate, confidence, string_agg(e, '|' ORDER BY pos) AS source_ids FROM firsts GROUP BY ALL),
 merged AS (SELECT r.source_path AS source, r.target, r.predicate, r.confidence, coalesce(any_value(j.source_ids), '') AS source_ids, count(*) AS n
@@ -103,6 +108,77 @@ _VECTOR = """SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id,
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL)) WHERE rank <= 10"""
 _KEYS = {"entities": "entity_path", "chunks": "chunk_id", "claims": "claim_key", "relations": "relation_id", "kb_references": "reference_id"}
 
+# Provenance of entities.
+_ORIGINS = f""", own_ids AS (SELECT entity_path AS e, coalesce({_IDS.format("source_ids_json")}, []) AS own FROM ents),
+asserted AS (
+  SELECT source_path AS e, 0 AS part, lpad(CAST(relation_id AS VARCHAR), 20, '0') AS ord, confidence, CASE WHEN len(ids) > 0 THEN ids ELSE own END AS ids FROM rr JOIN own_ids ON e = source_path
+  UNION ALL SELECT subject, 1, claim_key, confidence, coalesce({_IDS.format("source_ids_json")}, []) FROM cls WHERE subject IN (SELECT entity_path FROM ents)),
+places AS (SELECT e, id, min(struct_pack(part := part, ord := ord, i := i)) AS p, min(struct_pack(ord := ord, i := i)) FILTER (part = 1) AS c
+  FROM (SELECT e, part, ord, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS id FROM asserted) GROUP BY e, id),
+orig AS (SELECT f.e, coalesce(l.r, '') AS relation_source_ids, coalesce(l.c, '') AS claim_source_ids, requires_hedging, n_assertions
+  FROM (SELECT e, bool_or(coalesce(confidence IN ('C', 'D'), false)) AS requires_hedging, count(*) AS n_assertions FROM asserted GROUP BY e) f
+  LEFT JOIN (SELECT e, string_agg(id, '|' ORDER BY p) AS r, string_agg(id, '|' ORDER BY c) FILTER (c IS NOT NULL) AS c FROM places GROUP BY e) l ON l.e = f.e)"""
+_SPACE_CODES = "[" + ", ".join(str(i) for i in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)) + "]"
+
+
+@lru_cache(maxsize=1)
+def _folds() -> str:
+    """A map of the code points that the compatibility form and case folding change to what they become, by rule from the Unicode database."""
+    out = {}
+    for i in range(0x30000):
+        c = chr(i)
+        if unicodedata.category(c)[0] != "C" and c != "'":
+            folded = unicodedata.normalize("NFKC", c).casefold()
+            if folded != c:
+                out[c] = folded
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in out.items()) + "}"
+
+
+def _normalized(values: str) -> str:
+    """(v, nv) of the distinct values of a query of one column v: folded by code point, composed, and without white space."""
+    return f"""(SELECT v, nfc_normalize(coalesce(string_agg(coalesce(m[c], c), '' ORDER BY i) FILTER (NOT list_contains({_SPACE_CODES}, unicode(c))), '')) AS nv
+        FROM (SELECT v, i, substr(v, i, 1) AS c FROM (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM ({values}))), folds GROUP BY v)"""
+
+
+def _folded(sql: str) -> str:
+    return sql.replace("WITH\n", f"WITH folds AS MATERIALIZED (SELECT {_folds()} AS m),\n", 1)
+
+
+# Sections: the fence that is open before each line is folded along the lines.
+_SECTIONS = rf""", parts AS (SELECT entity_path, string_split_regex(regexp_replace(content, '\r\n', chr(10), 'g'), '[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM ents WHERE content IS NOT NULL),
+marked AS (SELECT *, list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^[ \t]{{0,3}}(```+|~~~+)') THEN regexp_extract(x, '^[ \t]{{0,3}}(`+|~+)', 1) || CASE WHEN regexp_matches(x, '^[ \t]{{0,3}}(`+|~+){_WS}*$') THEN ';' ELSE ':' END ELSE '' END) AS ms FROM parts),
+folded AS (SELECT *, string_split(list_reduce(list_prepend('', ms), lambda acc, x: acc || chr(10) || CASE WHEN regexp_extract(acc, '[^\n]*$') = '' THEN rtrim(x, ';:')
+  WHEN x LIKE '%;' AND starts_with(x, regexp_extract(acc, '[^\n]*$')) THEN '' ELSE regexp_extract(acc, '[^\n]*$') END), chr(10)) AS states FROM marked),
+lines AS (SELECT entity_path, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line, unnest(ms) AS mark, unnest(states[1:len(ls)]) AS before FROM folded),
+titled AS (SELECT *, CASE WHEN before = '' AND mark = '' AND regexp_matches(line, '^[ \t]{{0,3}}#{{1,6}}[ \t]') THEN
+  regexp_replace(regexp_replace(regexp_replace(line, '^[ \t]{{0,3}}#+{_WS}*|{_WS}+$', '', 'g'), '(^|[ \t]+)#+$', ''), '{_WS}+$', '') ELSE '' END AS title FROM lines),
+numbered AS (SELECT *, sum((title <> '')::INT) OVER (PARTITION BY entity_path ORDER BY i) AS section FROM titled),
+secs AS (SELECT entity_path, section, max(title) FILTER (title <> '') AS heading, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (title = ''), ''), '^{_WS}+|{_WS}+$', '', 'g') AS text FROM numbered GROUP BY ALL),
+full_secs AS (SELECT *, row_number() OVER (PARTITION BY entity_path ORDER BY section) - 1 AS ordinal, row_number() OVER (PARTITION BY entity_path, heading ORDER BY section) AS nth FROM secs WHERE text <> '')"""
+_CHUNK_LINE = ", ".join(f"'{c}', {c}" for c in ("chunk_id", "content_hash", "entity_path", "entity_type", "heading", "metadata_json", "ordinal", "source_ids_json", "tags_json", "text", "title"))
+
+
+def folded_sql() -> dict[str, str]:
+    """The SQL of the queries that normalise text."""
+    titles = _normalized("SELECT DISTINCT title AS v FROM ents WHERE title <> ''")
+    fields = """SELECT chunk_id AS record_id, 'text' AS field_name, text AS v FROM chs UNION ALL SELECT chunk_id, 'heading', heading FROM chs UNION ALL SELECT chunk_id, 'title', title FROM chs
+          UNION ALL SELECT chunk_id, 'entity_type', entity_type FROM chs UNION ALL SELECT chunk_id, 'tags', unnest(from_json(tags_json, '["VARCHAR"]')) FROM chs"""
+    return {
+        "normalized_titles": _folded(_BASE + f" SELECT e.entity_path, CASE WHEN e.title = '' THEN '' ELSE n.nv END AS normalized_title FROM ents e LEFT JOIN {titles} n ON n.v = e.title"),
+        "lexical_chunk_topk": _folded(
+            _BASE + f""", raw AS ({fields}), norm AS MATERIALIZED {_normalized("SELECT DISTINCT v FROM raw WHERE v <> '' UNION SELECT query_text FROM evs WHERE query_text <> ''")},
+            qs AS (SELECT query_id, nv AS q FROM evs JOIN norm ON v = query_text WHERE nv <> ''),
+            qg AS (SELECT DISTINCT query_id, q, CASE WHEN length(q) <= 2 THEN q ELSE substr(q, i, 2) END AS gram FROM (SELECT *, unnest(range(1, greatest(length(q), 2))) AS i FROM qs)),
+            qn AS (SELECT query_id, q, count(*) AS n_grams FROM qg GROUP BY ALL),
+            fields AS (SELECT row_number() OVER () AS field_id, record_id, field_name, nv AS normalized_value FROM raw JOIN norm ON norm.v = raw.v WHERE nv <> ''),
+            grams AS (SELECT DISTINCT field_id, CASE WHEN length(v) <= 2 THEN v ELSE substr(v, i, 2) END AS gram FROM (SELECT field_id, normalized_value AS v, unnest(range(1, greatest(length(normalized_value), 2))) AS i FROM fields)
+              WHERE CASE WHEN length(v) <= 2 THEN v ELSE substr(v, i, 2) END IN (SELECT gram FROM qg)),
+            weights AS (SELECT * FROM (VALUES ('text', 4.0::DOUBLE), ('heading', 5.0), ('title', 3.0), ('tags', 1.0), ('entity_type', 1.0)) t(field_name, weight))""" + _SCORED + _TOP.format("record_id AS chunk_id")
+        ),
+    }
+
+
 SQL: dict[str, str] = {
     "entity_fallback_text": _BASE + f""" SELECT entity_path, sha256(t) AS text_hash, length(t) AS n_chars FROM (
         SELECT entity_path, coalesce(nullif(regexp_replace(content, '^{_WS}+|{_WS}+$', '', 'g'), ''), nullif(description, ''), title) AS t FROM ents)""",
@@ -121,12 +197,12 @@ SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_path, retriever, place) AS rank, entity_path, retriever, claim_path, round(score, 9) AS score
         FROM share WHERE nth <= CASE kind WHEN 'claim' THEN c WHEN 'relation' THEN r ELSE 5 - r - c END""",
     "char_ngrams": """SELECT DISTINCT field_id, CASE WHEN length(v) <= 2 THEN v ELSE substr(v, i, 2) END AS gram
-        FROM (SELECT DISTINCT field_id, normalized_value AS v FROM lexical_fields WHERE field_id IS NOT NULL AND normalized_value <> ''), range(1, 10000) t(i) WHERE i < greatest(length(v), 2)""",
+        FROM (SELECT *, unnest(range(1, greatest(length(v), 2))) AS i FROM (SELECT DISTINCT field_id, normalized_value AS v FROM lexical_fields WHERE field_id IS NOT NULL AND normalized_value <> ''))""",
     "gram_document_frequency": """SELECT gram, count(DISTINCT record_id) AS n_records FROM lexical_ngrams g JOIN lexical_fields f ON f.field_id = g.field_id GROUP BY gram HAVING count(DISTINCT record_id) > 0""",
     "content_hash_mismatches": "SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND sha256(text) IS DISTINCT FROM content_hash",
     "source_id_normalize": _BASE + rf""" SELECT entity_path, i - 1 AS position, regexp_replace(regexp_replace(ids[i], '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', '') AS source_id
-        FROM (SELECT entity_path, from_json(source_ids_json, '["VARCHAR"]') AS ids FROM ents), range(1, 100) t(i)
-        WHERE i <= len(ids) AND regexp_replace(regexp_replace(ids[i], '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', '') <> ''""",
+        FROM (SELECT entity_path, ids, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT entity_path, from_json(source_ids_json, '["VARCHAR"]') AS ids FROM ents))
+        WHERE regexp_replace(regexp_replace(ids[i], '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', '') <> ''""",
     "confidence_weights": _BASE + " SELECT confidence, coalesce(map {'A': 1.0, 'B': 0.75, 'C': 0.5, 'D': 0.25}[confidence], 0.5)::DOUBLE AS weight, coalesce(confidence IN ('C', 'D'), false) AS requires_hedging, count(*) AS n FROM cls GROUP BY ALL",
     "claim_forms": _BASE + """ SELECT form, count(*) AS n FROM (SELECT CASE WHEN r AND v THEN 'both' WHEN r THEN 'relation' WHEN v THEN 'value' ELSE 'statement' END AS form
         FROM (SELECT subject IS NOT NULL AND predicate IS NOT NULL AND target IS NOT NULL AS r, subject IS NOT NULL AND property IS NOT NULL AS v FROM cls)) GROUP BY form""",
@@ -153,7 +229,7 @@ SQL: dict[str, str] = {
     "claim_opt_in": _BASE + _EDGES + _policy("true") + _POLICY,
     "graph_predicate_filter": _BASE + _EDGES + _policy(_ADMIT + " AND lower(replace(predicate, ' ', '')) IN ('cites', 'related-to')") + _POLICY,
     "seed_dedup": _BASE + """ SELECT query_id, entity_path, row_number() OVER (PARTITION BY query_id ORDER BY rank, -score, entity_path) AS rank, round(score, 9) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id, entity_path ORDER BY rank, -score) AS _s FROM pks WHERE retriever = 'lexical.chunk' AND score IS NOT NULL AND NOT isnan(score)) WHERE _s = 1""",
+        SELECT *, row_number() OVER (PARTITION BY query_id, entity_path ORDER BY rank, -score) AS _s FROM pks WHERE score IS NOT NULL AND NOT isnan(score)) WHERE _s = 1""",
     "graph_expand_one_hop": _GROWN + " SELECT query_id, seed, neighbor, direction, predicate, kind, claim_ref, source_ids, round(score, 9) AS score FROM grown",
     "value_claim_assertion": _GROWN + " SELECT query_id, neighbor, predicate, claim_ref, round(score, 9) AS score FROM grown WHERE direction = 'assertion'",
     "applicable_assertions": _BASE + _EDGES + f""", w AS (SELECT map {{'A': 1.0, 'B': 0.75, 'C': 0.5, 'D': 0.25}} AS m),
@@ -163,6 +239,20 @@ SQL: dict[str, str] = {
             array_to_string(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_position(ids, ids[i]) = i THEN ids[i] END), '|')
           FROM (SELECT *, coalesce({_IDS.format("source_ids_json")}, []) AS ids FROM cls), w WHERE subject IS NOT NULL)
         SELECT * FROM all_of WHERE entity_path IN (SELECT entity_path FROM ents)""",
+    "hit_assertions": _BASE + _EDGES + _ORIGINS + """ SELECT packet_id, entity_path, coalesce(relation_source_ids, '') AS relation_source_ids, coalesce(claim_source_ids, '') AS claim_source_ids,
+        coalesce(requires_hedging, false) AS requires_hedging, coalesce(n_assertions, 0) AS n_assertions FROM (SELECT packet_id, entity_path FROM pks WHERE retriever = 'vector.chunk') LEFT JOIN orig ON e = entity_path""",
+    "fused_provenance": _BASE + _HITS.format("") + _fused() + _EDGES + _ORIGINS + """ SELECT f.query_id, f.rank, f.entity_path, coalesce(o.relation_source_ids, '') AS relation_source_ids, coalesce(o.claim_source_ids, '') AS claim_source_ids,
+        coalesce(o.requires_hedging, false) AS requires_hedging FROM fused f LEFT JOIN best b ON b.query_id = f.query_id AND b.entity_path = f.entity_path AND b.backend = 'vector.chunk' LEFT JOIN orig o ON o.e = b.entity_path WHERE f.rank <= 10""",
+    "context_packets": _BASE + _SOURCES + """, one AS (SELECT *, CASE WHEN score IS NULL OR isnan(score) THEN '-inf'::DOUBLE ELSE score END AS s FROM pks WHERE query_id IS NOT NULL),
+        bare AS (SELECT one.*, list_distinct_in_order.ids AS own_ids FROM one LEFT JOIN (SELECT packet_id, list(source_id ORDER BY i) AS ids FROM (SELECT packet_id, source_id, min(i) AS i FROM (
+          SELECT packet_id, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS source_id FROM ps) GROUP BY ALL) GROUP BY packet_id) list_distinct_in_order USING (packet_id)),
+        kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, entity_path, section, text, coalesce(own_ids, []), retriever ORDER BY rank NULLS FIRST, -s, packet_id) AS _k FROM bare),
+        resolved AS (SELECT k.packet_id, string_agg(x.id || CASE WHEN r.reference_id IS NULL THEN '-' ELSE '+' END, '|' ORDER BY x.i) AS refs
+          FROM kept k JOIN (SELECT packet_id, unnest(range(1, len(own_ids) + 1)) AS i, unnest(own_ids) AS id FROM kept) x ON x.packet_id = k.packet_id LEFT JOIN refs r ON r.reference_id = x.id GROUP BY k.packet_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS FIRST, -s, entity_path NULLS FIRST, retriever NULLS FIRST, coalesce(section, ''), text NULLS FIRST, packet_id) AS position, packet_id, rank, retriever, entity_path, section,
+          md5(text) AS text_md5, coalesce(refs, '') AS "references", confidence, confidence_weight, coalesce(requires_hedging, false) AS requires_hedging FROM kept LEFT JOIN resolved USING (packet_id) WHERE _k = 1""",
+    "chunk_entities": _BASE + _SECTIONS + """ SELECT entity_path || '#' || CASE WHEN heading IS NULL THEN 'preamble' WHEN nth > 1 THEN heading || '-' || nth ELSE heading END AS chunk_id, entity_path, ordinal, heading, sha256(text) AS content_hash FROM full_secs""",
+    "canonical_chunks": _BASE + f" SELECT CAST(json_object({_CHUNK_LINE}) AS VARCHAR) AS line FROM chs",
     "context_references": _BASE + _SOURCES + " SELECT packet_id, source_id, title, year, resolved FROM rsv",
     "context_unresolved": _BASE + _SOURCES + " SELECT source_id, count(DISTINCT packet_id) AS n_packets FROM rsv WHERE NOT resolved GROUP BY ALL",
     "context_dedup": _BASE + """ SELECT query_id, packet_id, entity_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, entity_path, section, text, source_ids, retriever
@@ -172,9 +262,9 @@ SQL: dict[str, str] = {
     "eval_by_kind": _EVAL + f" SELECT kind, {_TOTALS} FROM res WHERE kind IS NOT NULL GROUP BY kind",
     "eval_compare": _EVAL + _fused(60.0, (1.0,), backends=("lexical.chunk",), name="lone") + _results("lone", "bas") + """,
         row AS (SELECT round(avg(c.recall_at_k) - avg(b.recall_at_k), 9) AS improvement, round(avg(c.reciprocal_rank) - avg(b.reciprocal_rank), 9) AS mrr_delta,
-          coalesce(sum((c.recall_at_k < b.recall_at_k)::INT), 0) AS regressions, coalesce(bool_or(coalesce(b.gap, false) AND NOT b.success AND c.success), false) AS gap_fixed
-          FROM bas b JOIN res c ON c.query_id = b.query_id)
-        SELECT *, coalesce(improvement >= 0 AND mrr_delta >= 0 AND regressions <= 0, false) AS admitted FROM row""",
+          coalesce(sum((c.recall_at_k < b.recall_at_k)::INT), 0) AS regressions, coalesce(bool_or(coalesce(b.gap, false) AND NOT b.success AND c.success), false) AS gap_fixed, count(*) FILTER (b.query_id IS NULL OR c.query_id IS NULL) AS unmatched
+          FROM bas b FULL JOIN res c ON c.query_id = b.query_id)
+        SELECT *, coalesce(improvement >= 0 AND mrr_delta >= 0 AND regressions <= 0 AND unmatched = 0 AND gap_fixed, false) AS admitted FROM row""",
     "integrity_duplicates": " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({k} AS VARCHAR) AS record_key, count(*) AS n FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 1" for t, k in _KEYS.items()),
     "edge_sync_diff": _BASE + """, a AS (SELECT DISTINCT source_path AS source, predicate, target FROM rels WHERE source_path IS NOT NULL AND predicate IS NOT NULL AND target IS NOT NULL),
         b AS (SELECT DISTINCT subject AS source, predicate, target FROM cls WHERE subject IS NOT NULL AND predicate IS NOT NULL AND target IS NOT NULL)
