@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import bare_source_id, json_strings
 from ..functions.text import normalize_text, normalize_value
-from ..plans.lineage import cut
 from ..plans.skew import counted
 
 #: Weights of confidences, of any other one, and the known statuses of claims.
@@ -128,7 +127,7 @@ def distinct_seeds(hits: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, admitted: DataFrame, config: GraphExpansionConfig = GraphExpansionConfig()) -> DataFrame:
     """(query_id, neighbor, direction, seed, edge columns, score): one hop from the seeds, the first seed winning.
 
-    ``seeds`` as from `distinct_seeds`, ``admitted`` as from `with_policy`. Value claims come back to their subject as
+    ``seeds`` as from `distinct_seeds` of a table that was cut (they are counted), ``admitted`` as from `with_policy`. Value claims come back to their subject as
     assertions. What two seeds reach by one edge in one direction counts for the one with the better rank.
     """
     way = lambda seed, direction, neighbor: F.struct(F.col(seed).alias("seed"), direction.alias("direction"), F.col(neighbor).alias("neighbor"))
@@ -136,7 +135,7 @@ def expand(seeds: DataFrame, admitted: DataFrame, config: GraphExpansionConfig =
     back = F.when(F.col("source") != F.col("target"), F.array(out, way("target", F.lit("incoming"), "source"))).otherwise(F.array(out))
     both = admitted.withColumn("_way", F.explode(back)).select("*", "_way.*").drop("_way")
     # Seeds are few, unless queries are very many: where they can be broadcast, an entity with a large share of all edges moves nothing.
-    own = counted(cut(seeds.select("query_id", F.col("entity_path").alias("seed"), F.col("score").alias("seed_score"), F.col("rank").alias("seed_rank"))))
+    own = counted(seeds.select("query_id", F.col("entity_path").alias("seed"), F.col("score").alias("seed_score"), F.col("rank").alias("seed_rank")))
     reached = both.join(own, "seed")
     keys = ["query_id", "neighbor", "direction", "source", "target", "predicate", "kind", "claim_ref", "source_ids"]
     rest = [c for c in reached.columns if c not in keys]

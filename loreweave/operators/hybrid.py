@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..diagnostics import RetrievalError
 from ..functions.text import fallback_text
+from ..plans.lineage import cut
 from ..sources.store import Index
 from . import fusion, graph, lexical, vectors
 from .embedding import embed_column
@@ -101,16 +102,16 @@ def search(queries: DataFrame, index: Index, config: RetrievalConfig = Retrieval
 def _search(queries: DataFrame, index: Index, config: RetrievalConfig, stored: DataFrame | None, embedder, metric: str) -> DataFrame:
     if config.mode != "lexical" and (stored is None or embedder is None):
         raise RetrievalError(f"retrieval mode {config.mode!r} needs a vector index and its embedder")
-    cut = config.cutoffs()
+    most = config.cutoffs()
     columns = ["query_id", "rank", "score", "entity_path", "chunk_id", "section", "text", "source_ids", *ASSERTED]
     t = index.tables
     origins = graph.provenance(t["relations"], t["claims"], t["entities"]) if config.mode != "lexical" else None
     if config.mode == "lexical":
-        direct = _unasserted(chunk_hits(queries, index, cut[PASSAGE])).select(*columns, F.lit("lexical.chunk").alias("retriever"))
+        direct = _unasserted(chunk_hits(queries, index, most[PASSAGE])).select(*columns, F.lit("lexical.chunk").alias("retriever"))
     elif config.mode == "vector":
-        direct = graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, cut[VECTOR]), origins).select(*columns, F.lit("vector.chunk").alias("retriever"))
+        direct = graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, most[VECTOR]), origins).select(*columns, F.lit("vector.chunk").alias("retriever"))
     else:
-        parts = {PASSAGE: _unasserted(chunk_hits(queries, index, cut[PASSAGE])), ENTITY: _unasserted(entity_hits(queries, index, cut[ENTITY])), VECTOR: graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, cut[VECTOR]), origins)}
+        parts = {PASSAGE: _unasserted(chunk_hits(queries, index, most[PASSAGE])), ENTITY: _unasserted(entity_hits(queries, index, most[ENTITY])), VECTOR: graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, most[VECTOR]), origins)}
         hits = None
         for name, h in parts.items():
             h = h.select(*columns, F.lit(name).alias("backend"))
@@ -130,7 +131,7 @@ def _search(queries: DataFrame, index: Index, config: RetrievalConfig, stored: D
 
 def expanded(direct: DataFrame, index: Index, config: RetrievalConfig) -> DataFrame:
     """Direct hits as seeds, their neighbours, and a choice of both."""
-    t = index.tables
+    t, direct = index.tables, cut(direct)
     types = t["entities"].select("entity_path", "entity_type")
     first = direct.groupBy("query_id", "entity_path").agg(F.min_by(F.struct("score", "rank", "chunk_id", "section", "text", "source_ids", "retriever", *ASSERTED), F.struct("rank", (-F.col("score")).alias("m"))).alias("h")).select("query_id", "entity_path", "h.*")
     seeds = graph.distinct_seeds(first)

@@ -198,8 +198,8 @@ def relation_merge(spark: SparkSession, d: str) -> DataFrame:
     return m.select("source", "target", "predicate", "confidence", F.array_join("source_ids", "|").alias("source_ids"), "n")
 
 
-def _edges(spark, d):
-    return graph.edges(relations(spark, d), claims(spark, d), entities(spark, d))
+def _edges(spark, d, now=None):
+    return graph.edges(relations(spark, d), claims(spark, d), entities(spark, d) if now is None else now)
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -230,10 +230,10 @@ def seed_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def _expanded(spark, d, k=TOP):
     config = graph.GraphExpansionConfig(enabled=True)
-    now = entities(spark, d)
-    seeds = fusion.fuse(_hits(spark, d), BACKENDS, k * config.seed_pool_factor).join(now.select("entity_path", "entity_type"), "entity_path")
-    found = graph.expand(graph.distinct_seeds(seeds), graph.with_policy(_edges(spark, d), config), config)
-    types = now.select("entity_path", "entity_type")
+    now = entities(spark, d).select("entity_path", "entity_type")
+    seeds = cut(fusion.fuse(_hits(spark, d), BACKENDS, k * config.seed_pool_factor).join(now, "entity_path"))
+    found = graph.expand(graph.distinct_seeds(seeds), graph.with_policy(_edges(spark, d, now), config), config)
+    types = now
     same = found.join(types.select(F.col("entity_path").alias("seed"), F.col("entity_type").alias("seed_type")), "seed").join(types.select(F.col("entity_path").alias("neighbor"), F.col("entity_type").alias("own_type")), "neighbor")
     return seeds, same.withColumn("same_type", F.col("seed_type").eqNullSafe(F.col("own_type"))), config
 
