@@ -1,4 +1,4 @@
-"""Errors, and the stable code of any error."""
+"""Errors, and the stable code of any error. The codes are fixed values: callers in other languages compare them."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ class SnapshotLoadError(ValueError):
 class StoredIndexError(ValueError):
     """A stored index that is missing, damaged or of another format."""
 
-    code = "index_error"
+    code = "sqlite_index_error"
 
 
 class VectorIndexError(ValueError):
     """A stored vector index that is missing, damaged or doesn't fit."""
 
-    code = "vector_index_error"
+    code = "vector_sidecar_error"
 
 
 class RetrievalError(ValueError):
@@ -38,7 +38,25 @@ class EvaluationLoadError(ValueError):
 class EmbeddingError(ValueError):
     """An embedder that returned something else than it should."""
 
-    code = "embedding_error"
+    code = "embedding_provider_error"
+
+
+class FusionError(ValueError):
+    """Rankings that can't be fused as configured."""
+
+    code = "fusion_error"
+
+
+class EvaluationError(ValueError):
+    """Results that can't be evaluated or compared."""
+
+    code = "evaluation_error"
+
+
+class VectorRetrievalError(ValueError):
+    """A vector search that doesn't fit its index."""
+
+    code = "vector_retrieval_error"
 
 
 class UsageError(ValueError):

@@ -17,8 +17,13 @@ def duplicate_ordinals(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("entity_path", "ordinal").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def chunk_lines(chunks: DataFrame) -> DataFrame:
-    """(line): JSON of each chunk with sorted keys and explicit nulls, in the order of path, ordinal and id over all files."""
+def chunk_lines(chunks: DataFrame, strict: bool = False) -> DataFrame:
+    """(line): JSON of each chunk with sorted keys and explicit nulls, in the order of path, ordinal and id over all files.
+
+    With ``strict``, an ordinal that an entity has twice is an error.
+    """
+    if strict and (twice := duplicate_ordinals(chunks).first()):
+        raise ValueError(f"{twice.entity_path} has ordinal {twice.ordinal} {twice.n} times")
     ordered = chunks.repartitionByRange("entity_path", "ordinal", "chunk_id").sortWithinPartitions("entity_path", "ordinal", "chunk_id")
     return ordered.select(F.to_json(F.struct(*CHUNK_COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
 

@@ -82,17 +82,40 @@ class InjectedEmbedder:
         return self.functions[role](texts)
 
 
-def checked(vectors, n: int, dimension: int) -> list[list[float]]:
-    """The vectors as floats; another number of them, another length, or what is no finite number is an error."""
+def checked(vectors, n: int, dimension: int, ids: list | None = None) -> list[list[float]]:
+    """The vectors as floats; another number of them, another length, or what is no finite number is an error.
+
+    An embedder may give pairs of an id and a vector instead: then the ids must be ``ids``, each once and in their order.
+    """
     vectors = list(vectors)
     if len(vectors) != n:
         raise EmbeddingError(f"expected {n} vectors, got {len(vectors)}")
+    if ids is not None and vectors and all(isinstance(v, tuple) and len(v) == 2 and not isinstance(v[0], (int, float)) for v in vectors):
+        found = [i for i, _ in vectors]
+        if len(set(found)) != len(set(ids)):
+            raise EmbeddingError("an id stands twice among the vectors, or is missing")
+        if found != list(ids):
+            raise EmbeddingError("the ids of the vectors aren't those of the documents, in their order")
+        vectors = [v for _, v in vectors]
     for v in vectors:
         if isinstance(v, (str, bytes)) or len(v) != dimension or any(isinstance(x, bool) or not isinstance(x, (int, float)) or not math.isfinite(x) for x in v):
             raise EmbeddingError(f"a vector must be {dimension} finite numbers")
     return [[float(x) for x in v] for v in vectors]
 
 
+def embedded(embedder, texts: list[str], role: str, ids: list | None = None) -> list[list[float]]:
+    """The checked vectors of texts. No texts don't reach the embedder; what it raises is the cause of an `EmbeddingError`."""
+    if not texts:
+        return []
+    try:
+        found = embedder.embed(texts, role)
+    except EmbeddingError:
+        raise
+    except Exception as e:
+        raise EmbeddingError(f"the embedder failed on {len(texts)} texts: {e}") from e
+    return checked(found, len(texts), embedder.config.dimension, ids)
+
+
 def embed_column(df: DataFrame, keep: list[str], text: str, embedder, role: str) -> DataFrame:
     """``keep`` and ``vector``, a batch of texts at a time."""
     rows = df.select(*keep, F.col(text).alias("_text"))
@@ -100,7 +123,7 @@ def embed_column(df: DataFrame, keep: list[str], text: str, embedder, role: str)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["_text"].tolist()
-            yield b.drop(columns="_text").assign(vector=checked(embedder.embed(texts, role), len(texts), embedder.config.dimension))
+            yield b.drop(columns="_text").assign(vector=embedded(embedder, texts, role, b[keep[0]].tolist()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInPandas(run, f"{fields}, vector array<double>")

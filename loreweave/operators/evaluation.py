@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..diagnostics import EvaluationError
 from ..functions.ids import json_strings
 
 
@@ -30,7 +31,7 @@ class EvaluationProfile:
 
     def __post_init__(self) -> None:
         if self.primary_metric not in METRICS:
-            raise ValueError(f"primary_metric must be one of {', '.join(METRICS)}")
+            raise EvaluationError(f"primary_metric must be one of {', '.join(METRICS)}")
 
 
 def case_results(cases: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:

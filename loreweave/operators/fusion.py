@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..diagnostics import FusionError
 from .lexical import positive_integer
 
 
@@ -22,11 +23,11 @@ class RRFConfig:
 
     def __post_init__(self) -> None:
         if isinstance(self.constant, bool) or not 0 < self.constant < float("inf"):
-            raise ValueError("constant must be positive and finite")
+            raise FusionError("constant must be positive and finite")
         if any(not 0 <= w < float("inf") for w in self.backend_weights.values()):
-            raise ValueError("backend weights must be non-negative and finite")
+            raise FusionError("backend weights must be non-negative and finite")
         if any(isinstance(c, bool) or not isinstance(c, int) or c < 1 for c in self.backend_cutoffs.values()):
-            raise ValueError("backend cutoffs must be positive integers")
+            raise FusionError("backend cutoffs must be positive integers")
 
 
 def best_hits(hits: DataFrame, config: RRFConfig = RRFConfig()) -> DataFrame:

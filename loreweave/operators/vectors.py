@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..diagnostics import VectorRetrievalError
 from .lexical import positive_integer
 
 COSINE, DOT = "cosine", "dot"
@@ -19,7 +20,7 @@ def similarity(a, b, metric: str = COSINE):
     if metric == DOT:
         return dot(a, b)
     if metric != COSINE:
-        raise ValueError(f"unsupported similarity metric {metric!r}")
+        raise VectorRetrievalError(f"unsupported similarity metric {metric!r}")
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
@@ -62,7 +63,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = CO
     """
     positive_integer("k", k)
     if metric not in (COSINE, DOT):
-        raise ValueError(f"unsupported similarity metric {metric!r}")
+        raise VectorRetrievalError(f"unsupported similarity metric {metric!r}")
     if blocks is None:
         blocks = max(-(-vectors.count() // BLOCK_ROWS), vectors.sparkSession.sparkContext.defaultParallelism // 2, 1)
     spread = vectors.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import bare_source_id, json_strings
 from ..functions.text import character_ngrams, fallback_text, normalize_text
 from ..operators import canonical, chunking, context, current, embedding, evaluation, fusion, graph, hybrid, integrity, lexical, vectors
+from ..sources import knowledge, store
 from ..sources.tables import table
-from .lineage import cut
+from .lineage import cut, shared_dir
 
 RETRIEVERS = ("lexical.chunk", "lexical.entity", "vector.chunk", "graph.one-hop")
 BACKENDS = RETRIEVERS[:3]
@@ -343,15 +347,13 @@ def eval_compare(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark, d):
     """An index over the present rows, not stored."""
-    from ..sources.store import Index
-
     e, c = entities(spark, d), chunks(spark, d)
     arrays = {x.removesuffix("_json"): json_strings(F.col(x)) for x in ("tags_json", "aliases_json")}
     fields = lexical.field_values(e.withColumns(arrays), "entity_path", "entity", lexical.ENTITY_WEIGHTS).unionByName(lexical.field_values(c.withColumn("tags", arrays["tags"]), "chunk_id", "chunk", lexical.CHUNK_WEIGHTS))
     tables = {"entities": e, "chunks": c, "relations": relations(spark, d), "claims": claims(spark, d), "kb_references": references(spark, d), "lexical_fields": fields}
     tables = {n: t if n == "lexical_fields" else cut(t) for n, t in tables.items()}
     tables["lexical_ngrams"] = cut(lexical.postings(tables["lexical_fields"]))
-    return Index(tables, {"ngram_size": 2})
+    return store.Index(tables, {"ngram_size": 2})
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -364,6 +366,54 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "rank", "entity_path", "retriever", "chunk_id", "claim_path", F.round("score", 9).alias("score"))
 
 
+# Sources and sinks
+
+
+def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Entities and the claims with a path as Markdown documents, parsed again: what each document is, and what is wrong with it."""
+    e = entities(spark, d)
+    names = {"type": "entity_type", "title": "title", "description": "description", "timestamp": "timestamp"}
+    lists = {"tags": "tags_json", "aliases": "aliases_json"}
+    own = knowledge.document_text([*[F.col(c).alias(n) for n, c in names.items()], *[json_strings(F.col(c)).alias(n) for n, c in lists.items()]], F.col("content"))
+    c = claims(spark, d).filter("claim_path IS NOT NULL")
+    same = ("statement", "status", "confidence", "subject", "predicate", "target", "property", "value_json")
+    stated = knowledge.document_text([F.lit("Claim").alias("type"), json_strings(F.col("source_ids_json")).alias("sources"), *[F.col(x).alias(x.removesuffix("_json")) for x in same]], F.lit(""))
+    parsed = knowledge.parse_documents(e.select(F.col("entity_path").alias("path"), own.alias("text")).union(c.select("claim_path", stated)))
+    kind = F.when(F.col("problem").isNotNull(), "problem").when(F.col("entity").isNotNull(), "entity").when(F.size("claims") > 0, "claim").otherwise("index")
+    return parsed.select("path", kind.alias("kind"), F.col("entity.entity_type").alias("entity_type"), F.col("entity.title").alias("title"), F.size(json_strings(F.col("entity.tags_json"))).alias("n_tags"), F.md5("entity.content").alias("content_md5"))
+
+
+def _stored(spark, d):
+    """An index of the present rows, stored in the shared folder and opened again."""
+    e, c = entities(spark, d), chunks(spark, d)
+    snapshot = knowledge.Snapshot(e, relations(spark, d), claims(spark, d), references(spark, d), c)
+    path = f"{shared_dir(spark).rstrip('/')}/loreweave/index-{uuid.uuid4().hex}"
+    store.build_index(spark, snapshot, path)
+    return store.open_index(spark, path), path
+
+
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and different keys of each table of a stored index."""
+    index, _ = _stored(spark, d)
+    keys = {**integrity.KEYS, "lexical_fields": "field_id", "lexical_ngrams": "gram"}
+    parts = [index.tables[n].agg(F.count("*").alias("n_rows"), F.count_distinct(k).alias("n_keys")).select(F.lit(n).alias("table_name"), "n_rows", "n_keys") for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: The embedder of the query of stored vectors.
+EMBEDDING = embedding.EmbeddingConfig("hash-embedder", "sha256", 8)
+
+
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of all chunks by the hash embedder, stored beside their index and opened again."""
+    index, path = _stored(spark, d)
+    config = embedding.VectorIndexConfig(EMBEDDING)
+    found = embedding.embed_column(index.tables["chunks"], ["chunk_id", "content_hash"], "text", embedding.HashEmbedder(EMBEDDING), "document")
+    store.build_vectors(spark, found, f"{path}-vectors", config, index)
+    vectors_, _, _ = store.open_vectors(spark, f"{path}-vectors", index)
+    return vectors_.select("chunk_id", "content_hash", *[F.round(F.col("vector")[i], 9).alias(f"v{i}") for i in range(EMBEDDING.dimension)])
+
+
 # Integrity and manifests
 
 
@@ -404,7 +454,8 @@ NAMES = (
     "postings_candidates lexical_field_scores lexical_entity_topk lexical_chunk_topk chunk_entities chunk_ordinals vector_cosine_topk vector_dot_topk "
     "vector_compatibility vector_unusable rrf_fuse rrf_weighted_cutoff rrf_passage_choice fallback_passages relation_merge graph_edges claim_policy claim_opt_in "
     "graph_predicate_filter seed_dedup graph_expand_one_hop value_claim_assertion diverse_select hit_assertions fused_provenance context_packets context_references context_unresolved context_dedup "
-    "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search applicable_assertions canonical_chunks"
+    "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search applicable_assertions canonical_chunks canonical_vectors "
+    "parsed_documents stored_index stored_vectors"
 ).split()
 
 

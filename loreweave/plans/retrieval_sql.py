@@ -5,8 +5,11 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+from ..operators.embedding import EmbeddingConfig
+
 #: White space as a character class.
 _WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ALL_IDS = r"""list_transform(from_json({0}, '["VARCHAR"]'), lambda e: regexp_replace(regexp_replace(e, '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', ''))"""
 _IDS = r"""list_filter(list_transform(from_json({0}, '["VARCHAR"]'), lambda e: regexp_replace(regexp_replace(e, '^[ \t\n\x0B\f\r]*((?i:ref:)[ \t\n\x0B\f\r]*)?', ''), '[ \t\n\x0B\f\r]+$', '')), lambda e: e <> '')"""
 
 
@@ -108,6 +111,9 @@ _VECTOR = """SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id,
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL)) WHERE rank <= 10"""
 _KEYS = {"entities": "entity_path", "chunks": "chunk_id", "claims": "claim_key", "relations": "relation_id", "kb_references": "reference_id"}
 
+#: The identity of the embedder of the query of stored vectors.
+_FINGERPRINT = EmbeddingConfig("hash-embedder", "sha256", 8).fingerprint
+
 # Provenance of entities.
 _ORIGINS = f""", own_ids AS (SELECT entity_path AS e, coalesce({_IDS.format("source_ids_json")}, []) AS own FROM ents),
 asserted AS (
@@ -164,7 +170,16 @@ def folded_sql() -> dict[str, str]:
     titles = _normalized("SELECT DISTINCT title AS v FROM ents WHERE title <> ''")
     fields = """SELECT chunk_id AS record_id, 'text' AS field_name, text AS v FROM chs UNION ALL SELECT chunk_id, 'heading', heading FROM chs UNION ALL SELECT chunk_id, 'title', title FROM chs
           UNION ALL SELECT chunk_id, 'entity_type', entity_type FROM chs UNION ALL SELECT chunk_id, 'tags', unnest(from_json(tags_json, '["VARCHAR"]')) FROM chs"""
+    entity_fields = """SELECT entity_path AS id, 'title' AS f, title AS v FROM ents UNION ALL SELECT entity_path, 'description', description FROM ents UNION ALL SELECT entity_path, 'entity_type', entity_type FROM ents
+          UNION ALL SELECT entity_path, 'content', content FROM ents UNION ALL SELECT entity_path, 'aliases', unnest(from_json(aliases_json, '["VARCHAR"]')) FROM ents UNION ALL SELECT entity_path, 'tags', unnest(from_json(tags_json, '["VARCHAR"]')) FROM ents"""
+    counted = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT {k}) AS n_keys FROM {t}" for n, t, k in (("entities", "ents", "entity_path"), ("chunks", "chs", "chunk_id"), ("relations", "rels", "relation_id"), ("claims", "cls", "claim_key"), ("kb_references", "refs", "reference_id")))
     return {
+        "stored_index": _folded(
+            _BASE + f""", vals AS (SELECT row_number() OVER () AS field_id, v FROM ({entity_fields} UNION ALL SELECT record_id, field_name, v FROM ({fields})) WHERE v IS NOT NULL),
+            norm AS MATERIALIZED {_normalized("SELECT DISTINCT v FROM vals WHERE v <> ''")},
+            grams AS (SELECT DISTINCT field_id, CASE WHEN length(v) <= 2 THEN v ELSE substr(v, i, 2) END AS gram FROM (SELECT field_id, nv AS v, unnest(range(1, greatest(length(nv), 2))) AS i FROM vals JOIN norm USING (v) WHERE nv <> ''))
+            {counted} UNION ALL SELECT 'lexical_fields', count(*), count(DISTINCT field_id) FROM vals UNION ALL SELECT 'lexical_ngrams', count(*), count(DISTINCT gram) FROM grams"""
+        ),
         "normalized_titles": _folded(_BASE + f" SELECT e.entity_path, CASE WHEN e.title = '' THEN '' ELSE n.nv END AS normalized_title FROM ents e LEFT JOIN {titles} n ON n.v = e.title"),
         "lexical_chunk_topk": _folded(
             _BASE + f""", raw AS ({fields}), norm AS MATERIALIZED {_normalized("SELECT DISTINCT v FROM raw WHERE v <> '' UNION SELECT query_text FROM evs WHERE query_text <> ''")},
@@ -253,6 +268,17 @@ SQL: dict[str, str] = {
           md5(text) AS text_md5, coalesce(refs, '') AS "references", confidence, confidence_weight, coalesce(requires_hedging, false) AS requires_hedging FROM kept LEFT JOIN resolved USING (packet_id) WHERE _k = 1""",
     "chunk_entities": _BASE + _SECTIONS + """ SELECT entity_path || '#' || CASE WHEN heading IS NULL THEN 'preamble' WHEN nth > 1 THEN heading || '-' || nth ELSE heading END AS chunk_id, entity_path, ordinal, heading, sha256(text) AS content_hash FROM full_secs""",
     "canonical_chunks": _BASE + f" SELECT CAST(json_object({_CHUNK_LINE}) AS VARCHAR) AS line FROM chs",
+    "parsed_documents": _BASE + rf""", docs AS (
+          SELECT entity_path AS path, regexp_matches(coalesce(title, ''), '[^{_WS[1:]}') AND regexp_matches(coalesce(description, ''), '[^{_WS[1:]}') AND regexp_matches(coalesce(entity_type, ''), '[^{_WS[1:]}')
+            AND timestamp IS NOT NULL AND tags_json IS NOT NULL AS fine, * FROM ents)
+        SELECT path, CASE WHEN fine THEN 'entity' ELSE 'problem' END AS kind, CASE WHEN fine THEN entity_type END AS entity_type, CASE WHEN fine THEN title END AS title, CASE WHEN fine THEN len(from_json(tags_json, '["VARCHAR"]')) END AS n_tags,
+          CASE WHEN fine THEN md5(coalesce(regexp_replace(regexp_replace(content, '\r\n', chr(10), 'g'), '[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '')) END AS content_md5 FROM docs
+        UNION ALL SELECT claim_path, CASE WHEN ok THEN 'claim' ELSE 'problem' END, NULL, NULL, NULL, NULL FROM (SELECT claim_path, coalesce(status, '') <> '' AND coalesce(confidence, '') <> '' AND claim_path LIKE '/%'
+          AND len(ids) > 0 AND len(list_filter(ids, lambda e: e = '')) = 0 AND NOT ((predicate IS NOT NULL AND target IS NOT NULL) AND property IS NOT NULL)
+          AND NOT (predicate IS NOT NULL AND target IS NULL) AND NOT (property IS NULL AND value_json IS NOT NULL) AND (coalesce(subject, '') <> '' OR NOT ((predicate IS NOT NULL AND target IS NOT NULL) OR property IS NOT NULL)) AS ok
+          FROM (SELECT *, coalesce({_ALL_IDS.format("source_ids_json")}, []) AS ids FROM cls WHERE claim_path IS NOT NULL))""",
+    "stored_vectors": _BASE + f""", seeds AS (SELECT chunk_id, content_hash, sha256(encode('{{"embedding_fingerprint":"{_FINGERPRINT}","role":"document","text":' || CAST(to_json(text) AS VARCHAR) || '}}') || from_hex('0000000000000000')) AS h FROM chs)
+        SELECT chunk_id, content_hash, {", ".join(f"round(('0x' || substr(h, {8 * i + 1}, 8))::UBIGINT / 4294967295.0::DOUBLE * 2 - 1, 9) AS v{i}" for i in range(8))} FROM seeds""",
     "context_references": _BASE + _SOURCES + " SELECT packet_id, source_id, title, year, resolved FROM rsv",
     "context_unresolved": _BASE + _SOURCES + " SELECT source_id, count(DISTINCT packet_id) AS n_packets FROM rsv WHERE NOT resolved GROUP BY ALL",
     "context_dedup": _BASE + """ SELECT query_id, packet_id, entity_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, entity_path, section, text, source_ids, retriever

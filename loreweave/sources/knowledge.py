@@ -14,7 +14,7 @@ from pathlib import Path
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..diagnostics import EvaluationLoadError, SnapshotLoadError
@@ -200,7 +200,17 @@ def markdown_documents(spark: SparkSession, root: str | Path) -> DataFrame:
     # Both are URIs: the root's part is cut off and escapes are undone.
     name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     files = files.select(F.regexp_replace(name, f"^.*?\\Q{base.partition('://')[2]}\\E", "").alias("path"), F.col("value").alias("text"))
-    return files.mapInPandas(_parse, "json string").select(F.from_json("json", PARSED).alias("d")).select("d.*")
+    return parse_documents(files)
+
+
+def parse_documents(files: DataFrame) -> DataFrame:
+    """(path, problem, entity, relations, claims) of each Markdown file (path, text). No shuffle."""
+    return files.select("path", "text").mapInPandas(_parse, "json string").select(F.from_json("json", PARSED).alias("d")).select("d.*")
+
+
+def document_text(fields: list, body) -> Column:
+    """A Markdown document of front matter and body. The front matter is JSON, which YAML contains; null fields are left out."""
+    return F.concat(F.lit("---\n"), F.to_json(F.struct(*fields)), F.lit("\n---\n"), F.coalesce(body, F.lit("")))
 
 
 def load_references(path: str | Path) -> list[dict]:
@@ -256,21 +266,51 @@ def load_cases(path: str | Path) -> list[dict]:
     return rows
 
 
+#: The parts of an exported graph that must be there, and those that may.
+GRAPH_PARTS, OTHER_PARTS = {"nodes": "array<string>", "edges": "array<string>", "claims": "array<string>"}, {"views": "array<string>", "predicates": "map<string, string>"}
+
+
+def _rows_of(make, schema: str):
+    """A function for mapInPandas that makes one row of each JSON text, or a row with what is wrong with it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text in b["part"]:
+                try:
+                    out.append(json.dumps({"row": make(json.loads(text))}, ensure_ascii=False))
+                except (ValueError, KeyError, TypeError, AttributeError) as e:
+                    out.append(json.dumps({"problem": f"{type(e).__name__}: {e}"}))
+            yield pd.DataFrame({"json": out})
+
+    return run
+
+
+def _node_row(n: dict) -> dict:
+    return {"entity_path": n["path"], "entity_type": n["type"], "title": n["title"], "description": n.get("description"), "tags_json": canonical(n.get("tags") or [])}
+
+
 def graph_tables(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, relations and claims of an exported graph."""
-    data = json.loads(Path(path).read_text(encoding="utf-8-sig"))
-    if not isinstance(data, dict) or not {"nodes", "edges", "claims"} <= set(data) <= {"nodes", "edges", "claims", "views", "predicates"}:
+    """Nodes, relations and claims of an exported graph, which executors read and parse; the driver sees the names of its parts only."""
+    where = str(path) if "://" in str(path) else Path(path).resolve().as_uri()
+    file = spark.read.text(where, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    shape = ", ".join(f"{k} {t}" for k, t in (GRAPH_PARTS | OTHER_PARTS).items())
+    parts = cut(file.select(F.json_object_keys("value").alias("names"), F.from_json("value", shape).alias("g")))
+    checks = [F.col(f"g.{k}").isNotNull() | ~F.array_contains("names", k) for k in (*GRAPH_PARTS, *OTHER_PARTS)]
+    first = parts.select("names", *[c.alias(f"fits_{i}") for i, c in enumerate(checks)]).first()
+    if first is None or first.names is None or not set(GRAPH_PARTS) <= set(first.names) <= {*GRAPH_PARTS, *OTHER_PARTS}:
         raise SnapshotLoadError(f"{path}: a graph has nodes, edges and claims")
-    if not isinstance(data.get("views", []), list) or not isinstance(data.get("predicates", {}), dict) or any(not isinstance(data[k], list) for k in ("nodes", "edges", "claims")):
+    if not all(first[f"fits_{i}"] for i in range(len(checks))):
         raise SnapshotLoadError(f"{path}: a part of the graph has the wrong shape")
-    try:
-        nodes = [{"entity_path": n["path"], "entity_type": n["type"], "title": n["title"], "description": n.get("description"), "tags_json": canonical(n.get("tags") or [])} for n in data["nodes"]]
-        relations = [relation_row(r, None, []) for r in data["edges"]]
-        claims = [claim_row(c, None, True) for c in data["claims"]]
-    except (ValueError, KeyError, TypeError) as e:
-        raise SnapshotLoadError(f"{path}: {e}") from e
     node = "entity_path string, entity_type string, title string, description string, tags_json string"
-    return tuple(spark.createDataFrame(rows, schema) for rows, schema in ((nodes, node), (relations, RELATION), (claims, CLAIM)))
+    out = []
+    for part, schema, make in (("nodes", node, _node_row), ("edges", RELATION, lambda r: relation_row(r, None, [])), ("claims", CLAIM, lambda c: claim_row(c, None, True))):
+        rows = parts.select(F.explode(f"g.{part}").alias("part")).repartition(spark.sparkContext.defaultParallelism).mapInPandas(_rows_of(make, schema), "json string")
+        rows = cut(rows.select(F.from_json("json", f"problem string, row struct<{schema.replace(' string', ': string')}>").alias("d")).select("d.*"))
+        if bad := rows.filter("problem IS NOT NULL").first():
+            raise SnapshotLoadError(f"{path}: {part}: {bad.problem}")
+        out.append(rows.select("row.*"))
+    return tuple(out)
 
 
 def snapshot_problems(entities: DataFrame, relations: DataFrame, claims: DataFrame, nodes: DataFrame, graph_relations: DataFrame, graph_claims: DataFrame) -> DataFrame:

@@ -127,10 +127,13 @@ def build_index(spark: SparkSession, snapshot: Snapshot, path: str, ngram_size:
     return _save(spark, path, tables, manifest, {"lexical_ngrams": ["gram"]})
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """An index whose format and row counts are as its manifest says."""
+def open_index(spark: SparkSession, path: str, verify: bool = False) -> Index:
+    """An index whose format and row counts are as its manifest says; with ``verify``, its contents too."""
     version, manifest = _open(spark, path, FORMAT, StoredIndexError)
-    return Index({n: spark.read.parquet(f"{version}/{n}.parquet") for n in TABLES}, manifest)
+    index = Index({n: spark.read.parquet(f"{version}/{n}.parquet") for n in TABLES}, manifest)
+    if verify and any(manifest[k] != v for k, v in identities(index.tables).items()):
+        raise StoredIndexError(f"{path}: the tables aren't those of the manifest")
+    return index
 
 
 def needs_rebuild(spark: SparkSession, snapshot: Snapshot, path: str) -> bool:
@@ -145,7 +148,7 @@ def needs_rebuild(spark: SparkSession, snapshot: Snapshot, path: str) -> bool:
 
 def build_vectors(spark: SparkSession, vectors: DataFrame, path: str, config: VectorIndexConfig, index: Index) -> dict:
     """Writes (chunk_id, content_hash, vector), each chunk once and all of the embedder's dimension."""
-    bad = vectors.filter(F.col("chunk_id").isNull() | F.col("vector").isNull() | (F.size("vector") != config.embedding.dimension) | F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).first()
+    bad = _unusable(vectors, config.embedding.dimension).first()
     twice = vectors.groupBy("chunk_id").count().filter("count > 1").first()
     if bad or twice:
         raise VectorIndexError(f"chunk {(bad or twice).chunk_id!r} has an unusable vector or two of them")
@@ -157,6 +160,20 @@ def build_vectors(spark: SparkSession, vectors: DataFrame, path: str, config: Ve
     return _save(spark, path, {"vectors": vectors.select("chunk_id", "content_hash", "vector")}, manifest, {"vectors": ["chunk_id"]})
 
 
+def _unusable(vectors: DataFrame, dimension: int) -> DataFrame:
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.filter(F.col("chunk_id").isNull() | F.col("vector").isNull() | (F.size("vector") != dimension) | bad)
+
+
+def vectors_match(manifest: dict, config: VectorIndexConfig, index: Index) -> bool:
+    """Is a stored vector index of this embedder, metric, format and snapshot, so that it needn't be built again?"""
+    wanted = {
+        "version": VERSION, "embedding_fingerprint": config.embedding.fingerprint, "vector_index_fingerprint": config.fingerprint, "similarity_metric": config.similarity_metric.casefold(), "dimension": config.embedding.dimension,
+        "source_hash": index.manifest["source_hash"], "chunk_hash": index.manifest["chunk_hash"],
+    }
+    return all(manifest.get(k) == v for k, v in wanted.items())
+
+
 def open_vectors(spark: SparkSession, path: str, index: Index) -> tuple[DataFrame, dict, VectorIndexConfig]:
     """A vector index that belongs to ``index``, chunk by chunk."""
     version, manifest = _open(spark, path, VECTOR_FORMAT, VectorIndexError)
@@ -166,6 +183,8 @@ def open_vectors(spark: SparkSession, path: str, index: Index) -> tuple[DataFram
     if any(manifest[k] != index.manifest[k] for k in ("source_hash", "chunk_hash")):
         raise VectorIndexError(f"{path}: the vectors are of another snapshot")
     vectors = spark.read.parquet(f"{version}/vectors.parquet")
+    if bad := _unusable(vectors, config.embedding.dimension).first():
+        raise VectorIndexError(f"{path}: chunk {bad.chunk_id!r} has an unusable vector")
     keys = ["chunk_id", "content_hash"]
     if vectors.select(*keys).exceptAll(index.tables["chunks"].select(*keys)).first() or index.tables["chunks"].select(*keys).exceptAll(vectors.select(*keys)).first():
         raise VectorIndexError(f"{path}: the vectors are of other chunks")

@@ -147,9 +147,59 @@ def test_command_line(spark, tmp_path, capsys):
         code, out = call("eval", "--index", index, *mode)
         assert (code, out["recall_at_k"], out["mrr"], out["by_kind"]["relation"]["count"]) == (0, 1.0, 1.0, 1)
     assert out["fusion_config"]["rrf"]["constant"] == 60.0
-    for bad, name in ((["search", "x", "--index", str(tmp_path / "no")], "index_error"), (["search"], "usage_error"), (["inspect", "/no", "--index", index], "invalid_input"), (["search", "x", "--mode", "vector", "--index", index], "usage_error")):
+    for bad, name in ((["search", "x", "--index", str(tmp_path / "no")], "sqlite_index_error"), (["search"], "usage_error"), (["inspect", "/no", "--index", index], "invalid_input"), (["search", "x", "--mode", "vector", "--index", index], "usage_error")):
         code, out = call(*bad)
         assert code == 2 and set(out) == {"error", "schema_version"} and out["error"]["code"] == name
     assert cli.migrate({"a": 1})["schema_version"] == 1
     with pytest.raises(ValueError):
         cli.migrate({"schema_version": 9})
+
+
+def test_embedders_are_held_to_their_contract():
+    from loreweave.diagnostics import EmbeddingError
+    from loreweave.operators.embedding import EmbeddingConfig, InjectedEmbedder, embedded
+
+    config = EmbeddingConfig("own", "m", 2)
+    make = lambda f: InjectedEmbedder(config, f, f)
+    good = make(lambda texts: [(t, [1.0, 2.0]) for t in texts])
+    assert embedded(good, ["a", "b"], "document", ["a", "b"]) == [[1.0, 2.0]] * 2 and embedded(make(None), [], "document") == []
+    for wrong in (lambda t: [(x, [1.0, 2.0]) for x in reversed(t)], lambda t: [(t[0], [1.0, 2.0])] * 2, lambda t: [[1.0, 2.0]], lambda t: [[1.0]] * 2, lambda t: [[1.0, float("nan")]] * 2, lambda t: [[True, 1.0]] * 2, lambda t: ["ab"] * 2):
+        with pytest.raises(EmbeddingError):
+            embedded(make(wrong), ["a", "b"], "document", ["a", "b"])
+    cause = OSError("gone")
+
+    def fails(texts):
+        raise cause
+
+    with pytest.raises(EmbeddingError) as e:
+        embedded(make(fails), ["a"], "query")
+    assert e.value.__cause__ is cause
+
+
+def test_graphs_of_wrong_shape(spark, tmp_path):
+    import json
+
+    from loreweave.diagnostics import SnapshotLoadError
+    from loreweave.sources.knowledge import graph_tables
+
+    def load(value):
+        (tmp_path / "g.json").write_text(value if isinstance(value, str) else json.dumps(value, indent=1), encoding="utf-8-sig")
+        return graph_tables(spark, tmp_path / "g.json")
+
+    whole = {"nodes": [{"path": "/a", "type": "T", "title": "é", "tags": ["x"]}], "edges": [{"source": "/a", "predicate": "p", "target": "/b"}], "claims": [], "views": [], "predicates": {"p": {"n": 1}}}
+    nodes, relations, claims = load(whole)
+    assert [tuple(r) for r in nodes.collect()] == [("/a", "T", "é", None, '["x"]')] and relations.first().target == "/b" and claims.count() == 0
+    for wrong in ("[]", "nothing", {}, {**whole, "more": []}, {k: v for k, v in whole.items() if k != "claims"}, {**whole, "nodes": {}}, {**whole, "views": {}}, {**whole, "predicates": []}, {**whole, "nodes": [{"path": "/a"}]}, {**whole, "edges": [{"source": "/a"}]}):
+        with pytest.raises(SnapshotLoadError):
+            load(wrong)
+
+
+def test_public_names_and_codes():
+    import loreweave
+    from loreweave import diagnostics
+
+    assert len(loreweave.__all__) > 80 and all(getattr(loreweave, n) is not None for n in loreweave.__all__)
+    codes = {e.code for e in vars(diagnostics).values() if isinstance(e, type) and hasattr(e, "code")}
+    assert {"fusion_error", "evaluation_error", "vector_retrieval_error", "sqlite_index_error", "vector_sidecar_error", "embedding_provider_error"} <= codes
+    with pytest.raises(AttributeError):
+        loreweave.nothing  # noqa: B018
