@@ -94,6 +94,20 @@ def claim_edges(claims: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "claim_key").alias("_c")).select(*keys, "_c.*")
 
 
+def merged_claims(claims: DataFrame) -> DataFrame:
+    """One row a claim (claim_ref: its path, else its id, else its key): the first value of each field that isn't empty, and all source ids.
+
+    First is by claim key; n counts the rows that were merged.
+    """
+    fields = ("claim_id", "claim_path", "statement", "status", "confidence", "subject", "predicate", "target", "property", "value_json")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    rows = claims.withColumn("claim_ref", F.coalesce(some("claim_path"), some("claim_id"), F.col("claim_key"))).withColumn("ids", bare_ids(F.col("source_ids_json")))
+    first = rows.groupBy("claim_ref").agg(*[F.min_by(some(c), F.when(some(c).isNotNull(), F.col("claim_key"))).alias(c) for c in fields], F.count("*").alias("n"))
+    each = rows.select("claim_ref", "claim_key", F.posexplode("ids").alias("i", "id")).groupBy("claim_ref", "id").agg(F.min(F.struct("claim_key", "i")).alias("place"))
+    lists = each.groupBy("claim_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("source_ids"))
+    return first.join(lists, "claim_ref", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
+
+
 def edges(relations: DataFrame, claims: DataFrame, entities: DataFrame) -> DataFrame:
     """All edges between entities that exist, relations and claims apart (``kind``)."""
     r = merged_relations(relations).select("source", "target", "predicate", F.lit("relation").alias("kind"), F.lit(False).alias("is_value"), F.lit(None).cast("string").alias("claim_ref"), F.lit(None).cast("string").alias("claim_path"), F.lit(None).cast("string").alias("status"), "confidence", "source_ids")

@@ -202,6 +202,10 @@ def relation_merge(spark: SparkSession, d: str) -> DataFrame:
     return m.select("source", "target", "predicate", "confidence", F.array_join("source_ids", "|").alias("source_ids"), "n")
 
 
+def claim_merge(spark: SparkSession, d: str) -> DataFrame:
+    return graph.merged_claims(table(spark, d, "claims").filter("claim_key IS NOT NULL").drop("loaded_at").distinct()).withColumn("source_ids", F.array_join("source_ids", "|"))
+
+
 def _edges(spark, d, now=None):
     return graph.edges(relations(spark, d), claims(spark, d), entities(spark, d) if now is None else now)
 
@@ -452,7 +456,7 @@ def inspect_entity(spark: SparkSession, d: str) -> DataFrame:
 NAMES = (
     "entity_fallback_text normalized_titles char_ngrams gram_document_frequency content_hash_mismatches source_id_normalize confidence_weights claim_forms "
     "postings_candidates lexical_field_scores lexical_entity_topk lexical_chunk_topk chunk_entities chunk_ordinals vector_cosine_topk vector_dot_topk "
-    "vector_compatibility vector_unusable rrf_fuse rrf_weighted_cutoff rrf_passage_choice fallback_passages relation_merge graph_edges claim_policy claim_opt_in "
+    "vector_compatibility vector_unusable rrf_fuse rrf_weighted_cutoff rrf_passage_choice fallback_passages relation_merge claim_merge graph_edges claim_policy claim_opt_in "
     "graph_predicate_filter seed_dedup graph_expand_one_hop value_claim_assertion diverse_select hit_assertions fused_provenance context_packets context_references context_unresolved context_dedup "
     "eval_recall_mrr eval_totals eval_by_kind eval_compare integrity_duplicates edge_sync_diff manifest_counts inspect_entity hybrid_search applicable_assertions canonical_chunks canonical_vectors "
     "parsed_documents stored_index stored_vectors"

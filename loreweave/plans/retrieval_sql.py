@@ -239,6 +239,11 @@ SQL: dict[str, str] = {
         ORDER BY coalesce(list_position(['lexical.chunk', 'lexical.entity', 'vector.chunk'], backend), 9), rank, coalesce(section, ''), coalesce(text, ''), backend) AS _p FROM best) WHERE _p = 1""",
     "fallback_passages": _BASE + " SELECT entity_path, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_path ORDER BY ordinal, chunk_id) AS _f FROM chs) WHERE _f = 1",
     "relation_merge": _BASE + _EDGES + " SELECT source, target, predicate, confidence, source_ids, n FROM merged",
+    "claim_merge": f"""WITH c AS (SELECT DISTINCT * EXCLUDE (loaded_at), coalesce(nullif(claim_path, ''), nullif(claim_id, ''), claim_key) AS claim_ref, coalesce({_IDS.format("source_ids_json")}, []) AS ids FROM claims WHERE claim_key IS NOT NULL),
+        s AS (SELECT claim_ref, string_agg(id, '|' ORDER BY p) AS source_ids FROM (SELECT claim_ref, id, min(struct_pack(a := claim_key, b := i)) AS p
+          FROM (SELECT claim_ref, claim_key, unnest(range(1, len(ids) + 1)) AS i, unnest(ids) AS id FROM c) GROUP BY ALL) GROUP BY claim_ref)
+        SELECT c.claim_ref, {", ".join(f"arg_min({x}, claim_key) FILTER ({x} <> '') AS {x}" for x in ("claim_id", "claim_path", "statement", "status", "confidence", "subject", "predicate", "target", "property", "value_json"))},
+          count(*) AS n, coalesce(any_value(s.source_ids), '') AS source_ids FROM c LEFT JOIN s ON s.claim_ref = c.claim_ref GROUP BY c.claim_ref""",
     "graph_edges": _BASE + _EDGES + " SELECT source, target, predicate, kind, is_value, claim_ref, status, confidence FROM edges",
     "claim_policy": _BASE + _EDGES + _policy(_ADMIT) + _POLICY,
     "claim_opt_in": _BASE + _EDGES + _policy("true") + _POLICY,

@@ -342,3 +342,11 @@ def test_assertions(spark, graph_tables):
     e, r, c = graph_tables
     got = {(x.entity_path, x.kind, x.predicate, x.claim_ref): (x.confidence_weight, x.affirmative) for x in graph.assertions(r, c, e).collect()}
     assert len(got) == 9 and got["/b", "relation", "knows", None] == (1.0, True) and got["/a", "claim", "taught", "/k2"] == (0.25, False) and got["/a", "claim", "taught", "/k4"] == (1.0, None)
+
+
+def test_claims_of_one_reference_merge(spark):
+    schema = "claim_key string, claim_id string, claim_path string, statement string, status string, confidence string, subject string, predicate string, target string, property string, value_json string, source_ids_json string, n int"
+    data = [("k2", "i", "/c", "late", "", "B", "/a", None, None, None, None, '["y", "ref: x"]', 9), ("k1", None, "/c", "early", "", None, "/b", None, None, None, None, '["x", "z"]', 9), ("k3", "j", None, None, None, None, None, None, None, None, None, None, 9), ("k4", "j", "", "s", None, None, None, None, None, None, None, "[]", 9)]
+    got = {r.claim_ref: r for r in graph.merged_claims(spark.createDataFrame(data, schema)).collect()}
+    assert set(got) == {"/c", "j"} and got["/c"].statement == "early" and got["/c"].claim_id == "i" and got["/c"].confidence == "B" and got["/c"].status is None
+    assert got["/c"].source_ids == ["x", "z", "y"] and (got["/c"].n, got["j"].n) == (2, 2) and got["j"].source_ids == [] and got["j"].statement == "s"
