@@ -11,22 +11,27 @@ a better one if its centroid is farther from the query, by angle, than the k-th
 member's angle. Radii are set by outliers, so a part of each is enough: the part is fitted on queries drawn from the
 vectors, at most `CALIBRATION` of them, whose true neighbours are found by comparing them with every vector. It is the smallest part with
 which the wanted share of those neighbours lies in lists that are searched. A wanted share of 1 searches every list that
-may hold one. Lists beyond `BLOCK` members and beyond `QUERIES` queries are split into blocks, each of which is
-searched, so no task grows with a list. Equal vectors are one class that is searched once.
+may hold one. Equal vectors are one class that is searched once.
+
+Neither queries nor hits move once a query and list. Lists that lie near to each other are a cell; the members of a cell, at
+most `QUERIES` of them, are a group of queries that stays in a task while the lists that any of them has in reach pass by, in pieces
+of `PIECE` vectors. The groups take turns in waves that send `WAVE` times all vectors at most, and what a wave leaves on disk is deleted
+before the next, so disk follows the vectors, however many lists a query searches. In a wave of few groups several tasks share a group's lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from ..plans.skew import hot_lookup_join
+from ..plans.lineage import cut, drop, sweep
+from ..plans.skew import counted, hot_lookup_join
 from ..sources.tables import table
 
 #: Neighbours; vectors a list has on average; lists at most.
@@ -35,8 +40,12 @@ K, LIST, LISTS = 10, 1024, 8192
 SAMPLE, PER_LIST = 40_960, 40
 #: Lists from which centroids are fitted in two levels.
 TWO_LEVELS = 1024
-#: Members and queries of a block; width of the error bound.
-BLOCK, QUERIES, EPSILON = 8192, 65_536, 1.9
+#: Members of a block, and of a piece of it that is stored in one row; queries of a group at most, and groups of small tables; width of the error bound.
+BLOCK, PIECE, QUERIES, GROUPS, EPSILON = 8192, 1024, 65_536, 8, 1.9
+#: Of a chunk of pairs, the part (1 in so many) from which those that may count are reranked by one product.
+MANY = 64
+#: Vectors sent to groups at once, as a multiple of all vectors, and at least.
+WAVE, LEAST_WAVE = 2, 1 << 20
 #: Queries at most on which the lists to search are fitted, and the share of their neighbours that must be in those.
 CALIBRATION, RECALL = 1024, 0.995
 #: Radians by which a list may seem too far and is searched still, for the rounding of single precision.
@@ -72,20 +81,36 @@ def estimate(q: np.ndarray, centroid: np.ndarray, code: tuple, dim: int, epsilon
     return value, np.linalg.norm(r, axis=1)[:, None] * spread
 
 
+def bounds(q: np.ndarray, centroid: np.ndarray, code: tuple, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is `estimate`'s values and error bounds together, of all queries and coded vectors."""
+    (bits, length, own, with_centroid), dim = code, q.shape[1]
+    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * (2 / np.sqrt(dim)) - 1 / np.sqrt(dim)
+    spread = length * np.sqrt(np.maximum(1 - own**2, 0)) / own * (epsilon / np.sqrt(dim - 1))
+    r = q - centroid
+    left, right = np.ones((len(q), dim + 3), np.float32), np.ones((len(length), dim + 3), np.float32)
+    left[:, :dim], left[:, dim + 1], left[:, dim + 2] = r @ rotation(dim), q @ centroid, np.sqrt(np.einsum("nd,nd->n", r, r))
+    right[:, :dim], right[:, dim], right[:, dim + 2] = signs * (length / own)[:, None], with_centroid, spread
+    return left, right
+
+
 def search(q: np.ndarray, x: np.ndarray, centroid: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, similarity) of each query's k best among x that reach ``least``, by codes and reranking."""
+    """(query, vector, similarity) of each query's k best among x that reach ``least``, by codes and reranking; without codes where queries have no k-th best so far."""
     dim, out = x.shape[1], []
     code = encode(x, centroid)
-    step = max(16, 2_000_000 // max(len(x), 1))
+    left, right = bounds(q, centroid, code)
+    step = max(16, 500_000 // max(len(x), 1))
     for lo in range(0, len(q), step):
         part, floor = q[lo : lo + step], least[lo : lo + step].copy()
-        value, error = estimate(part, centroid, code, dim)
-        if len(x) > 4 * k:  # the exact k-th best of the 2k that look best bounds the rest
-            best = np.argpartition(value, len(x) - 2 * k, axis=1)[:, -2 * k :] if len(x) <= 1024 else np.argpartition(value[:, :1024], 1024 - 2 * k, axis=1)[:, -2 * k :]
-            exact = np.einsum("qd,qkd->qk", part, x[best])
-            floor = np.maximum(floor, np.partition(exact, k, axis=1)[:, k] - 1e-6)
-        value += error
-        at = np.flatnonzero(value >= floor[:, None])
+        if (floor < -1).any():  # no k-th best so far, which would bound what is looked at
+            product = part @ x.T
+            if len(x) > k:
+                floor = np.maximum(floor, np.partition(product, len(x) - k - 1, axis=1)[:, len(x) - k - 1] - np.float32(1e-5))
+            at = np.flatnonzero(product >= floor[:, None] - np.float32(1e-5))
+        else:
+            reach = left[lo : lo + step] @ right.T >= floor[:, None] - np.float32(1e-6)
+            if np.count_nonzero(reach) > reach.size // MANY:  # all at once is cheaper than one by one
+                reach &= part @ x.T >= floor[:, None] - np.float32(1e-5)
+            at = np.flatnonzero(reach)
         i, j = at // len(x), at % len(x)
         score = np.empty(len(at), np.float32)
         for s in range(0, len(at), 65_536):
@@ -197,12 +222,8 @@ def _best_of_all(batches: Iterator[pa.RecordBatch], q: np.ndarray, floor: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in ((rows, np.int32), (at, np.int32), (score, np.float32))], names=["query", "list", "similarity"])
 
 
-def reach_part(asking: DataFrame, member: DataFrame, n: int, centroids: np.ndarray, radius: np.ndarray, k: int, recall: float) -> float:
-    """The smallest part of the radii with which queries find the share ``recall`` of their k nearest, measured on some of them."""
-    if recall >= 1:
-        return 1.0
-    share = min(1.0, 1.2 * CALIBRATION / n)
-    drawn = asking.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("key", "v", "floor", "own").limit(CALIBRATION).collect()
+def reach_part(drawn: list, member: DataFrame, centroids: np.ndarray, radius: np.ndarray, k: int, recall: float) -> float:
+    """The smallest part of the radii with which the drawn queries (v, floor, own) find the share ``recall`` of their k nearest."""
     if not drawn:
         return 1.0
     q = np.frombuffer(b"".join(bytes(r.v) for r in drawn), np.float32).reshape(-1, centroids.shape[1])
@@ -217,26 +238,10 @@ def reach_part(asking: DataFrame, member: DataFrame, n: int, centroids: np.ndarr
     return max(float(np.quantile(needed, recall, method="higher")), 1e-6) if len(needed) else 1.0
 
 
-def _reach(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, radius: np.ndarray, part: float, count: bool) -> Iterator[pa.RecordBatch]:
-    """Adds the lists that each query searches; or, for counts, (list, n). A query always searches its own."""
-    step = max(1, 1_000_000 // len(centroids))
-    for b in batches:
-        q, floor, own = _matrix(b.column(1), centroids.shape[1]), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
-        total = np.zeros(len(centroids), np.int64)
-        for i in range(0, len(q), step):
-            may = within_reach(q[i : i + step], floor[i : i + step], centroids, radius, part)
-            may[np.arange(len(may)), own[i : i + step]] = True
-            if count:
-                total += may.sum(axis=0)
-                continue
-            offsets = np.concatenate([[0], np.cumsum(may.sum(axis=1))]).astype(np.int32)
-            rows = b.slice(i, step)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(may)[1].astype(np.int32)))], names=[*b.schema.names, "lists"])
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids), dtype=np.int32)), pa.array(total)], names=["list", "n"])
-
-
+_KEYS = pa.list_(pa.string())
 _HITS = pa.list_(pa.struct([("key", pa.string()), ("similarity", pa.float32())]))
+_PACKED = pa.schema([("group", pa.int64()), ("list", pa.int32()), ("block", pa.int32()), ("piece", pa.int32()), ("n", pa.int32()), ("rows", pa.binary()), ("asks", pa.binary())])
+_PACKED_SQL = "group long, list int, block int, piece int, n int, rows binary, asks binary"
 
 
 def _hits(n: int, query: np.ndarray, keys: pa.Array, vector: np.ndarray, score: np.ndarray) -> pa.Array:
@@ -246,34 +251,217 @@ def _hits(n: int, query: np.ndarray, keys: pa.Array, vector: np.ndarray, score:
     return pa.ListArray.from_arrays(pa.array(offsets), found)
 
 
-def _own_list(group: pa.Table, centroids: np.ndarray, k: int) -> pa.Table:
-    """Each member's best in its own block, and the k-th best similarity."""
-    group = group.combine_chunks()
+def _fixed(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1])
+
+
+def _bytes(**columns: pa.Array) -> bytes:
+    """Columns as one Arrow stream; a row of a table holds many vectors in that."""
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _columns(data) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _array(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+def _own_list(group: pa.Table, centroids: np.ndarray, k: int, cells: int, blocks: int) -> pa.Table:
+    """A block in pieces of `PIECE` members by key: keys and vectors in ``rows``, each one's best in the block and its k-th best similarity in ``asks``."""
+    group = group.combine_chunks().sort_by("key").combine_chunks()
     x = _matrix(group["v"], centroids.shape[1])
-    keys = pa.concat_arrays(group["key"].chunks)
-    i, j, score = search(x, x, centroids[group["list"][0].as_py()], np.full(len(x), -2, np.float32), k)
+    own, block = group["list"][0].as_py(), group["block"][0].as_py()
+    i, j, score = search(x, x, centroids[own], np.full(len(x), -2, np.float32), k)
     other = i != j
     i, j, score = i[other], j[other], score[other]
     place = np.arange(len(i)) - np.searchsorted(i, i)
-    i, j, score = (a[place < k] for a in (i, j, score))
-    count = np.bincount(i, minlength=len(x))
-    last = np.searchsorted(i, np.arange(len(x)), side="right") - 1
-    floor = np.where(count >= k, score[np.maximum(last, 0)] if len(score) else -2, np.float32(-2)).astype(np.float32)
-    return pa.table({"key": keys, "v": group["v"], "floor": pa.array(floor), "own": group["list"], "own_block": group["block"], "hits": _hits(len(x), i, keys, j, score)})
-
-
-def _other_list(members: pa.Table, queries: pa.Table, centroids: np.ndarray, k: int) -> pa.Table:
-    """Each query's hits in a block that reach its k-th best so far."""
-    schema = pa.schema([("key", pa.string()), ("hits", _HITS)])
-    if not members.num_rows or not queries.num_rows:
-        return schema.empty_table()
-    members, queries = members.combine_chunks(), queries.combine_chunks()
-    dim = centroids.shape[1]
-    q, x = _matrix(queries["v"], dim), _matrix(members["v"], dim)
-    i, j, score = search(q, x, centroids[members["list"][0].as_py()], queries["floor"].combine_chunks().to_numpy() if queries.num_rows else np.zeros(0), k)
-    hits = _hits(len(q), i, pa.concat_arrays(members["key"].chunks), j, score)
-    some = pa.array(np.flatnonzero(np.bincount(i, minlength=len(q)) > 0))
-    return pa.table({"key": pa.concat_arrays(queries["key"].chunks).take(some), "hits": hits.take(some)}, schema=schema)
+    i, j, score, place = (a[place < k] for a in (i, j, score, place))
+    at, similarity = np.full((len(x), k), -1, np.int32), np.full((len(x), k), -2, np.float32)
+    at[i, place], similarity[i, place] = j, score
+    out = []
+    for p, lo in enumerate(range(0, len(x), PIECE)):
+        e = slice(lo, lo + PIECE)
+        keys, copies = (pa.concat_arrays(group[c].slice(lo, PIECE).chunks) for c in ("key", "copies"))
+        rows, asks = _bytes(key=keys, copies=copies, v=_fixed(x[e])), _bytes(at=_fixed(at[e]), similarity=_fixed(similarity[e]))
+        out.append((group["cell"][0].as_py() + cells * (block // blocks), own, block, p, len(x[e]), rows, asks))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _PACKED)], schema=_PACKED)
+
+
+def _draw(batches: Iterator[pa.RecordBatch], dim: int, k: int, share: float) -> Iterator[pa.RecordBatch]:
+    """(v, floor, own) of a part of all members."""
+    for b in batches:
+        v, floor, own = [], [], []
+        for r in b.to_pylist():
+            drawn = np.flatnonzero(np.random.default_rng([3, r["list"], r["block"], r["piece"]]).random(r["n"]) < share)
+            v += [x.tobytes() for x in _array(_columns(r["rows"])["v"], dim)[drawn]]
+            floor += _array(_columns(r["asks"])["similarity"], k)[drawn, -1].tolist()
+            own += [r["list"]] * len(drawn)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(floor, pa.float32()), pa.array(own, pa.int32())], names=["v", "floor", "own"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, radius: np.ndarray, part: float, k: int) -> Iterator[pa.RecordBatch]:
+    """(group, list) of lists that a query of the group searches."""
+    step = max(1, 1_000_000 // len(centroids))
+    for b in batches:
+        for r in b.to_pylist():
+            q, floor = _array(_columns(r["rows"])["v"], centroids.shape[1]), _array(_columns(r["asks"])["similarity"], k)[:, -1]
+            any_of = np.zeros(len(centroids), bool)
+            for i in range(0, len(q), step):
+                any_of |= within_reach(q[i : i + step], floor[i : i + step], centroids, radius, part).any(axis=0)
+            any_of[r["list"]] = True
+            lists = np.flatnonzero(any_of & np.isfinite(radius)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), r["group"], np.int64)), pa.array(lists)], names=["group", "list"])
+
+
+class _Group:
+    """The queries of a group, and the best that they have found so far.
+
+    Several tasks may share a group's lists; ``first`` tells the one that also takes what lies in the group.
+    """
+
+    def __init__(self, first: bool, centroids: np.ndarray, radius: np.ndarray, part: float, k: int) -> None:
+        self.first, self.centroids, self.radius, self.part, self.k = first, centroids, radius, part, k
+        self.own: dict[tuple[int, int], list[tuple[pa.RecordBatch, pa.RecordBatch]]] = {}
+        self.begun = False
+
+    def ask(self, at: tuple[int, int], rows, asks) -> None:
+        self.own.setdefault(at, []).append((_columns(rows), _columns(asks)))
+
+    def begin(self) -> None:
+        """Takes over what each query has found in its own block, and searches the blocks of the group."""
+        dim, k = self.centroids.shape[1], self.k
+        self.begun, every = True, [p for pieces in self.own.values() for p in pieces]
+        self.q = np.concatenate([_array(rows["v"], dim) for rows, _ in every])
+        self.asking, self.copies = (pa.concat_arrays([rows[c] for rows, _ in every]) for c in ("key", "copies"))
+        self.list, self.block = (np.concatenate([np.full(sum(r.num_rows for r, _ in pieces), at[c]) for at, pieces in self.own.items()]) for c in (0, 1))
+        start = np.concatenate([np.full(sum(r.num_rows for r, _ in pieces), lo) for pieces, lo in zip(self.own.values(), self._starts())])
+        where, similarity = (np.concatenate([_array(asks[c], k) for _, asks in every]) for c in ("at", "similarity"))
+        self.floor = similarity[:, -1].copy()
+        self.angle = _angle(self.floor) + SLACK
+        i, place = np.nonzero((where >= 0) & self.first)
+        self.names, self.more, self.found, self.pending = [self.asking], [self.copies], [(i, (where + start[:, None])[i, place], similarity[i, place])], len(i)
+        self.known = len(self.asking)
+        for (at, block), pieces in self.own.items():
+            for rows, _ in pieces * self.first:
+                self.search(at, rows, block)
+
+    def _starts(self) -> list[int]:
+        return np.cumsum([0, *(sum(r.num_rows for r, _ in pieces) for pieces in self.own.values())])[:-1].tolist()
+
+    def search(self, at: int, rows: pa.RecordBatch, block: int) -> None:
+        """Searches a piece of a list with the queries that have the list in reach, those of the same block left out."""
+        c = self.centroids[at]
+        may = (_angle(self.q @ c) - self.part * self.radius[at] <= self.angle) | (self.list == at)
+        asking = np.flatnonzero(may & ~((self.list == at) & (self.block == block)))
+        if not len(asking):
+            return
+        x = _array(rows["v"], self.centroids.shape[1])
+        for lo in range(0, len(asking), 8192):
+            some = asking[lo : lo + 8192]
+            i, j, score = search(self.q[some], x, c, self.floor[some], self.k)
+            if len(i):
+                used, j = np.unique(j, return_inverse=True)
+                self.names.append(rows["key"].take(pa.array(used)))
+                self.more.append(rows["copies"].take(pa.array(used)))
+                self.found.append((some[i], j + self.known, score))
+                self.known += len(used)
+                self.pending += len(i)
+            if self.pending > 2 * self.k * len(self.q) + 500_000:
+                self.settle()
+
+    def settle(self) -> None:
+        """Keeps the k best of each query, the k-th of which bounds what is searched next."""
+        names, more = pa.concat_arrays(self.names), pa.concat_arrays(self.more)
+        i, j, score = _ranked(*(np.concatenate(c) for c in zip(*self.found)), names, np.full(len(self.q), self.k))
+        count = np.bincount(i, minlength=len(self.q))
+        last = np.cumsum(count) - 1
+        full = count >= self.k
+        self.floor[full] = np.maximum(self.floor[full], score[last[full]])
+        used, j = np.unique(j, return_inverse=True)
+        self.names, self.more, self.found = [names.take(pa.array(used))], [more.take(pa.array(used))], [(i, j, score)]
+        self.known, self.pending = len(used), 0
+
+    def result(self) -> pa.RecordBatch:
+        """(key, copied, hits) of each query; copies of a vector are hits of their own, and those of a query's vector are hits of it."""
+        if not self.begun:
+            self.begin()
+        self.settle()
+        names, more, (i, j, score) = self.names[0], self.more[0], self.found[0]
+        copied = self.copies.is_valid().to_numpy(zero_copy_only=False)
+        if copied.any() or more.null_count < len(more):
+            # One row of keys for all: the hits' own, their copies, and the queries' copies.
+            width = [a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (more, self.copies)]
+            values = pa.concat_arrays([names, more.flatten(), self.copies.flatten()])
+            many = width[0][j] > 0
+            start = [len(names) + np.cumsum(width[0]) - width[0], len(names) + width[0].sum() + np.cumsum(width[1]) - width[1]]
+            asked = np.flatnonzero(copied & self.first)
+            begin = np.concatenate([np.where(many, start[0][j], j), start[1][asked]])
+            size = np.concatenate([np.where(many, width[0][j], 1), width[1][asked]])
+            i, score = (np.repeat(np.concatenate(c), size) for c in ((i, asked), (score, np.ones(len(asked), np.float32))))
+            j = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            i, j, score = _ranked(i, j, score, values, self.k + copied)
+            names = values
+        hits = _hits(len(self.q), i, names, j, score)
+        return pa.RecordBatch.from_arrays([self.asking, pa.array(copied), hits], names=["key", "copied", "hits"])
+
+
+def _ranked(i: np.ndarray, j: np.ndarray, score: np.ndarray, names: pa.Array, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``most[i]`` of each query i, best first, ties by key."""
+    bits = (score + np.float32(0)).view(np.uint32)
+    falling = np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF))
+    order = np.argsort(i.astype(np.uint64) << np.uint64(32) | falling)
+    tied = (i[order][1:] == i[order][:-1]) & (score[order][1:] == score[order][:-1])
+    if tied.any():
+        some = np.unique(j[order][np.append(tied, False) | np.append(False, tied)])
+        rank = np.zeros(len(names), np.int64)
+        rank[some[pc.sort_indices(names.take(pa.array(some))).to_numpy()]] = np.arange(len(some))
+        order = np.lexsort((rank[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < most[i]
+    return i[keep], j[keep], score[keep]
+
+
+def _search_groups(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, radius: np.ndarray, part: float, k: int) -> Iterator[pa.RecordBatch]:
+    """(key, copied, hits): rows come by group and share, in each the group's own blocks first, then pieces of other lists in reach."""
+    at, group = None, None
+    for b in batches:
+        rows, asks = b.column(4), b.column(5)
+        for n, (g, share, where, block) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+            if (g, share) != at:
+                if group:
+                    yield group.result()
+                at, group = (g, share), _Group(share == 0, centroids, radius, part, k)
+            if asks[n].is_valid:
+                group.ask((where, block), rows[n].as_buffer().to_pybytes(), asks[n].as_buffer().to_pybytes())  # outlive the batch
+                continue
+            if not group.begun:
+                group.begin()
+            group.search(where, _columns(rows[n].as_buffer()), block)
+    if group:
+        yield group.result()
+
+
+def cells_of(centroids: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Each list's cell: lists that lie near to each other, of at most ``most`` members in all unless one list has more."""
+    cell, made, left = np.zeros(len(centroids), int), 0, [np.arange(len(centroids))]
+    while left:
+        at = left.pop()
+        if len(at) == 1 or size[at].sum() <= most:
+            cell[at] = made
+            made += 1
+            continue
+        x = centroids[at] - centroids[at].mean(axis=0)
+        at = at[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        half = np.searchsorted(np.cumsum(size[at]), size[at].sum() / 2) + 1
+        half = int(np.clip(half, 1, len(at) - 1))
+        left += [at[:half], at[half:]]
+    return cell
 
 
 def _lists_frame(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
@@ -291,12 +479,23 @@ def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST, recal
     probability. See the README for measured recall.
     """
     units = cut(units)
+    sweep(units.sparkSession)
     classes = cut(units.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     n, most = classes.agg(F.count("*"), F.max("n")).first()
     spark = units.sparkSession
     hit_type = "array<struct<key: string, similarity: float>>"
     if not n:
         return spark.createDataFrame([], f"key string, hits {hit_type}")
+    rows = classes.select("key", "v", F.lit(None).cast("array<string>").alias("copies"))
+    if most > 1:
+        # Classes of several keys: each stands for its first k + 1 keys as a hit, and all its keys get hits.
+        copied = classes.filter("n > 1").select("v", F.col("key").alias("rep"))
+        others = cut(hot_lookup_join(units, copied, ["v"], classes.select("v", "n")).filter("rep IS NOT NULL").select("rep", "key"))
+        # The limit holds in each task before anything moves, so a large class is never in one place.
+        place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
+        heads = others.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("copies"))
+        rows = classes.select("key", "v").join(counted(cut(heads.withColumnRenamed("rep", "key"))), "key", "left").select("key", "v", "copies")
+    drop(units)
     lists = int(np.clip(-(-n // list_size), 1, LISTS))
     size = max(SAMPLE, PER_LIST * lists)
     share = min(1.0, 1.2 * size / n)
@@ -305,45 +504,55 @@ def nearest(units: DataFrame, dim: int, k: int = K, list_size: int = LIST, recal
     if not len(sample):
         sample = np.frombuffer(bytes(classes.first().v), np.float32).reshape(-1, dim)
     centroids = fit_lists(sample, lists)
-    member = cut(classes.select("key", "v").mapInArrow(partial(_assign, centroids=centroids), "key string, v binary, list int, near float"))
+    member = cut(rows.mapInArrow(partial(_assign, centroids=centroids), "key string, v binary, copies array<string>, list int, near float"))
+    drop(classes)
     # At most as many rows as there are lists.
     sizes = {r[0]: (r[1], r[2]) for r in member.groupBy("list").agg(F.count("*"), F.min("near")).collect()}
     radius = np.array([_angle(sizes[i][1]) if i in sizes else -np.inf for i in range(len(centroids))])
-    blocks = np.array([max(1, -(-sizes.get(i, (0, 0))[0] // BLOCK)) for i in range(len(centroids))])
-    member = member.join(_lists_frame(spark, blocks=blocks), "list").select("key", "v", "list", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
-    first = cut(
-        member.groupBy("list", "block").applyInArrow(lambda g: _own_list(g, centroids, k), f"key string, v binary, floor float, own int, own_block int, hits {hit_type}")
-    )
-    asking = first.select("key", "v", "floor", "own", "own_block")
-    part = reach_part(asking, member, n, centroids, radius, k, recall)
-    reach = partial(_reach, centroids=centroids, radius=radius, part=part)
-    searching = {r[0]: r[1] for r in asking.mapInArrow(partial(reach, count=True), "list int, n long").groupBy("list").agg(F.sum("n")).collect()}
-    salts = np.array([max(1, -(-searching.get(i, 0) // QUERIES)) for i in range(len(centroids))])
-    split = _lists_frame(spark, blocks=blocks, salts=salts)
-    left = asking.mapInArrow(partial(reach, count=False), "key string, v binary, floor float, own int, own_block int, lists array<int>")
-    left = left.select("key", "v", "floor", "own", "own_block", F.explode("lists").alias("list")).join(split, "list")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("NOT (list = own AND block = own_block)")
-    left = left.select("list", "block", F.pmod(F.xxhash64("key", F.lit(2)), "salts").cast("int").alias("salt"), "key", "v", "floor")
-    right = member.join(split, "list").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "v")
-    on = ["list", "block", "salt"]
-    more = right.groupBy(*on).cogroup(left.groupBy(*on)).applyInArrow(lambda m, q: _other_list(m, q, centroids, k), f"key string, hits {hit_type}")
-    best = lambda c: F.slice(F.array_sort(c, lambda a, b: F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), 1, k)
-    merged = first.select("key", "hits").unionByName(more).groupBy("key").agg(best(F.flatten(F.collect_list("hits"))).alias("hits"))
+    members = np.array([sizes.get(i, (0, 0))[0] for i in range(len(centroids))])
+    blocks = np.maximum(1, -(-members // BLOCK))
+    cell = cells_of(centroids, members, min(QUERIES, max(-(-n // GROUPS), list_size)))
+    cells = int(cell.max()) + 1
+    split = member.join(_lists_frame(spark, blocks=blocks, cell=cell), "list").select("key", "v", "copies", "list", "cell", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
+    own = partial(_own_list, centroids=centroids, k=k, cells=cells, blocks=max(1, QUERIES // BLOCK))
+    packed = cut(split.groupBy("list", "block").applyInArrow(lambda g: own(g), _PACKED_SQL))
+    share = min(1.0, 1.2 * CALIBRATION / n)
+    asking = packed.mapInArrow(partial(_draw, dim=dim, k=k, share=share), "v binary, floor float, own int").limit(CALIBRATION).collect() if recall < 1 else []
+    part = reach_part(asking, member, centroids, radius, k, recall)
+    drop(member)
+    reach = partial(_reached, centroids=centroids, radius=radius, part=part, k=k)
+    pairs = cut(packed.select("group", "list", "block", "piece", "n", "rows", "asks").mapInArrow(reach, "group long, list int").distinct())
+    # What is sent to groups is many times the vectors, so it goes in waves, and the disk that a wave takes is free for the next.
+    sent = pairs.join(_lists_frame(spark, members=members), "list").agg(F.sum("members")).first()[0]
+    waves = -(-sent // max(WAVE * n, LEAST_WAVE))
+    groups = -(-(pairs.agg(F.max("group")).first()[0] + 1) // waves)
+    shares = min(lists, -(-2 * spark.sparkContext.defaultParallelism // groups))  # tasks of a group, so that few groups keep all cores busy
+    run = partial(_search_groups, centroids=centroids, radius=radius, part=part, k=k)
+    found = []
+    for wave in range(waves):
+        asked = cut(pairs.filter(F.pmod("group", F.lit(waves)) == wave).select(F.col("group").alias("at"), "list"))
+        own = F.col("at") == F.col("group")
+        pieces = packed.join(counted(asked), "list").withColumn("asks", F.when(own, F.col("asks")))
+        pieces = pieces.withColumn("share", F.explode(F.when(own, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.pmod("list", F.lit(shares))))))
+        placed = pieces.repartitionById(groups * shares, (F.floor(F.col("at") / waves) * shares + F.col("share")).cast("int"))
+        ordered = placed.sortWithinPartitions("at", "share", F.col("asks").isNull(), "list", "block", "piece").select("at", "share", "list", "block", "rows", "asks")
+        best = cut(ordered.mapInArrow(run, f"key string, copied boolean, hits {hit_type}"))
+        if shares > 1:
+            far = F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["similarity"]).alias("far"), h["key"].alias("key")))
+            hits = best.groupBy("key").agg(F.max("copied").alias("copied"), F.array_sort(far).alias("hits"))
+            hits = hits.withColumn("hits", F.slice("hits", F.lit(1), F.lit(k) + F.col("copied").cast("int")))
+            whole = cut(hits.withColumn("hits", F.transform("hits", lambda h: F.struct(h["key"].alias("key"), (-h["far"]).alias("similarity")))))
+            drop(best)
+            best = whole
+        found.append(best)
+        drop(asked)
+    drop(packed, pairs)
+    merged = reduce(DataFrame.unionByName, found)
     if most == 1:
-        return merged
-    # Classes of several keys: each stands for its first k + 1 keys as a hit, and all its keys get hits.
-    merged = cut(merged)
-    copied = classes.filter("n > 1").select("v", F.col("key").alias("rep"))
-    others = cut(hot_lookup_join(units, copied, ["v"], classes.select("v", "n")).filter("rep IS NOT NULL").select("rep", "key"))
-    # The limit holds in each task before anything moves, so a large class is never in one place.
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
-    heads = others.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    flat = merged.select("key", F.explode("hits").alias("h")).select("key", F.col("h.key").alias("rep"), F.col("h.similarity").alias("similarity"))
-    own = heads.select(F.col("rep").alias("key"), "rep", F.lit(1.0).cast("float").alias("similarity"))
-    wide = flat.unionByName(own).join(heads, "rep", "left").select("key", "similarity", F.explode(F.coalesce("keys", F.array("rep"))).alias("hit"))
-    found = wide.groupBy("key").agg(F.collect_set(F.struct(F.col("hit").alias("key"), "similarity")).alias("hits")).withColumnRenamed("key", "rep")
-    asked = others.unionByName(classes.filter("n = 1").select(F.col("key").alias("rep"), "key"))
-    return hot_lookup_join(asked, found, ["rep"], classes.select(F.col("key").alias("rep"), "n")).select("key", best(F.filter(F.coalesce("hits", F.expr(f"cast(array() as {hit_type})")), lambda h: h["key"] != F.col("key"))).alias("hits"))
+        return merged.select("key", "hits")
+    wide = hot_lookup_join(others, merged.filter("copied").select(F.col("key").alias("rep"), "hits"), ["rep"], others.groupBy("rep").agg(F.count("*").alias("n")))
+    wide = wide.select("key", F.slice(F.filter("hits", lambda h: h["key"] != F.col("key")), 1, k).alias("hits"))
+    return merged.filter("NOT copied").select("key", "hits").unionByName(wide)
 
 
 #: Components of a chunk's vector, and the similarity from which two chunks count as found.

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: The application and folder of each table that was cut and not released.
 _written: list[tuple[str, str]] = []
+#: The folder of a table that was cut, by its frame.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def release(spark: SparkSession) -> int:
@@ -40,12 +44,32 @@ def release(spark: SparkSession) -> int:
     app = spark.sparkContext.applicationId
     own = [path for a, path in _written if a == app]
     for path in own:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     _written[:] = [x for x in _written if x[0] != app]
     return len(own)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` returned and that nothing will read again, and sweeps."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written.remove((df.sparkSession.sparkContext.applicationId, path))
+    sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that are done, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back, so that what follows doesn't compute it again.
 
@@ -56,7 +80,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/loreweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark.sparkContext.applicationId, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str, most: int = 200_000) -> DataFrame:

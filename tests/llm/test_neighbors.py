@@ -1,8 +1,13 @@
+import threading
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loreweave.llm import neighbors
 from loreweave.llm.neighbors import encode, estimate, nearest, usable_vectors
+from loreweave.plans import lineage
 
 DIM = 24
 
@@ -88,3 +93,60 @@ def test_unusable_and_equal_vectors(spark):
     assert {s for _, s in got["same05"]} == {1.0} and len(got["far"]) == 10
     assert nearest(usable_vectors(frame(spark, rows).limit(0), "id", "vector", DIM), DIM).collect() == []
     assert [list(r.hits) for r in nearest(usable_vectors(frame(spark, rows[:1]), "id", "vector", DIM), DIM).collect()] == [[]]
+
+
+def test_best_first_and_ties_by_key():
+    rng = np.random.default_rng(6)
+    i, score = rng.integers(0, 9, 500), rng.choice(np.array([-1, -0.5, 0, 0.25, 0.5, 1.0000001], np.float32), 500) + rng.choice(np.array([0, 0.125], np.float32), 500)
+    names = pa.array([f"n{x}" for x in rng.permutation(500)])
+    got = neighbors._ranked(i, np.arange(500), score, names, np.full(9, 20))
+    want = sorted(range(500), key=lambda x: (i[x], -score[x], names[x].as_py()))
+    assert got[1].tolist() == [x for q in range(9) for x in [w for w in want if i[w] == q][:20]]
+
+
+def test_lists_of_one_cell_are_few_enough():
+    rng = np.random.default_rng(7)
+    size = rng.integers(0, 50, 200)
+    size[17] = 900
+    cell = neighbors.cells_of(rng.standard_normal((200, DIM)).astype(np.float32), size, 300)
+    members = np.bincount(cell, weights=size)
+    assert set(cell) == set(range(len(members))) and sorted(members)[-2] <= 300 and len(members) < 60
+
+
+def on_disk(spark):
+    """Bytes of shuffles and of tables that were cut."""
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), lineage.shared_dir(spark).removeprefix("file:") + "/loreweave"]
+    total = 0
+    for p in (p for f in folders for p in Path(f).rglob("*")):
+        try:
+            total += p.stat().st_size
+        except OSError:
+            pass  # deleted meanwhile
+    return total
+
+
+def test_disk_follows_the_vectors_and_not_the_lists_searched(spark, monkeypatch):
+    """3,000 queries that search most of 300 lists, in several waves: the vectors take 0.3 MB, and once a query and list 80 MB or so."""
+    monkeypatch.setattr(neighbors, "LEAST_WAVE", 1, raising=False)
+    x = np.random.default_rng(8).standard_normal((3000, DIM))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    units = usable_vectors(frame(spark, [(f"k{i}", v) for i, v in enumerate(x)] + [("copy", x[5])]), "id", "vector", DIM)
+    before, peak, ended = on_disk(spark), [0], threading.Event()
+
+    def watch():
+        while not ended.wait(0.1):
+            peak[0] = max(peak[0], on_disk(spark))
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        got = {r.key: [h.key for h in r.hits] for r in nearest(units, DIM, list_size=10, recall=1.0).collect()}
+    finally:
+        ended.set()
+        thread.join()
+    assert set(got) == {f"k{i}" for i in range(3000)} | {"copy"} and all(len(v) == 10 == len(set(v)) for v in got.values())
+    assert got["copy"][0] == "k5" and got["k5"][0] == "copy" and got["copy"][1:] == got["k5"][1:]
+    assert np.mean([len({f"k{j}" for j in np.argsort(-r)[:10]} & set(got[f"k{i}"])) / 10 for i, r in enumerate(s)]) >= 0.99
+    assert peak[0] - before < 20e6
