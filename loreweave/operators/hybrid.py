@@ -65,8 +65,7 @@ def entity_hits(queries: DataFrame, index: Index, k: int) -> DataFrame:
 
 def _lexical(queries: DataFrame, index: Index, kind: str, weights: dict, k: int) -> DataFrame:
     fields = index.tables["lexical_fields"].filter(F.col("record_kind") == kind)
-    scores = lexical.lexical_scores(lexical.prepared_queries(queries), fields, index.tables["lexical_ngrams"], weights, index.manifest["ngram_size"])
-    return lexical.top_k(scores, k)
+    return lexical.field_top_k(lexical.prepared_queries(queries), fields, weights, k, n=index.manifest["ngram_size"])
 
 
 def _passages(index: Index) -> DataFrame:

@@ -356,7 +356,7 @@ def _index(spark, d):
     fields = lexical.field_values(e.withColumns(arrays), "entity_path", "entity", lexical.ENTITY_WEIGHTS).unionByName(lexical.field_values(c.withColumn("tags", arrays["tags"]), "chunk_id", "chunk", lexical.CHUNK_WEIGHTS))
     tables = {"entities": e, "chunks": c, "relations": relations(spark, d), "claims": claims(spark, d), "kb_references": references(spark, d), "lexical_fields": fields}
     tables = {n: t if n == "lexical_fields" else cut(t) for n, t in tables.items()}
-    tables["lexical_ngrams"] = cut(lexical.postings(tables["lexical_fields"]))
+    tables["lexical_ngrams"] = lexical.postings(tables["lexical_fields"])  # searches take the grams of the fields themselves
     return store.Index(tables, {"ngram_size": 2})
 
 
