@@ -127,7 +127,7 @@ def lexical_field_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_entity_topk(spark: SparkSession, d: str) -> DataFrame:
     fields, grams = _lexical_index(spark, d)
-    top = lexical.top_k(lexical.lexical_scores(_queries(spark, d), fields, grams, _INDEX_WEIGHTS), TOP)
+    top = lexical.field_top_k(_queries(spark, d), fields, _INDEX_WEIGHTS, TOP, grams)
     return top.select("query_id", "rank", F.col("record_id").alias("entity_path"), F.round("score", 9).alias("score"))
 
 
