@@ -115,7 +115,7 @@ def claim_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def postings_candidates(spark: SparkSession, d: str) -> DataFrame:
     fields, grams = _lexical_index(spark, d)
-    return lexical.field_matches(_queries(spark, d), fields, grams).select("query_id", "record_id").distinct()
+    return lexical.candidates(_queries(spark, d), fields, grams)
 
 
 def lexical_field_scores(spark: SparkSession, d: str) -> DataFrame:
