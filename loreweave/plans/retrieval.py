@@ -120,9 +120,7 @@ def postings_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_field_scores(spark: SparkSession, d: str) -> DataFrame:
     fields, grams = _lexical_index(spark, d)
-    m = lexical.field_matches(_queries(spark, d), fields, grams)
-    inside = F.col("normalized_value").contains(F.col("q"))
-    return m.select("query_id", "field_id", "shared", inside.alias("inside"), F.when(inside, 1.0).otherwise(F.round(F.col("shared") / F.col("n_grams"), 9)).alias("coverage"))
+    return lexical.field_shares(_queries(spark, d), fields, grams)
 
 
 def lexical_entity_topk(spark: SparkSession, d: str) -> DataFrame:
