@@ -80,10 +80,10 @@ def chosen_passages(best: DataFrame, backends: Sequence[str], config: RRFConfig
     return best.groupBy("query_id", "entity_path").agg(_passage(backends, config)).select("query_id", "entity_path", "p.*")
 
 
-def fallback_passages(chunks: DataFrame) -> DataFrame:
-    """The first chunk of each entity, by ordinal and id, for entities that no hit gave a passage."""
+def fallback_passages(chunks: DataFrame, columns: tuple = ("chunk_id", "heading", "text")) -> DataFrame:
+    """The first chunk of each entity (``columns`` of it), by ordinal and id, for entities that no hit gave a passage."""
     order = F.struct("ordinal", "chunk_id")
-    return chunks.groupBy("entity_path").agg(F.min_by(F.struct("chunk_id", "heading", "text"), order).alias("c")).select("entity_path", "c.*")
+    return chunks.groupBy("entity_path").agg(F.min_by(F.struct(*columns), order).alias("c")).select("entity_path", "c.*")
 
 
 def fuse(hits: DataFrame, backends: Sequence[str], top_k: int | None = None, config: RRFConfig = RRFConfig()) -> DataFrame:

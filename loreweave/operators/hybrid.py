@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..diagnostics import RetrievalError
 from ..functions.text import fallback_text
-from ..plans.lineage import cut
+from ..plans.lineage import cut, sweep
 from ..sources.store import Index
 from . import fusion, graph, lexical, vectors
 from .embedding import embed_column
@@ -58,9 +58,12 @@ def chunk_hits(queries: DataFrame, index: Index, k: int) -> DataFrame:
 
 
 def entity_hits(queries: DataFrame, index: Index, k: int) -> DataFrame:
-    e = index.tables["entities"].select("entity_path", fallback_text(F.col("content"), F.col("description"), F.col("title")).alias("text"), graph.bare_ids(F.col("source_ids_json")).alias("source_ids"))
     top = _lexical(queries, index, "entity", lexical.ENTITY_WEIGHTS, k).withColumnRenamed("record_id", "entity_path")
-    return top.join(e, "entity_path").withColumns({"chunk_id": F.lit(None).cast("string"), "section": F.lit(None).cast("string")})
+    return top.join(_entity_texts(index), "entity_path").withColumns({"chunk_id": F.lit(None).cast("string"), "section": F.lit(None).cast("string")})
+
+
+def _entity_texts(index: Index) -> DataFrame:
+    return index.tables["entities"].select("entity_path", fallback_text(F.col("content"), F.col("description"), F.col("title")).alias("text"), graph.bare_ids(F.col("source_ids_json")).alias("source_ids"))
 
 
 def _lexical(queries: DataFrame, index: Index, kind: str, weights: dict, k: int) -> DataFrame:
@@ -110,17 +113,26 @@ def _search(queries: DataFrame, index: Index, config: RetrievalConfig, stored: D
     elif config.mode == "vector":
         direct = graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, most[VECTOR]), origins).select(*columns, F.lit("vector.chunk").alias("retriever"))
     else:
-        parts = {PASSAGE: _unasserted(chunk_hits(queries, index, most[PASSAGE])), ENTITY: _unasserted(entity_hits(queries, index, most[ENTITY])), VECTOR: graph.with_provenance(vector_hits(queries, index, stored, embedder, metric, most[VECTOR]), origins)}
+        # Texts, sources and what is asserted are joined to the fused hits only: the backends' hits are many more, and ranks decide between them.
+        parts = {PASSAGE: chunk_hits(queries, index, most[PASSAGE]), ENTITY: entity_hits(queries, index, most[ENTITY]), VECTOR: vector_hits(queries, index, stored, embedder, metric, most[VECTOR])}
         hits = None
         for name, h in parts.items():
-            h = h.select(*columns, F.lit(name).alias("backend"))
+            h = h.select("query_id", "rank", "entity_path", "chunk_id", "section", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("source_ids"), F.lit(name).alias("backend"))
             hits = h if hits is None else hits.unionByName(h)
         pool = config.top_k * (config.graph.seed_pool_factor if config.graph.enabled else 1)
         fused = fusion.fuse(hits, (PASSAGE, ENTITY, VECTOR), pool, config.rrf)
-        spare = fusion.fallback_passages(index.tables["chunks"]).select("entity_path", F.col("chunk_id").alias("c2"), F.col("heading").alias("s2"), F.col("text").alias("t2"))
+        spare = fusion.fallback_passages(t["chunks"], ("chunk_id", "heading")).select("entity_path", F.col("chunk_id").alias("c2"), F.col("heading").alias("s2"))
         other = F.col("chunk_id").isNull() & F.col("c2").isNotNull()
         pick = lambda a, b: F.when(other, F.col(b)).otherwise(F.col(a)).alias(a)
-        direct = fused.join(spare, "entity_path", "left").select("query_id", "rank", "score", "entity_path", pick("chunk_id", "c2"), pick("section", "s2"), pick("text", "t2"), "source_ids", *ASSERTED, F.lit("rrf.entity").alias("retriever"))
+        by_vector = F.col("rank_2").isNotNull()
+        fused = fused.join(spare, "entity_path", "left").select("query_id", "rank", "score", "entity_path", pick("chunk_id", "c2"), pick("section", "s2"), F.col("chunk_id").isNotNull().alias("_own"), by_vector.alias("_by_vector"))
+        passages = _passages(index).select("chunk_id", F.col("text").alias("_text"), F.col("source_ids").alias("_ids"))
+        whole = _entity_texts(index).select("entity_path", F.col("text").alias("_e_text"), F.col("source_ids").alias("_e_ids"))
+        told = graph.with_provenance(fused.join(passages, "chunk_id", "left").join(whole, "entity_path", "left"), origins)
+        none = F.array().cast("array<string>")
+        told = told.withColumns({"relation_source_ids": F.when(F.col("_by_vector"), F.col("relation_source_ids")).otherwise(none), "claim_source_ids": F.when(F.col("_by_vector"), F.col("claim_source_ids")).otherwise(none), "requires_hedging": F.col("_by_vector") & F.col("requires_hedging")})
+        told = told.withColumns({"text": F.when(F.col("chunk_id").isNotNull(), F.col("_text")).otherwise(F.col("_e_text")), "source_ids": F.when(F.col("_own"), F.col("_ids")).otherwise(F.col("_e_ids"))})
+        direct = told.select(*columns, F.lit("rrf.entity").alias("retriever"))
     none = {"claim_path": "string", "confidence": "string", "direction": "string", "predicate": "string", "affirmative": "boolean"}
     if not config.graph.enabled:
         ranked = lexical.top_k(direct.withColumn("_tie", F.concat_ws("\x00", "entity_path", "retriever", F.lpad(F.col("rank").cast("string"), 10, "0"))).drop("rank"), config.top_k, "_tie").drop("_tie")
@@ -131,6 +143,7 @@ def _search(queries: DataFrame, index: Index, config: RetrievalConfig, stored: D
 def expanded(direct: DataFrame, index: Index, config: RetrievalConfig) -> DataFrame:
     """Direct hits as seeds, their neighbours, and a choice of both."""
     t, direct = index.tables, cut(direct)
+    sweep(direct.sparkSession)
     types = t["entities"].select("entity_path", "entity_type")
     first = direct.groupBy("query_id", "entity_path").agg(F.min_by(F.struct("score", "rank", "chunk_id", "section", "text", "source_ids", "retriever", *ASSERTED), F.struct("rank", (-F.col("score")).alias("m"))).alias("h")).select("query_id", "entity_path", "h.*")
     seeds = graph.distinct_seeds(first)

@@ -13,7 +13,7 @@ from ..functions.text import character_ngrams, fallback_text, normalize_text
 from ..operators import canonical, chunking, context, current, embedding, evaluation, fusion, graph, hybrid, integrity, lexical, vectors
 from ..sources import knowledge, store
 from ..sources.tables import table
-from .lineage import cut, shared_dir
+from .lineage import cut, shared_dir, sweep
 
 RETRIEVERS = ("lexical.chunk", "lexical.entity", "vector.chunk", "graph.one-hop")
 BACKENDS = RETRIEVERS[:3]
@@ -349,11 +349,12 @@ def eval_compare(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark, d):
     """An index over the present rows, not stored."""
-    e, c = entities(spark, d), chunks(spark, d)
+    tables = {"entities": entities(spark, d), "chunks": chunks(spark, d), "relations": relations(spark, d), "claims": claims(spark, d), "kb_references": references(spark, d)}
+    tables = {n: cut(t) for n, t in tables.items()}
     arrays = {x.removesuffix("_json"): json_strings(F.col(x)) for x in ("tags_json", "aliases_json")}
-    fields = lexical.field_values(e.withColumns(arrays), "entity_path", "entity", lexical.ENTITY_WEIGHTS).unionByName(lexical.field_values(c.withColumn("tags", arrays["tags"]), "chunk_id", "chunk", lexical.CHUNK_WEIGHTS))
-    tables = {"entities": e, "chunks": c, "relations": relations(spark, d), "claims": claims(spark, d), "kb_references": references(spark, d), "lexical_fields": fields}
-    tables = {n: t if n == "lexical_fields" else cut(t) for n, t in tables.items()}
+    fields = lexical.field_values(tables["entities"].withColumns(arrays), "entity_path", "entity", lexical.ENTITY_WEIGHTS)
+    tables["lexical_fields"] = fields.unionByName(lexical.field_values(tables["chunks"].withColumn("tags", arrays["tags"]), "chunk_id", "chunk", lexical.CHUNK_WEIGHTS))
+    sweep(spark)
     tables["lexical_ngrams"] = lexical.postings(tables["lexical_fields"])  # searches take the grams of the fields themselves
     return store.Index(tables, {"ngram_size": 2})
 
